@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivault.llm import consensus, packing, repetition, shared_spans, tokenizer, truncation
+from lexivault.llm import consensus, packing, pii, repetition, shared_spans, tokenizer, truncation
 from lexivault.runtime import stage
 from lexivault.sources.tables import table
 
@@ -32,6 +32,23 @@ def p2_shares(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.repetition(table(spark, sf, "generations"), "record_uid", "generation").dropDuplicates(["record_uid"])
 
 
+def _pii_texts(spark: SparkSession, sf: str) -> DataFrame:
+    own = table(spark, sf, "notes").select(F.col("record_uid").alias("record"), F.col("Note").alias("text"))
+    return own.unionByName(table(spark, sf, "generations").select(F.col("record_uid").alias("record"), F.col("generation").alias("text")))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Each person's name, phone number, e-mail address, identity number and street address of each record."""
+    texts = _pii_texts(spark, sf)
+    return pii.find(texts, pii.train(texts, table(spark, sf, "name_gazetteer"))).withColumnRenamed("record", "record_uid")
+
+
+def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record's text with typed placeholders; rows that repeat a record_uid count once."""
+    texts = _pii_texts(spark, sf)
+    return pii.redact(texts, "record", "text", pii.train(texts, table(spark, sf, "name_gazetteer"))).withColumnRenamed("record", "record_uid").dropDuplicates(["record_uid"])
+
+
 def _votes(spark: SparkSession, sf: str) -> tuple[DataFrame, consensus.Model]:
     votes = consensus.staged_votes(consensus.usable_votes(table(spark, sf, "verdicts"), "generation_id", "annotator", consensus.verdict_label(F.col("verdict")), ["timestamp"], "verdict_id"))
     return votes, consensus.fit(stage(consensus.patterns(votes), "patterns"), ["positive", "negative"])
@@ -108,6 +125,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_extent": p1_extent,
         "p2_found": p2_found,
         "p2_shares": p2_shares,
+        "p4_found": p4_found,
+        "p4_redacted": p4_redacted,
         "p5_found": p5_found,
         "p5_agreement": p5_agreement,
         "p5_reliability": p5_reliability,
