@@ -7,8 +7,10 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexivault.plans import packed
+
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list[ModuleType] = []
+MODULES: list[ModuleType] = [packed]
 
 
 def queries() -> dict[str, Query]:
