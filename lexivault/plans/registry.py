@@ -7,10 +7,10 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivault.plans import packed
+from lexivault.plans import leakage, packed
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list[ModuleType] = [packed]
+MODULES: list[ModuleType] = [packed, leakage]
 
 
 def queries() -> dict[str, Query]:
