@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "lexivault", master: str | None = None, **conf: str) -> SparkSession:
@@ -63,3 +64,16 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def hash_sample(df: DataFrame, text_col: str, n: int) -> DataFrame:
+    """About n rows of different texts, at most n, chosen by the texts' hashes and so the same on every run.
+
+    Only rows below a hash threshold, set from the number of rows, leave the scan, and repeated texts are
+    collapsed before the shuffle, so what reaches the driver is bounded by n, not by rows or tasks.
+    """
+    total = df.count()
+    hashed = df.where(F.col(text_col).isNotNull()).withColumn("_hash", F.xxhash64(text_col))
+    if total > 2 * n:
+        hashed = hashed.where(F.col("_hash") < F.lit(int(-(1 << 63) + (1 << 64) * (2 * n / total))))
+    return hashed.dropDuplicates(["_hash"]).orderBy("_hash").limit(n).drop("_hash")
