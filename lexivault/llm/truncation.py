@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexivault.runtime import hash_sample
+
 TAIL = 400
 MAX_TRAIN = 20_000
 BITS = 18
@@ -185,14 +187,7 @@ def _with_limits(docs: DataFrame, id_col: str, text_col: str, source_col: str) -
 def score(docs: DataFrame, id_col: str, text_col: str, source_col: str, max_train: int = MAX_TRAIN) -> DataFrame:
     """(id_col, source, cut_score DOUBLE, at_limit BOOLEAN) of every row; the score of null and blank texts is 0."""
     rows = _with_limits(docs, id_col, text_col, source_col)
-    sample = (
-        rows.where(F.length(F.trim("text")) > 30)
-        .select("text", "at_chars", "at_bytes", F.xxhash64("text").alias("h"))
-        .orderBy("h")
-        .limit(max_train)
-        .select(F.substring("text", -4000, 4000).alias("text"), "at_chars", "at_bytes")
-        .toPandas()
-    )
+    sample = hash_sample(rows.where(F.length(F.trim("text")) > 30).select("text", "at_chars", "at_bytes"), "text", max_train).withColumn("text", F.substring("text", -4000, 4000)).toPandas()
     model = docs.sparkSession.sparkContext.broadcast(fit(sample)) if len(sample) else None
     tails = rows.select("id", "source", F.substring("text", -TAIL, TAIL).alias("tail"), "at_chars", "at_bytes")
 
