@@ -7,10 +7,10 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivault.plans import cohort, leakage, packed
+from lexivault.plans import cohort, leakage, metrics, packed
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list[ModuleType] = [packed, leakage, cohort]
+MODULES: list[ModuleType] = [packed, leakage, cohort, metrics]
 
 
 def queries() -> dict[str, Query]:
