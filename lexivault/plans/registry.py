@@ -7,10 +7,10 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivault.plans import cohort, leakage, metrics, packed, selection
+from lexivault.plans import cohort, leakage, metrics, packed, sections, selection
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list[ModuleType] = [packed, leakage, cohort, metrics, selection]
+MODULES: list[ModuleType] = [packed, leakage, cohort, metrics, selection, sections]
 
 
 def queries() -> dict[str, Query]:
