@@ -31,8 +31,10 @@ from lexivault.runtime import hash_sample, stage
 
 TAIL = 400
 MAX_TRAIN = 20_000
+TRAIN_CHARS = 1500  # of a sampled text's end, in which it is cut artificially
 BITS = 18
 MIN_PILE = 3
+PILE_SHARE = 0.005
 THRESHOLD = 0.15  # whole texts of the test tables score below 0.1, artificially cut ones mostly above 0.9
 # What systems put where they cut a text.
 MARKS = ["", "...", "…", " ...", " (cont", " (cont.)", " (continued", " [truncated]", " [message truncated", " [message trunc", " [cut]", " >>", "\x1a", "�", "��", " <more>", " [...]", "-"]
@@ -40,18 +42,19 @@ _WORD = re.compile(r"\S+")
 
 
 def source_limits(texts: DataFrame, min_pile: int = MIN_PILE) -> DataFrame:
-    """(source, chars, bytes): each source's greatest lengths, null where fewer than min_pile texts end there."""
+    """(source, chars, bytes): each source's greatest lengths, null where fewer than min_pile texts, or PILE_SHARE of the source's, end there."""
     n, b = F.length("text"), F.octet_length("text")
     own = texts.where("text is not null").groupBy("source", n.alias("n"), b.alias("b")).count()
     over = Window.partitionBy("source")
     at_chars = F.col("n") == F.col("most_n")
+    least = F.col("all") * PILE_SHARE
     at_bytes = F.col("b") > F.col("most_b") - 4  # a byte limit may fall inside a character
     return (
         own.withColumn("most_n", F.max("n").over(over))
         .withColumn("most_b", F.max("b").over(over))
         .groupBy("source")
-        .agg(F.max("most_n").alias("n"), F.max("most_b").alias("b"), F.sum(F.when(at_chars, F.col("count"))).alias("c"), F.sum(F.when(at_bytes, F.col("count"))).alias("d"))
-        .select("source", F.when(F.col("c") >= min_pile, F.col("n")).alias("chars"), F.when(F.col("d") >= min_pile, F.col("b")).alias("bytes"))
+        .agg(F.max("most_n").alias("n"), F.max("most_b").alias("b"), F.sum(F.when(at_chars, F.col("count"))).alias("c"), F.sum(F.when(at_bytes, F.col("count"))).alias("d"), F.sum("count").alias("all"))
+        .select("source", F.when(F.col("c") >= F.greatest(F.lit(min_pile), least), F.col("n")).alias("chars"), F.when(F.col("d") >= F.greatest(F.lit(min_pile), least), F.col("b")).alias("bytes"))
     )
 
 
@@ -187,82 +190,11 @@ def _with_limits(docs: DataFrame, id_col: str, text_col: str, source_col: str, m
     )
 
 
-def score(self, tail: str, at_chars: bool = False, at_bytes: bool = False) -> float:
-        z = float(self.weights[_index(tail_features(tail, at_chars, at_bytes, self.with_limit), self.bits)].sum())
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def _train(rows: list[tuple[str, bool, bool, int]], with_limit: bool, bits: int = BITS, epochs: int = 6, rate: float = 0.15, seed: int = 7) -> TailModel:
-    """Adaptive gradient descent in small batches; classes weigh the same."""
-    feats = [_index(tail_features(t, c, b, with_limit), bits) for t, c, b, _ in rows]
-    y = np.asarray([r[3] for r in rows], float)
-    weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
-    w, g2 = np.zeros(1 << bits), np.full(1 << bits, 1e-3)
-    sizes = np.asarray([len(f) for f in feats])
-    rng = np.random.default_rng(seed)
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for part in np.array_split(order, max(1, len(rows) // 64)):
-            idx = np.concatenate([feats[i] for i in part])
-            own = np.repeat(np.arange(len(part)), sizes[part])
-            z = np.bincount(own, weights=w[idx], minlength=len(part))
-            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * weight[part]
-            uniq, inv = np.unique(idx, return_inverse=True)
-            grad = np.bincount(inv, weights=err[own]) / 8 + 1e-4 * w[uniq]
-            g2[uniq] += grad * grad
-            w[uniq] -= rate * grad / np.sqrt(g2[uniq])
-    return TailModel(w, bits, with_limit)
-
-
-def _whole_until(text: str, at: int) -> bool:
-    """A cut here falls between sentences or lines, not inside one."""
-    before = text[:at].rstrip()
-    return not before or before[-1] in ".!?" and (at >= len(text) or text[at - 1].isspace() or text[at].isspace()) or text[at - 1] == "\n" or at < len(text) and text[at] == "\n"
-
-
-def _cuts(text: str, rng: random.Random, n: int = 2) -> Iterator[str]:
-    """Artificially cut forms, half of them cut near the end, some with a mark."""
-    for j in range(n):
-        low = max(20, len(text) - 150) if j % 2 else 20
-        at = rng.randrange(low, max(low + 1, len(text) - 2))
-        if rng.random() < 0.08 and (points := [m.end() for m in re.finditer(r"[0-9][.,](?=[0-9])", text[-2000:])]):
-            at = max(0, len(text) - 2000) + rng.choice(points)
-        if at < len(text) - 1 and not _whole_until(text, at):
-            yield text[max(0, at - TAIL) : at] + (rng.choice(MARKS) if rng.random() < 0.25 else "")
-
-
-def fit(sample: pd.DataFrame, seed: int = 7) -> TailModel:
-    """A model from a bounded sample (text, at_chars, at_bytes) of unlabelled texts."""
-    rng = random.Random(seed)
-    texts = [(t, bool(c), bool(b)) for t, c, b in zip(sample["text"], sample["at_chars"], sample["at_bytes"]) if t and t.strip()]
-    free = [t for t, c, b in texts if not (c or b)]
-    rows = [(t[-TAIL:], False, False, 0) for t in free] + [(cut, False, False, 1) for t in free for cut in _cuts(t, rng)]
-    first = _train(rows, with_limit=False)
-    whole = [(t, c, b) for t, c, b in texts if first.score(t[-TAIL:]) < 0.3]
-    limits = any(c or b for _, c, b in texts)
-    rows = [(t[-TAIL:], c, b, 0) for t, c, b in whole]
-    for t, _, _ in whole:
-        for cut in _cuts(t, rng):
-            at = limits and rng.random() < 0.15
-            rows.append((cut, at, at and rng.random() < 0.7, 1))
-    return _train(rows, with_limit=True)
-
-
-def _with_limits(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
-    limits = source_limits(texts).withColumnRenamed("source", "of")
-    n, b = F.length("text"), F.octet_length("text")
-    return (
-        texts.join(limits, F.col("source").eqNullSafe(F.col("of")), "left")
-        .withColumn("at_chars", F.coalesce(n == F.col("chars"), F.lit(False)))
-        .withColumn("at_bytes", F.coalesce((b > F.col("bytes") - 4) & (b <= F.col("bytes")), F.lit(False)))
-    )
-
-
 def score(docs: DataFrame, id_col: str, text_col: str, source_col: str, max_train: int = MAX_TRAIN) -> DataFrame:
     """(id_col, source, cut_score DOUBLE, at_limit BOOLEAN) of every row; the score of null and blank texts is 0."""
     rows = _with_limits(docs, id_col, text_col, source_col)
-    sample = hash_sample(rows.where(F.length(F.trim("text")) > 30).select("text", "at_chars", "at_bytes"), "text", max_train).withColumn("text", F.substring("text", -4000, 4000)).toPandas()
+    tail = rows.where(F.length(F.trim("text")) > 30).select(F.xxhash64("text").alias("h"), F.substring("text", -TRAIN_CHARS, TRAIN_CHARS).alias("text"), "at_chars", "at_bytes")
+    sample = hash_sample(tail, "h", max_train).toPandas()
     model = docs.sparkSession.sparkContext.broadcast(fit(sample)) if len(sample) else None
     tails = rows.select("id", "source", F.substring("text", -TAIL, TAIL).alias("tail"), "at_chars", "at_bytes")
 
