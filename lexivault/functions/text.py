@@ -29,11 +29,19 @@ def words(c: Column | str) -> Column:
 def offsets(text: Column, needle: Column) -> Column:
     """All start offsets of needle in text, overlapping ones too; empty for an empty or longer needle, null for nulls.
 
-    Positions are only tested one by one in texts that hold the needle; others cost one search.
+    Jumps from one occurrence to the next with ``locate``; once none is left the remaining steps only pass the
+    result on, so the cost is that of the searches.
     """
     n = F.length(text) - F.length(needle) + 1
-    hit = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.length(needle)) == needle)
-    found = F.when((F.length(needle) > 0) & (n > 0) & text.contains(needle), F.transform(hit, lambda i: i - 1)).otherwise(F.array().cast("array<int>"))
+    start = F.expr("named_struct('at', 0, 'out', cast(array() as array<int>))")
+
+    def step(acc: Column, _: Column) -> Column:
+        at = F.position(needle, text, acc["at"] + 1)
+        found = F.struct(at.alias("at"), F.array_append(acc["out"], at - 1).alias("out"))
+        return F.when(acc["at"] < 0, acc).when(at > 0, found).otherwise(F.struct(F.lit(-1).alias("at"), acc["out"].alias("out")))
+
+    walked = F.aggregate(F.sequence(F.lit(1), n + 1), start, step)["out"]
+    found = F.when((F.length(needle) > 0) & (n > 0) & text.contains(needle), walked).otherwise(F.array().cast("array<int>"))
     return F.when(text.isNotNull() & needle.isNotNull(), found)
 
 

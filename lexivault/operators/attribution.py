@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivault.functions.text import offsets, strip, words
-from lexivault.runtime import stage
+from lexivault.runtime import spread, stage
 
 ANCHOR = 3
 MAX_SHORT = 10_000
@@ -29,7 +29,7 @@ def span_hits(records: DataFrame, spans: str = "spans", stripped: bool = True) -
 
     ``stripped`` takes spans without outer white space. Null and empty spans have no occurrences.
     """
-    each = records.select("id", "text", F.explode(spans).alias("t"))
+    each = spread(records.where(F.size(spans) > 0)).select("id", "text", F.explode(spans).alias("t"))
     needle = strip(F.col("t")) if stripped else F.col("t")
     return each.select("id", "text", needle.alias("t")).where("t <> ''").distinct().select("id", F.length("t").alias("n"), F.explode(offsets(F.col("text"), F.col("t"))).alias("s")).select("id", "s", (F.col("s") + F.col("n")).alias("e"))
 
@@ -38,9 +38,9 @@ def _anchors(df: DataFrame, keep: list[str], k: int, inner: bool) -> DataFrame:
     """keep and gram: of a region the first gram without its outer words (inner), of a note all different ones."""
     w = words("text")
     if inner:
-        return df.withColumn("w", w).select(*keep, F.when(F.size("w") >= k + 2, F.xxhash64(F.slice("w", 2, k))).alias("gram"))
+        return df.withColumn("w", F.transform(w, lambda x: F.xxhash64(x))).select(*keep, F.when(F.size("w") >= k + 2, F.xxhash64(F.slice("w", 2, k))).alias("gram"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.slice("w", i, k))))
-    return df.withColumn("w", w).where(F.size("w") >= k).select(*keep, F.explode(grams).alias("gram"))
+    return df.withColumn("w", F.transform(w, lambda x: F.xxhash64(x))).where(F.size("w") >= k).select(*keep, F.explode(grams).alias("gram"))
 
 
 def corpus_occurrences(regions: DataFrame, notes: DataFrame, k: int = ANCHOR, max_short: int = MAX_SHORT) -> DataFrame:
@@ -52,14 +52,15 @@ def corpus_occurrences(regions: DataFrame, notes: DataFrame, k: int = ANCHOR, ma
     long = wanted.where("gram is not null")
     short = wanted.where("gram is null").select("region", F.col("text").alias("needle"))
     keys = long.select("gram").distinct()
-    near = _anchors(notes.where("text is not null").select("row_idx", "text"), ["row_idx"], k, False).join(keys, "gram", "left_semi")
+    notes = spread(notes.where("text is not null").select("row_idx", "text"))
+    near = _anchors(notes, ["row_idx"], k, False).join(keys, "gram", "left_semi")
     pairs = near.join(long.select("region", "gram", F.col("text").alias("needle")), "gram").select("region", "row_idx", "needle")
     found = notes.select("row_idx", "text").join(pairs, "row_idx")
     n_short = short.limit(max_short + 1).count()
     if n_short > max_short:
         raise ValueError(f"more than {max_short} regions of fewer than {k + 2} words; raise max_short or the least region length")
     if n_short:
-        every = notes.where("text is not null").select("row_idx", "text").join(F.broadcast(short), F.col("text").contains(F.col("needle")))
+        every = notes.join(F.broadcast(short), F.col("text").contains(F.col("needle")))
         found = found.select("row_idx", "text", "region", "needle").unionByName(every)
     return found.select("region", "row_idx", F.explode(offsets(F.col("text"), F.col("needle"))).alias("position"))
 

@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivault.functions.text import words
+from lexivault.runtime import spread
 
 
-def _grams(df: DataFrame, keys: list[str], words_col: str, tau: int) -> DataFrame:
-    """keys, pos (from 0), gram: one row per position."""
-    starts = F.sequence(F.lit(1), F.size(words_col) - tau + 1)
-    hashed = F.transform(starts, lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.slice(words_col, i, tau)).alias("gram")))
-    return df.where(F.size(words_col) >= tau).select(*keys, F.explode(hashed).alias("g")).select(*keys, "g.pos", "g.gram")
+def _grams(df: DataFrame, keep: list[str], words_col: str, tau: int) -> DataFrame:
+    """keep, pos (from 0), gram: one row per position. Each word is hashed once; grams are hashes of those and of the key."""
+    starts = F.sequence(F.lit(1), F.size("_h") - tau + 1)
+    grams = F.transform(starts, lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.slice("_h", i, tau), "_k").alias("gram")))
+    hashed = df.where(F.size(words_col) >= tau).select(*keep, F.xxhash64("key").alias("_k"), F.transform(words_col, lambda x: F.xxhash64(x)).alias("_h"))
+    return hashed.select(*keep, F.explode(grams).alias("g")).select(*keep, "g.pos", "g.gram")
 
 
 def gram_hits(candidates: DataFrame, sources: DataFrame, tau: int = 30) -> DataFrame:
@@ -26,11 +28,11 @@ def gram_hits(candidates: DataFrame, sources: DataFrame, tau: int = 30) -> DataF
 
     candidates: (id, key, text); sources: (key, text).
     """
-    made = candidates.where("key is not null and text is not null").select("id", "key", words("text").alias("w"))
+    made = spread(candidates.where("key is not null and text is not null").select("id", "key", "text")).select("id", "key", words("text").alias("w"))
     wanted = made.where(F.size("w") >= tau).select("key").distinct()
-    own = sources.where("text is not null").join(wanted, "key", "left_semi").select("key", words("text").alias("w"))
-    known = _grams(own, ["key"], "w", tau).select("key", "gram").distinct()
-    return _grams(made, ["id", "key"], "w", tau).join(known, ["key", "gram"], "left_semi").select("id", "pos")
+    own = spread(sources.where("text is not null").select("key", "text")).join(wanted, "key", "left_semi").select("key", words("text").alias("w"))
+    known = _grams(own, [], "w", tau).select("gram").distinct()
+    return _grams(made, ["id"], "w", tau).join(known, "gram", "left_semi").select("id", "pos")
 
 
 def gram_flag(candidates: DataFrame, sources: DataFrame, tau: int = 30) -> DataFrame:
