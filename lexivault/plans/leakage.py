@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexivault.functions.text import strip
 from lexivault.operators import attribution, grams, intervals
+from lexivault.runtime import stage
 from lexivault.sources.tables import table
 
 TAU = 30
@@ -37,13 +38,14 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def regions(spark: SparkSession, sf: str) -> DataFrame:
-    """Memorized regions: merged occurrences of a record's spans in its text."""
+    """Memorized regions: merged occurrences of a record's spans in its text; written once, as queries use them several times."""
     r = records(spark, sf)
     merged = intervals.merge_intervals(attribution.span_hits(r), ["id"])
     cut = merged.join(r.select("id", "key", "text", "eval_split", "prior_tier"), "id")
-    return cut.select(
+    named = cut.select(
         F.concat_ws(":", "id", "s", "e").alias("region"), "id", "key", F.col("s").cast("long").alias("gen_start"), F.col("e").cast("long").alias("gen_end"), F.substring("text", F.col("s") + 1, F.col("e") - F.col("s")).alias("text"), "eval_split", "prior_tier"
     )
+    return stage(named, "regions")
 
 
 def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -91,19 +93,31 @@ def memorized_token_pct(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.count_overlapping(tokens, merged, ["id"]).select("id", "n_tokens", "n_overlapping", (F.col("n_overlapping") / F.col("n_tokens")).alias("mem_token_pct"))
 
 
+def _long(r: DataFrame) -> DataFrame:
+    return r.where(F.length("text") >= attribution.MIN_PIECE)
+
+
+def recurrence_of(r: DataFrame, notes: DataFrame) -> DataFrame:
+    """(region, k_corpus, k_within) of regions of at least 30 characters."""
+    found = attribution.corpus_occurrences(_long(r).select("region", "text"), notes.select("row_idx", "text"))
+    return attribution.recurrence(found, notes, _long(r))
+
+
 def corpus_occurrences(spark: SparkSession, sf: str) -> DataFrame:
     """Every place in the corpus where a region of at least 30 characters stands."""
-    r = regions(spark, sf).where(F.length("text") >= attribution.MIN_PIECE)
-    return attribution.corpus_occurrences(r.select("region", "text"), corpus(spark, sf).select("row_idx", "text"))
+    return attribution.corpus_occurrences(_long(regions(spark, sf)).select("region", "text"), corpus(spark, sf).select("row_idx", "text"))
+
+
+def winners_of(r: DataFrame, notes: DataFrame) -> DataFrame:
+    return attribution.winner(attribution.own_matches(r.select("region", "key", "text"), notes))
 
 
 def attribution_winner(spark: SparkSession, sf: str) -> DataFrame:
-    return attribution.winner(attribution.own_matches(regions(spark, sf).select("region", "key", "text"), corpus(spark, sf)))
+    return winners_of(regions(spark, sf), corpus(spark, sf))
 
 
 def region_recurrence(spark: SparkSession, sf: str) -> DataFrame:
-    r = regions(spark, sf).where(F.length("text") >= attribution.MIN_PIECE)
-    return attribution.recurrence(corpus_occurrences(spark, sf), corpus(spark, sf), r)
+    return recurrence_of(regions(spark, sf), corpus(spark, sf))
 
 
 def recurrence_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,7 +150,7 @@ def contiguous_regions(spark: SparkSession, sf: str) -> DataFrame:
 def stitched_regions(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of touching regions and how many different notes win them; a run of several notes is stitched."""
     r = regions(spark, sf)
-    won = r.join(attribution_winner(spark, sf).select("region", "row_idx"), "region", "left")
+    won = r.join(winners_of(r, corpus(spark, sf)).select("region", "row_idx"), "region", "left")
     runs = intervals.contiguous_runs(won.select("id", "gen_start", "gen_end", "row_idx"), ["id"], "gen_start", "gen_end")
     each = runs.groupBy("id", "run").agg(F.countDistinct("row_idx").alias("n_notes"))
     return each.agg(F.count("*").alias("n_runs"), F.count_if(F.col("n_notes") > 1).alias("n_stitched"), F.avg("n_notes").alias("mean_notes"))

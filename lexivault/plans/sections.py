@@ -13,25 +13,24 @@ from lexivault.plans import cohort, leakage
 from lexivault.sources.tables import table
 
 
-def _segments(spark: SparkSession, sf: str) -> DataFrame:
+def _segments(r: DataFrame, notes: DataFrame) -> DataFrame:
     """Segments of attributed regions with their text."""
-    r = leakage.regions(spark, sf)
-    won = r.join(leakage.attribution_winner(spark, sf), "region").join(leakage.corpus(spark, sf).select("row_idx", F.col("text").alias("note")), "row_idx")
-    src = won.select("region", "text", "note", F.col("position").alias("pos"))
-    seg = sections.segment_regions(src)
+    won = r.join(leakage.winners_of(r, notes), "region").join(notes.select("row_idx", F.col("text").alias("note")), "row_idx")
+    seg = sections.segment_regions(won.select("region", "text", "note", F.col("position").alias("pos")))
     return seg.join(r.select("region", F.col("text").alias("whole")), "region").select("region", "segment", "section", "seg_start", "seg_end", "is_leading", F.substring("whole", F.col("seg_start") + 1, F.col("seg_end") - F.col("seg_start")).alias("text"))
 
 
 def section_segments(spark: SparkSession, sf: str) -> DataFrame:
-    return _segments(spark, sf)
+    return _segments(leakage.regions(spark, sf), leakage.corpus(spark, sf))
 
 
 def section_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return sections.classify_segments(_segments(spark, sf)).withColumn("rule_counts", F.to_json("rule_counts"))
+    return sections.classify_segments(section_segments(spark, sf)).withColumn("rule_counts", F.to_json("rule_counts"))
 
 
 def section_composition(spark: SparkSession, sf: str) -> DataFrame:
-    return sections.composition(sections.classify_segments(_segments(spark, sf)), leakage.region_recurrence(spark, sf))
+    r, notes = leakage.regions(spark, sf), leakage.corpus(spark, sf)
+    return sections.composition(sections.classify_segments(_segments(r, notes)), leakage.recurrence_of(r, notes))
 
 
 def top_sections(spark: SparkSession, sf: str, n: int = 10) -> DataFrame:
@@ -42,7 +41,7 @@ def top_sections(spark: SparkSession, sf: str, n: int = 10) -> DataFrame:
 
 def rule_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of each boilerplate rule in memorized segments."""
-    s = sections.classify_segments(_segments(spark, sf))
+    s = sections.classify_segments(section_segments(spark, sf))
     return s.select(F.explode("rule_counts").alias("rule", "n")).groupBy("rule").agg(F.sum("n").alias("n_tokens")).orderBy(F.desc("n_tokens"), "rule").limit(30)
 
 
