@@ -23,7 +23,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -51,6 +50,7 @@ ID_LABELS = ("ssn", "social security", "soc sec", "ss no", "mrn", "chart", "med
 ID_PREFIXES = frozenset("SSN MRN NO ID NHS SS DOB RM ROOM PHONE TEL PH CELL LOT ORDER FILE BP WT HZNO".split())
 PLAIN_LABELS = ("order", "file", "lot", "score", "prior", "room", "rm", "bay", "steps", "version")
 PHONE_LABELS = ("call", "fax", "ring", "phone", "tel", "cell", "mobile", "texts", "number since", "reached", "dialled", "contact number", "unavailable try", "ph", "h:")
+NAME_LABELS = ("caller was", "caller is", "caller", "spoke with", "spoke to", "spoken with", "talked to", "talked with", "name is", "name was", "name", "named", "called by", "call from", "message from", "signed by", "accompanied by", "habló con", "llamó")
 STREET = r"(?:Street|St|Avenue|Ave|Road|Rd\.|Rd|Lane|Ln|Boulevard|Blvd|Terrace|Court|Ct|Way|Drive|Place|Square|Close|Crescent)"
 
 _UP = "A-ZÀ-ÖØ-Þ"
@@ -99,10 +99,6 @@ class Lexicon:
     family: frozenset[str]
     ordinary: frozenset[str] = frozenset()  # words that also occur in lower case, not names
 
-    @cached_property
-    def listed(self) -> frozenset[str]:
-        return frozenset(n for n in self.given | self.family if " " not in n)
-
     def of(self, word: str) -> str:
         w = word.rstrip(".").lower()
         return ("g" if w in self.given else "") + ("f" if w in self.family else "") or "-"
@@ -116,7 +112,8 @@ def lexicon(names: Sequence[tuple[str, str]], texts: Sequence[str]) -> Lexicon:
     lower: Counter[str] = Counter()
     upper: Counter[str] = Counter()
     for text in texts:
-        lower.update(set(re.findall(r"(?<![^\s(])[a-zà-ÿ][a-zà-ÿ'’-]*(?=[\s,.;:)?!])", text)))
+        # Small letters after a label or in an address are no sign against a name.
+        lower.update(set(re.findall(r"(?<![^\s(])[a-zà-ÿ][a-zà-ÿ'’-]*(?=[\s,;:)?!]|\.(?!\w))", _LABELLED.sub(r"\1", text))))
         upper.update({w.lower() for w in re.findall(rf"(?<![^\s(])[{_UP}][a-zà-ÿ][a-zà-ÿ'’-]*(?=[\s,.;:)?!])", text)})
     least = 3 if len(texts) > 500 else 2
     # Words that open sentences in many texts and hardly stand elsewhere are no names either.
@@ -205,27 +202,60 @@ def _name_candidates(text: str, lex: Lexicon) -> Iterator[Candidate]:
 
 
 _LOWER = r"[a-zà-öø-ÿ]+(?:['’-][a-zà-öø-ÿ]+)*"
-
-
-def _lower_candidates(text: str, low: str, lex: Lexicon) -> Iterator[Candidate]:
-    """Names in small letters: a listed one, alone or with a neighbour that is no ordinary word."""
-    for word in lex.listed.intersection(low.replace(",", " ").replace(".", " ").split()):
-        if word not in text:
+_LOWER_WORD = re.compile(rf"(?<![\w@.+'’-]){_LOWER}(?![\w@+'’(-]|\.\w)")
+_LABELLED = re.compile(rf"\b({'|'.join(NAME_LABELS)})(:? {_LOWER}){{1,3}}", re.I)
+_LABEL_BEFORE = re.compile(rf"\b(?:{'|'.join(NAME_LABELS)}):? *$")
+_LOWER_INITIAL = re.compile(r"[a-zà-öø-ÿ]\.(?= )")
+
+
+def _lower_spans(text: str, at: int, lex: Lexicon) -> Iterator[tuple[tuple[str, ...], str, int]]:
+    """Spans from a place on, up to three words that aren't ordinary, with particles and initials before: (words, form, end)."""
+    words: list[str] = []
+    form = ""
+    while form.count("l") < 3 and len(form) < 7:
+        if m := form and _LOWER_INITIAL.match(text, at):
+            form += "i"
+        elif not (m := _LOWER_WORD.match(text, at)):
+            return
+        elif m.group() in PARTICLES:
+            form += "p"
+        elif len(m.group()) < 2 or m.group() in lex.ordinary:
+            return
+        else:
+            form += "l"
+        words.append(m.group())
+        if form[-1] == "l":
+            yield tuple(words), form, m.end()
+        at = m.end() + 1
+        if text[m.end() : at] != " ":
+            return
+
+
+def _lower_candidates(text: str, lex: Lexicon) -> Iterator[Candidate]:
+    """Names in small letters, on the list or not: one to three words of which none is ordinary."""
+    plain = text
+    for sign in ",.;:()?!/[]—–“”\"":
+        plain = plain.replace(sign, " ")
+    rare = {w for t in set(plain.split()).difference(lex.ordinary) if t.islower() for w in _LOWER_WORD.findall(t)}
+    for word in rare.difference(lex.ordinary, PARTICLES):
+        if len(word) < 2:
             continue
-        for m in re.finditer(rf"(?<![\w@.+'’-])(?:({_LOWER}) )?({re.escape(word)})(?![\w@+'’(-]|\.\w)(?: ({_LOWER})(?![\w@+'’(-]|\.\w))?", text):
-            spans = [(2, 2)]
-            spans += [(1, 2)] if m.group(1) and m.group(1) not in lex.ordinary else []
-            spans += [(2, 3)] if m.group(3) and m.group(3) not in lex.ordinary else []
-            for a, b in spans:
-                words = (m.group(2),) if a == b else (m.group(a), m.group(b))
-                yield Candidate(m.start(a), m.end(b), "person_name", "l" * len(words), ("z" + " ".join(map(lex.of, words)),), words)
+        at = text.find(word)
+        while at >= 0:
+            m = _LOWER_WORD.match(text, at)
+            if m and m.group() == word:
+                p = _PARTICLE_BEFORE.search(text, max(0, at - 9), at)
+                for start in (at, p.start(1)) if p else (at,):
+                    for words, form, end in _lower_spans(text, start, lex):
+                        yield Candidate(start, end, "person_name", form, ("z" + " ".join(map(lex.of, words)),), words)
+            at = text.find(word, at + len(word))
 
 
 def candidates(text: str, lex: Lexicon) -> list[Candidate]:
     """All candidate segments of a text."""
     out = list(_name_candidates(text, lex))
     low = text.lower()
-    out += _lower_candidates(text, low, lex)
+    out += _lower_candidates(text, lex)
     for k, sign in enumerate(_EMAIL_SIGNS):
         if any(map(low.__contains__, sign)):
             out += [Candidate(*m.span(), "email", str(k)) for m in _EMAIL[k].finditer(text)]
@@ -285,6 +315,9 @@ def features(text: str, c: Candidate, hide: tuple[str, ...] | None = None) -> li
         out += [f"{k}zf{flags[0]}|{c.form}" if flags else k, f"{k}zp{flags[0]}|{p1}" if flags else k, f"{k}zn{flags[0]}|{n1}" if flags else k]
         opens = not p1 or p1 == "^" or p1[-1] in ".!?;:"
         out += [f"{k}o{opens}|{c.form}", f"{k}oz{opens}|{flags[0]}|{glued}"]
+        if "l" in c.form:
+            label = _LABEL_BEFORE.search(" ".join(prev)) is not None
+            out += [f"{k}l{label}|{c.form}", f"{k}l{label}|{flags[0].strip('z- ') != ''}"]
         for i, w in enumerate(c.tokens):
             low = w.lower()
             spot = "L" if i == len(c.tokens) - 1 else "F"
@@ -423,6 +456,9 @@ def _label(text: str, island: list[Candidate], lex: Lexicon) -> set[int] | None:
     tokens = {t for i in names for t in island[i].tokens}
     if follow in EPONYMS or follow in BRANDS or follow in PLACES and text[end : end + 1] == " " or any(t.lower() in PLACES or t.lower() == "lane" for t in tokens):
         return set()
+    if all("l" in island[i].form for i in names) and not any(lex.of(t) != "-" for t in tokens):
+        # Rare words in small letters are no name where no label says so; after one they may be one that isn't listed.
+        return None if _LABEL_BEFORE.search(left) else set()
     named = [t for t in tokens if lex.of(t) != "-" or t.lower() in PARTICLES or len(t.rstrip(".")) == 1]
     if len(named) < len(tokens) or not any(lex.of(t) != "-" for t in tokens):
         return None
@@ -462,6 +498,15 @@ def fit(texts: Sequence[str], names: Sequence[tuple[str, str]], seed: int = 11,
                 break
         if len(data) >= max_islands:
             break
+    # Rare words in small letters are few; ordinary ones of each text show what a span without a name looks like.
+    bare = Lexicon(lex.given, lex.family)
+    for text in texts:
+        at = text.find(" ", rng.randrange(len(text))) + 1 if text else 0
+        spans = [c for c in _lower_spans(text, at, bare) if not any(lex.of(t) != "-" for t in c[0])] if at else []
+        if spans and not _LABEL_BEFORE.search(text[max(0, at - 30) : at].lower()):
+            words, form, end = rng.choice(spans)
+            own = features(text, Candidate(at, end, "person_name", form, ("z" + " ".join("-" for _ in words),), words))
+            data.append(([(at, end)], [own], [own], [False]))
     w: dict[str, float] = {}
     g2: dict[str, float] = {}
     for epoch in range(epochs):

@@ -402,6 +402,26 @@ def test_pii_tables(spark):
     assert pii.find(df.limit(0), model).count() == 0
 
 
+def test_pii_small_letters():
+    """Names in small letters: on the list, with no part on it, and of three words; rare words elsewhere are none."""
+    rng = random.Random(6)
+    names = [(n, "given") for n in GIVEN[::2]] + [(n, "family") for n in FAMILY[::2]]
+
+    def small(rng, given, family):
+        name = f"{rng.choice(given)} {rng.choice(['', '', 'van '])}{rng.choice(family)}".lower()
+        rest = rng.choice(["Denies nausea after meals.", f"Lives at {rng.randrange(1, 900)} {rng.choice(family)[:3]}{rng.choice(['mark', 'gate'])} street.".lower()])
+        return f"Reports cough. caller was {name}, who left no message. {rest}", name
+
+    model = pii.fit([letter(rng)[0] for _ in range(500)] + [small(rng, GIVEN, FAMILY)[0] for _ in range(200)], names)
+    cases = [small(rng, GIVEN[1::2], FAMILY[1::2]) for _ in range(40)] + [small(rng, GIVEN, FAMILY) for _ in range(40)]
+    got = [{text[s:e] for s, e, k in model.decode(text) if k == "person_name"} for text, _ in cases]
+    assert sum(name in found for (_, name), found in zip(cases, got)) >= 76
+    assert sum(found == {name} for (_, name), found in zip(cases, got)) >= 76
+    text = "Lisinavo tabsy taken; caller was vesodo van ebrick, who waits. uses tabsy rolvex nightly."
+    found = {text[c.start : c.end] for c in pii.candidates(text, model.lex)}
+    assert {"vesodo", "vesodo van ebrick", "van ebrick"} <= found
+
+
 def test_lattice_sums():
     """Marginals and the best segmentation against all subsets that don't overlap."""
     rng = random.Random(1)
