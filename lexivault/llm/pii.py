@@ -181,16 +181,36 @@ def _name_runs(text: str, lex: Lexicon) -> Iterator[list[tuple[int, int, str]]]:
 _GRAMMAR = re.compile(r"(?:C|I)?I?P?C|P?C|CI|P?C,CI?|P?C,I|CC?P?C|IIC")
 
 
+def _copies(words: list[str]) -> list[int]:
+    """For each word of a run the number of the copy it lies in, where up to four words stand at least three times in a row, else -1."""
+    out = [-1] * len(words)
+    if len(set(words)) == len(words):
+        return out
+    number = 0
+    for p in (1, 2, 3, 4):
+        k = p
+        while k < len(words):
+            b = k - p
+            while k < len(words) and words[k] == words[k - p]:
+                k += 1
+            if k - b >= 3 * p and all(x < 0 for x in out[b:k]):
+                out[b:k] = [number + i // p for i in range(k - b)]
+                number = out[k - 1] + 1
+            k += 1
+    return out
+
+
 def _name_candidates(text: str, lex: Lexicon) -> Iterator[Candidate]:
     for run in _name_runs(text, lex):
-        if len(run) > 12:
-            run = run[:12] if len(set(text[a:b] for a, b, _ in run)) < 3 else run
         kinds = [k for _, _, k in run]
         commas = ["," if "," in text[run[i][1] : run[i + 1][0]] else "" for i in range(len(run) - 1)]
         gaz = [lex.of(text[a:b]) for a, b, _ in run]
+        copies = _copies([text[a:b] for a, b, _ in run])
         for i in range(len(run)):
             form = ""
             for j in range(i, min(i + 5, len(run))):
+                if copies[i] != copies[j] and min(copies[i], copies[j]) >= 0:
+                    break  # a name doesn't reach from one copy of a looping text into the next
                 form += kinds[j]
                 if _GRAMMAR.fullmatch(form) and form != "I" and not (j == i and kinds[i] == "P"):
                     s, e = run[i][0], run[j][1]

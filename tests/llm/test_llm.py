@@ -422,6 +422,20 @@ def test_pii_small_letters():
     assert {"vesodo", "vesodo van ebrick", "van ebrick"} <= found
 
 
+def test_pii_repeated_name(spark):
+    """A looping text: every occurrence is found, and the work grows with the text only."""
+    rng = random.Random(6)
+    model = pii.fit([letter(rng)[0] for _ in range(300)], [(n, "given") for n in GIVEN] + [(n, "family") for n in FAMILY])
+    texts = ["Spoke with " + ", ".join(["Tovora Eskdale"] * n) + " today." for n in (3, 20, 400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for r in pii.redact(df, "id", "text", model).collect():
+        assert "Tovora" not in r["redacted"] and "Eskdale" not in r["redacted"]
+        assert r["n_found"] == (3, 20, 400)[r["id"]]
+    assert len(pii.candidates(texts[2], model.lex)) < 400 * 12
+    assert pii._copies("S a b a b a b c c".split()) == [-1, 0, 0, 1, 1, 2, 2, -1, -1]
+    assert pii._copies(["a"] * 3 + ["b"]) == [0, 1, 2, -1]
+
+
 def test_lattice_sums():
     """Marginals and the best segmentation against all subsets that don't overlap."""
     rng = random.Random(1)
