@@ -1,13 +1,15 @@
 """Filling fixed-capacity containers with items of varying length.
 
 Method: bound-certified repacking. Items are dealt to groups at random, each group is packed by best-fit
-decreasing, and dual-feasible functions give a lower bound that certifies its number of bins. Bins that
-leave room unused, in groups with a gap to their bound or with a slack last bin, are emptied; their
-items are exchanged between groups and packed again, until one group is left or a round gains nothing.
+decreasing, and dual-feasible functions give a lower bound that certifies its number of bins. A group
+that needs as many bins as its bound is optimal and is never touched again. Groups with a gap exchange the
+items of their bins that aren't full and are packed again, until no gap is left, fewer than two groups
+have one, or a round lowers the number of bins no further.
 
 An item above the capacity is split into full containers and a rest; no other item is ever split.
-Items of size 0 or null size take no room: they are listed without a container. Groups are sized by the
-sum of item sizes, so no task ever holds more than a bounded part of the items.
+Items of size 0 or null size take no room: they are listed without a container. Items are dealt by a hash of
+their row, not of their id, so a repeated or null id is no hot group; groups are sized by the sum of item
+sizes and by the number of items, so a task holds a bounded part of them.
 """
 
 from __future__ import annotations
@@ -23,9 +25,8 @@ from pyspark.sql import functions as F
 from lexivault.runtime import stage
 
 CAPACITY = 8192
-GROUP_BINS = 512
-SLACK = 0.005
-MAX_ROUNDS = 6
+GROUP_BINS = 2048
+GROUP_ITEMS = 200_000
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,50 +97,60 @@ def corpus_lower_bound(items: DataFrame, size_col: str, capacity: int) -> DataFr
 
 
 def _pack_groups(items: DataFrame, capacity: int, rnd: int) -> DataFrame:
-    """Best-fit decreasing within each group; adds bin, free, gap (bins of the group above its bound)."""
+    """Best-fit decreasing within each group; adds bin, free and the group's gap (bins above its bound)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "piece"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["row", "piece"], kind="stable", ignore_index=True)
         sizes = pdf["size"].to_numpy()
         bins, free = best_fit_decreasing(sizes, capacity)
         names = np.array([f"{rnd}-{pdf['group'].iloc[0]}-{b}" for b in range(len(free))], dtype=object)
-        return pdf[["id", "piece", "size"]].assign(bin=names[bins], free=free[bins], gap=len(free) - lower_bound(sizes, capacity))
+        return pdf[["row", "id", "piece", "size"]].assign(bin=names[bins], free=free[bins], group=pdf["group"], gap=len(free) - lower_bound(sizes, capacity))
 
     kind = dict(items.dtypes)["id"]
-    return items.groupBy("group").applyInPandas(run, f"id {kind}, piece int, size int, bin string, free long, gap int")
+    return items.groupBy("group").applyInPandas(run, f"row long, id {kind}, piece int, size int, bin string, free long, group int, gap int")
 
 
-def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY, group_bins: int = GROUP_BINS, slack: float = SLACK, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY, group_bins: int = GROUP_BINS, group_items: int = GROUP_ITEMS) -> DataFrame:
     """(id_col, piece INT, size INT, bin STRING, round INT): where every piece of every item lies.
 
-    Pieces count from 0. A bin that leaves more than slack of the capacity unused is packed anew with such
-    bins of other groups. Rows that repeat an id are items of their own.
+    Pieces count from 0. Rows that repeat an id, and all rows of a null id, are items of their own. A round
+    packs each group; groups at their bound are done, and so are full bins of the others. The items in the
+    other bins of groups with a gap are dealt to new groups and packed in the next round, which stands only
+    if it needs fewer bins than they had; else the bins stay as they were and no further round runs.
     """
     kind = dict(items.select(F.col(id_col).alias("id")).dtypes)["id"]
     src = items.select(F.col(id_col).alias("id"), F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0)).alias("n"))
     empty = src.where("n = 0").select("id", F.lit(0).alias("piece"), F.lit(0).alias("size"), F.lit(None).cast("string").alias("bin"), F.lit(None).cast("int").alias("round"))
-    rows = src.where("n > 0").withColumn("row", F.monotonically_increasing_id())
+    rows = stage(src.where("n > 0").withColumn("row", F.monotonically_increasing_id()), "items")
     full = rows.where(F.col("n") >= capacity).select(
         "id",
         F.explode(F.sequence(F.lit(1), F.floor(F.col("n") / capacity).cast("int"))).alias("p"),
         "row",
     ).select("id", (F.col("p") - 1).cast("int").alias("piece"), F.lit(capacity).cast("int").alias("size"), F.concat(F.lit("full-"), F.col("row").cast("string"), F.lit("-"), F.col("p").cast("string")).alias("bin"), F.lit(0).alias("round"))
-    pool = rows.where(F.col("n") % capacity > 0).select("id", F.floor(F.col("n") / capacity).cast("int").alias("piece"), (F.col("n") % capacity).cast("int").alias("size"))
+    pool = rows.where(F.col("n") % capacity > 0).select("row", "id", F.floor(F.col("n") / capacity).cast("int").alias("piece"), (F.col("n") % capacity).cast("int").alias("size"))
     done: list[DataFrame] = []
-    for rnd in range(1, max_rounds + 1):
-        total = pool.agg(F.sum("size")).first()[0]
+    before: tuple[DataFrame, int] | None = None  # the pool as it was packed, and in how many bins
+    rnd = 0
+    while True:
+        total, count = pool.agg(F.sum("size"), F.count("*")).first()
         if not total:
             break
-        groups = max(1, round(total / (capacity * group_bins)))
-        dealt = pool.withColumn("group", F.pmod(F.xxhash64("id", "piece", F.lit(rnd)), F.lit(groups)).cast("int"))
+        rnd += 1
+        groups = max(1, round(total / (capacity * group_bins)), -(-count // group_items))
+        dealt = pool.withColumn("group", F.pmod(F.xxhash64("row", F.lit(rnd)), F.lit(groups)).cast("int"))
         packed = stage(_pack_groups(dealt, capacity, rnd), f"packed-{rnd}")
-        last = groups == 1 or rnd == max_rounds
-        loose = F.col("free") > slack * capacity
-        kept = packed if last else packed.where(~loose)
-        done.append(kept.select("id", "piece", "size", "bin", F.lit(rnd).alias("round")))
-        if last:
+        if before and packed.agg(F.countDistinct("bin")).first()[0] >= before[1]:
+            done.append(before[0])
             break
-        pool = packed.where(loose).select("id", "piece", "size")
+        named = packed.select("id", "piece", "size", "bin", F.lit(rnd).alias("round"))
+        open_ = (F.col("gap") > 0) & (F.col("free") > 0)
+        n_open, n_groups = packed.where(open_).agg(F.countDistinct("bin"), F.countDistinct("group")).first()
+        if n_groups < 2:  # one group has nobody to exchange with
+            done.append(named)
+            break
+        done.append(named.where(~open_))
+        before = named.where(open_), n_open
+        pool = packed.where(open_).select("row", "id", "piece", "size")
     schema = f"id {kind}, piece int, size int, bin string, round int"
     parts = [full, *done, empty]
     return reduce(DataFrame.unionByName, [p.select("id", "piece", "size", "bin", "round") for p in parts]).to(_schema(items.sparkSession, schema)).withColumnRenamed("id", id_col)

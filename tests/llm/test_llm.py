@@ -248,6 +248,30 @@ def test_pack(spark):
     assert cert["lower_bound"] == packing.lower_bound(sizes, 100)
 
 
+def test_groups_at_their_bound_are_left(spark):
+    """Items that never share a bin are at their bound at once; a null id shared by most rows is no hot group."""
+    df = spark.createDataFrame([(i if i % 4 == 0 else None, 4097) for i in range(4000)], "id int, n int")
+    got = packing.pack(df, "id", "n", group_bins=64).groupBy("round").count().collect()
+    assert [tuple(r) for r in got] == [(1, 4000)]
+    dealt = df.withColumn("row", F.monotonically_increasing_id()).groupBy(F.pmod(F.xxhash64("row", F.lit(1)), F.lit(16)).alias("g")).count()
+    assert dealt.agg(F.max("count")).first()[0] < 2 * 4000 / 16
+
+
+def test_rounds_only_lower_the_count(spark):
+    """Sizes that pack badly in small groups: every item stays whole and a later round is kept only where it gains."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice([34, 35, 51, 52, 26, 27, 41])) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, n int")
+    out = packing.pack(df, "id", "n", 100, group_bins=4).collect()
+    assert sorted((r["id"], r["size"]) for r in out) == sorted(rows)
+    first = packing.pack(df, "id", "n", 100, group_bins=10_000).select("bin").distinct().count()
+    loads = Counter()
+    for r in out:
+        loads[r["bin"]] += r["size"]
+    assert max(loads.values()) <= 100 and len(loads) <= first * 1.15
+    assert {r["round"] for r in out} != {1}
+
+
 def test_pack_empty(spark):
     got = packing.pack(spark.createDataFrame([], "id long, n int"), "id", "n")
     assert got.count() == 0 and got.columns == ["id", "piece", "size", "bin", "round"]
