@@ -1,15 +1,18 @@
 """Personal information inside free text.
 
-Method: semi-Markov conditional random field. Rules propose candidate segments (whole spans with a type);
-features of the whole span and of the words around it score each; overlapping candidates form a lattice in
-which dynamic programming chooses the segments, boundaries and types jointly. A lattice holds a bounded
-number of candidates, as spans are bounded in tokens, so decoding is linear in the text.
+Method: semi-Markov conditional random field. Spans of at most ``MAX_TOKENS`` tokens that could be a name,
+and spans of the other types, are candidate segments. Features of the whole span, of its words and of the words
+around it score each; weights of pairs of types score segments that follow one another with nothing but
+separators between. Dynamic programming over the lattice of candidates chooses the segments jointly, their
+boundaries and types. Spans are bounded in tokens, so decoding is linear in the text.
 
 Weights are trained here by the field's likelihood (forward and backward sums over each lattice) on a bounded
 sample of texts (``max_train``). Labels of the sample are distant: a list of person names, formats
 that admit one reading, and label words before numbers. In training, names are hidden from the list's
 features at random, so that contexts and endings carry names the list doesn't have; lattices with parts that
-no rule explains are left out. Every text is then decoded whole; nothing is shuffled but the found items.
+no rule explains are left out. Which words are ordinary (mostly in small letters, or hardly anywhere but at the
+beginning of sentences) is counted over all texts. Every text is then decoded whole; nothing is shuffled but
+word counts and the found items.
 
 Null and blank texts hold nothing. A text that repeats a value names it once in ``found``; the redacted
 text has a typed placeholder in place of each occurrence and is otherwise unchanged.
@@ -20,7 +23,8 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import Counter
+import sys
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -30,32 +34,53 @@ from pyspark.sql import functions as F
 
 from lexivault.runtime import hash_sample, spread
 
-MAX_TRAIN = 4000
+MAX_TRAIN = 4000  # texts to train on
+MAX_TRAIN_CHARS = 20_000  # longer texts aren't taken into the sample, so that it is bounded in size too
+MAX_LATTICES = 40_000  # labelled lattices to train on
+MAX_NAMES = 200_000  # entries of the name list; more are refused
+MAX_ORDINARY = 5_000_000  # ordinary words; more are refused
+MAX_TOKENS = 5
 TYPES = ("person_name", "phone", "email", "identity_number", "street_address")
 
 # Words around names and numbers, in several languages.
 TITLES = frozenset("dr dr. dra dra. mr mr. mrs mrs. ms ms. miss prof prof. sr sr. sra sra. señor señora herr frau mme m. nurse".split())
 DEGREES = frozenset("md np rn pa do phd lpn fnp dnp msw lcsw pharmd crna".split())
 PARTICLES = frozenset("van von de da di del della den der la le st. al bin ten".split())
-ROLES = frozenset(
-    "neighbor neighbour interpreter daughter son husband wife sister brother mother father spouse partner guardian caregiver aunt uncle cousin friend emergency contact patient provider location visit date dob "
-    "referred signed electronically subjective negative phone message triage according spoke shares lives case call fax texts best pharmacy new number home oxygen ambulance mail billing moved found "
-    "portal forms consent scans send prefers wrote login checked copied card file room apt unit suite clinic january february march april may june july august september october november december "
-    "monday tuesday wednesday thursday friday saturday sunday enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre consta habló acompaña vive confirmed we their his her our my".split()
+RELATIONS = frozenset("neighbor neighbour interpreter daughter son husband wife sister brother mother father spouse partner guardian caregiver aunt uncle cousin friend patient provider".split())
+CALENDAR = frozenset(
+    "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday "
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
 )
 PLACES = frozenset("family street avenue lane clinic practice imaging center medical hospital center, surgery pharmacy laboratory institute".split())
 EPONYMS = frozenset("sign score test maneuver manoeuvre index scale criteria syndrome disease reflex".split())
 BRANDS = frozenset("forte xr sr er cr plus".split())
 ID_LABELS = ("ssn", "social security", "soc sec", "ss no", "mrn", "chart", "med rec", "medical record", "insurance", "policy", "member", "passport", "travel document", "licence", "license", "health number", "nhs")
-ID_PREFIXES = frozenset("SSN MRN NO ID NHS SS DOB RM ROOM PHONE TEL PH CELL LOT ORDER FILE BP WT HZNO".split())
+ID_PREFIXES = frozenset("SSN MRN NO ID NHS SS DOB RM ROOM PHONE TEL PH CELL LOT ORDER FILE BP WT".split())
 PLAIN_LABELS = ("order", "file", "lot", "score", "prior", "room", "rm", "bay", "steps", "version")
 PHONE_LABELS = ("call", "fax", "ring", "phone", "tel", "cell", "mobile", "texts", "number since", "reached", "dialled", "contact number", "unavailable try", "ph", "h:")
 NAME_LABELS = ("caller was", "caller is", "caller", "spoke with", "spoke to", "spoken with", "talked to", "talked with", "name is", "name was", "name", "named", "called by", "call from", "message from", "signed by", "accompanied by", "habló con", "llamó")
 STREET = r"(?:Street|St|Avenue|Ave|Road|Rd\.|Rd|Lane|Ln|Boulevard|Blvd|Terrace|Court|Ct|Way|Drive|Place|Square|Close|Crescent)"
 
-_UP = "A-ZÀ-ÖØ-Þ"
-_LET = "A-Za-zÀ-ÖØ-öø-ÿ"
-_CAP = re.compile(rf"(?<![\w@.+'’-])(?:[{_UP}]['’])?[{_UP}][{_LET}]*(?:['’-][{_LET}]+)*\.?")
+
+def _char_class(belongs) -> str:
+    """The inside of a character class, as ranges, of all characters for which belongs is true."""
+    out, start = [], -1
+    for i in range(sys.maxunicode + 2):
+        if i <= sys.maxunicode and belongs(chr(i)):
+            start = i if start < 0 else start
+        elif start >= 0:
+            out.append(f"{chr(start)}-{chr(i - 1)}" if i - start > 1 else chr(start))
+            start = -1
+    return "".join(out)
+
+
+_UP = _char_class(lambda c: c.isupper() or c.istitle())
+_LOW = _char_class(str.islower)
+_CASELESS = _char_class(lambda c: c.isalpha() and not c.isupper() and not c.islower() and not c.istitle())
+_UNSPACED = "぀-ヿ㐀-䶿一-鿿"  # kana and Han: no spaces between words
+_LET = r"[^\W\d_]"
+_CAP = re.compile(rf"(?<![\w@.+'’-])(?:(?:[{_UP}]['’])?[{_UP}]{_LET}*(?:['’-]{_LET}+)*\.?|[{_CASELESS}]+)")
+_UNSPACED_RUN = re.compile(f"[{_UNSPACED}]{{2,}}")
 _PARTICLE_BEFORE = re.compile(r"(?:(?<=\s)|^)(van der|van den|de la|van|von|de|da|di|del)\s{1,2}$")
 _EMAIL = [
     re.compile(r"(?<![\w.+-])[\w.+-]*\w[ ]?@[ ]?\w[\w-]*(?:\.\w[\w-]*)+"),
@@ -64,23 +89,25 @@ _EMAIL = [
 ]
 _NUMBER = re.compile(r"(?<![\w.\-/@+#])#?(?=[\d(+][\d() .\-]{5})(\+?(?:\(\d{1,5}\)|\d{1,12})(?:[ .\-]{0,1}(?:\(\d{1,5}\)|\d{1,12})){0,6})(?![\w@]|[\-/.]\d)")
 _CODE = re.compile(r"(?<![\w.\-/@])([A-Z]{1,6})([ \-]?)(\d(?:[\d \-]{2,16})\d)(?![\w/@]|-\d)")
-_SPOKEN = re.compile(r"\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple)(?:[ -](?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple)){5,}\b", re.I)
+_DIGIT = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple)"
+_SPOKEN = re.compile(rf"\b{_DIGIT}(?:[ -]{_DIGIT}){{5,}}\b", re.I)
 _ADDRESS = [
-    re.compile(rf"(?<![\w.\-/])\d{{1,5}}[A-Za-z]?(?: bis,?)? (?:[NSEW]\.? |North |South |East |West )?(?:[{_LET}'’-]+ ){{1,3}}?{STREET}(?![\w])(?:,? (?:Apt|Unit|Suite|Ste|Flat|Apartment)\.? ?#?\w+|,? #\s?\w+)?", re.I),
-    re.compile(rf"(?<![\w.\-/])\d{{1,5}}(?: bis| ter)?,? (?:rue|avenue|boulevard|place|chemin|allée|quai|impasse) (?:des|du|de la|de l['’]|de|d['’])?\s?[{_LET}'’-]+(?:,? (?:appt?|bât)\.? ?\w+)?", re.I),
-    re.compile(rf"\b(?:Calle|Avenida|Plaza|Paseo|Camino|Avda\.?|C/) ?(?:de (?:la |los |las )?)?[{_LET}'’-]+,? \d{{1,5}}(?:, ?\d+[ºª] ?[A-Z]?)?", re.I),
-    re.compile(rf"(?<![\w-])[{_LET}-]{{2,40}}?(?:straße|strasse|weg|gasse|allee|platz|ring|str\.) \d{{1,5}}(?: ?[a-z](?!\w))?", re.I),
+    re.compile(rf"(?<![\w.\-/])\d{{1,5}}[A-Za-z]?(?: bis,?)? (?:[NSEW]\.? |North |South |East |West )?(?:(?:{_LET}|['’-])+ ){{1,3}}?{STREET}(?![\w])(?:,? (?:Apt|Unit|Suite|Ste|Flat|Apartment)\.? ?#?\w+|,? #\s?\w+)?", re.I),
+    re.compile(rf"(?<![\w.\-/])\d{{1,5}}(?: bis| ter)?,? (?:rue|avenue|boulevard|place|chemin|allée|quai|impasse) (?:des|du|de la|de l['’]|de|d['’])?\s?(?:{_LET}|['’-])+(?:,? (?:appt?|bât)\.? ?\w+)?", re.I),
+    re.compile(rf"\b(?:Calle|Avenida|Plaza|Paseo|Camino|Avda\.?|C/) ?(?:de (?:la |los |las )?)?(?:{_LET}|['’-])+,? \d{{1,5}}(?:, ?\d+[ºª] ?[A-Z]?)?", re.I),
+    re.compile(rf"(?<![\w-])(?:{_LET}|-){{2,40}}?(?:straße|strasse|weg|gasse|allee|platz|ring|str\.) \d{{1,5}}(?: ?[a-z](?!\w))?", re.I),
 ]
-_OPENING = re.compile(rf"((?:^|\n|(?<!Dr)(?<!Mr)(?<!Ms)(?<!rs)(?<!St)(?<!\b[A-Z])[.!?:(])\s*(?:- )?|(?<=- ))?\b([{_UP}][a-zà-ÿ]+(?:['’][a-z]+)?)( [a-zà-ÿ])?")
-# What a text must hold, in lower case, for a pattern to be tried.
-_EMAIL_SIGNS = (("@",), ("at)", "at]", "at}", "at>", "at )", "at ]"), (" dot ",))
+# Parts without which, in lower case, a pattern can't match: only a faster no.
+_EMAIL_SIGNS = (("@",), ("at)", "at]", "at}", "at>", "at )", "at ]", "at }", "at >"), (" dot ",))
 _ADDRESS_SIGNS = (
-    ("st", "street", "ave", "road", "rd", "lane", "ln", "blvd", "boulevard", "terrace", "court", "ct", "way", "drive", "place", "square", "close", "crescent"),
-    (" rue ", " avenue d", " boulevard ", " place ", " chemin ", " allée ", " quai ", " impasse "),
+    tuple(f" {w}" for w in ("st", "ave", "road", "rd", "lane", "ln", "boulevard", "blvd", "terrace", "court", "ct", "way", "drive", "place", "square", "close", "crescent")),
+    ("rue ", "avenue ", "boulevard ", "place ", "chemin ", "allée ", "quai ", "impasse "),
     ("calle", "avenida", "plaza", "paseo", "camino", "avda", "c/"),
     ("straße ", "strasse ", "weg ", "gasse ", "allee ", "platz ", "ring ", "str. "),
 )
+_SPOKEN_SIGN = re.compile(rf"{_DIGIT}[ -]{_DIGIT}[ -]")
 _ZERO = str.maketrans("123456789", "000000000")
+_ABBREVIATIONS = frozenset(map(str.lower, ID_PREFIXES))
 
 
 @dataclass(slots=True)
@@ -97,65 +124,112 @@ class Candidate:
 class Lexicon:
     given: frozenset[str]
     family: frozenset[str]
-    ordinary: frozenset[str] = frozenset()  # words that also occur in lower case, not names
+    ordinary: frozenset[str] = frozenset()  # in small letters, by their counts in all texts
 
-    def of(self, word: str) -> str:
+    def __post_init__(self) -> None:
+        self.plain = (self.ordinary | RELATIONS | CALENDAR | BRANDS | _ABBREVIATIONS) - self.given - self.family  # words that alone make no name
+        self.known: dict[str, str] = {w: ("g" if w in self.given else "") + ("f" if w in self.family else "") for w in self.given | self.family}
+
+    def unlisted(self, word: str) -> str:
+        """The class of a word as if it were on no list of names."""
         w = word.rstrip(".").lower()
-        return ("g" if w in self.given else "") + ("f" if w in self.family else "") or "-"
+        return "o" if w in self.ordinary else "r" if w in RELATIONS else "c" if w in CALENDAR else "b" if w in BRANDS else "a" if w in _ABBREVIATIONS else "-"
 
+    def of(self, word: str) -> str:
+        """g and f as the list has it, o ordinary, r a relation, c of the calendar, b of a drug's name, a an abbreviated label, else -."""
+        return self.known.get(word.rstrip(".").lower()) or self.unlisted(word)
 
-def lexicon(names: Sequence[tuple[str, str]], texts: Sequence[str]) -> Lexicon:
-    """Names by kind, each also by its parts without particles; ordinary words of the sample."""
-    given = {n.lower() for n, k in names if k == "given"}
-    family = {n.lower() for n, k in names if k == "family"}
-    family |= {n.split()[-1] for n in family}
-    lower: Counter[str] = Counter()
-    upper: Counter[str] = Counter()
-    for text in texts:
-        # Small letters after a label or in an address are no sign against a name.
-        lower.update(set(re.findall(r"(?<![^\s(])[a-zà-ÿ][a-zà-ÿ'’-]*(?=[\s,;:)?!]|\.(?!\w))", _LABELLED.sub(r"\1", text))))
-        upper.update({w.lower() for w in re.findall(rf"(?<![^\s(])[{_UP}][a-zà-ÿ][a-zà-ÿ'’-]*(?=[\s,.;:)?!])", text)})
-    least = 3 if len(texts) > 500 else 2
-    # Words that open sentences in many texts and hardly stand elsewhere are no names either.
-    opening: Counter[str] = Counter()
-    capital: Counter[str] = Counter()
-    for text in texts:
-        words = {(m.group(2).lower(), m.group(1) is not None and m.group(3) is not None) for m in _OPENING.finditer(text)}
-        capital.update({w for w, _ in words})
-        opening.update({w for w, first in words if first})
-    many = max(5, len(texts) // 200)
-    starters = {w for w, n in opening.items() if n >= many and n * 10 >= capital[w] * 9 and w not in given and w not in family}
-    ordinary = frozenset(w for w, n in lower.items() if n >= least and n * 4 >= upper[w] and w not in given and w not in family)
-    return Lexicon(frozenset(given), frozenset(family), ordinary | starters)
 
+def listed_names(names: Sequence[tuple[str, str]]) -> tuple[frozenset[str], frozenset[str]]:
+    """Given and family names in small letters, family names also without particles."""
+    given = frozenset(n.lower() for n, k in names if k == "given")
+    family = frozenset(n.lower() for n, k in names if k == "family")
+    return given, family | {n.split()[-1] for n in family if n.strip()}
 
-def _is_capital_line(text: str, start: int) -> bool:
-    line = text[max(text.rfind("\n", 0, start), start - 80) + 1 : start + 80].split("\n")[0]
-    return len(line) > 40 and line.upper() == line
 
+_LOWER = rf"[{_LOW}]+(?:['’-][{_LOW}]+)*"
+_LOWER_WORD = re.compile(rf"(?<![\w@.+'’-]){_LOWER}(?![\w@+'’(-]|\.\w)")
+_LABEL_BEFORE = re.compile(rf"\b(?:{'|'.join(NAME_LABELS)}):? *$")
+_LOWER_INITIAL = re.compile(rf"[{_LOW}]\.(?= )")
+_LOW_TOKEN = re.compile(rf"\(?([{_LOW}][{_LOW}'’-]*)(?:[,;:)?!]|\.(?!\w)|$)")
+_UP_TOKEN = re.compile(rf"\(?([{_UP}][{_LOW}][{_LOW}'’-]*)(?:[,;:)?!]|\.(?!\w)|$)")
+_OPENING = re.compile(rf"(?:\A|\n|(?<!Dr)(?<!Mr)(?<!Ms)(?<!rs)(?<!St)[.!?:(])\s*(?:- )?([{_UP}][{_LOW}]+(?:['’][{_LOW}]+)?)(?= [{_LOW}])")
+_LABELLED = re.compile(rf"\b(?:{'|'.join(NAME_LABELS)}):?((?: {_LOWER}){{1,3}})", re.I)
+_LABEL_SIGNS = ("call", "poke", "talked", "name", "message", "signed", "ompanied", "habl", "llam")
+_TALLY = 1_000_000  # different tokens a task holds before it hands them on
+
+
+def _folded(tokens: Counter[str], opening: Counter[str], labelled: Counter[str]) -> pd.DataFrame:
+    """(word, low, up, open) from counts of tokens as they stand."""
+    out: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+    for t, n in tokens.items():
+        if m := _LOW_TOKEN.match(t):
+            out[m.group(1)][0] += n
+        elif m := _UP_TOKEN.match(t):
+            out[m.group(1).lower()][1] += n
+    for t, n in labelled.items():
+        if m := _LOW_TOKEN.match(t):
+            out[m.group(1)][0] -= n
+    for t, n in opening.items():
+        out[t.lower()][2] += n
+    return pd.DataFrame([(w, *n) for w, n in out.items()], columns=["word", "low", "up", "open"])
+
+
+def ordinary_words(texts: DataFrame, least: int = 3, share: float = 1e-6, opening_share: float = 0.005) -> DataFrame:
+    """(word): words that stand in small letters in at least least texts (and share of all) and a fourth as often as
+    capitalised, or of which nine in ten capitalised ones open a sentence, in opening_share of all texts.
+
+    Counted once a text and form, over all texts; each task sums its own texts first. Small letters after a
+    word that announces a name don't count.
+    """
 
-def _name_runs(text: str, lex: Lexicon) -> Iterator[list[tuple[int, int, str]]]:
-    """Runs of neighbouring tokens that may be parts of a name: (start, end, class), C capitalised, I initial, P particle."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens: Counter[str] = Counter()
+        opening: Counter[str] = Counter()
+        labelled: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                tokens.update(set(text.split()))
+                opening.update(set(_OPENING.findall(text)))
+                if any(map(text.__contains__, _LABEL_SIGNS)):
+                    labelled.update({w for m in _LABELLED.findall(text) for w in m.split()})
+            if len(tokens) > _TALLY:
+                yield _folded(tokens, opening, labelled)
+                tokens.clear(), opening.clear(), labelled.clear()
+        yield _folded(tokens, opening, labelled)
+
+    each = texts.where("text is not null").select("text").mapInPandas(run, "word string, low long, up long, open long")
+    counted = each.groupBy("word").agg(F.sum("low").alias("low"), F.sum("up").alias("up"), F.sum("open").alias("open"))
+    n = texts.count()
+    small = (F.col("low") >= max(least, n * share)) & (F.col("low") * 4 >= F.col("up"))
+    starts = (F.col("open") >= max(5, n * opening_share)) & (F.col("open") * 10 >= F.col("up") * 9)
+    return counted.where(small | starts).select("word")
+
+
+def _spaced_runs(text: str) -> Iterator[list[tuple[int, int, str]]]:
+    """Runs of neighbouring tokens that may be parts of a name: (start, end, class), C capitalised or without case, I initial, P particle."""
     run: list[tuple[int, int, str]] = []
-    ordinary = lex.ordinary
     for m in _CAP.finditer(text):
         s, e = m.span()
         w = m.group()
+        low = w.lower()
+        kind = "C"
         if w[-1] == ".":
-            low = w.lower()
             if len(w) == 2:
                 kind = "I"
             elif low == "st.":
                 kind = "P"
             else:
-                w, e, kind = w[:-1], e - 1, "C"
+                e -= 1
                 if low in TITLES:
                     kind = ""
-        else:
-            kind = "C"
-        low = w.lower()
-        if kind == "C" and (len(w) < 2 or low in ordinary or low in ROLES or low in TITLES or low in DEGREES or text[e : e + 1] == ":" or low in BRANDS):
-            kind = "P" if low in PARTICLES and w.isupper() and len(w) > 1 else ""
+                else:
+                    low = low[:-1]
+        if kind == "C":
+            if low in TITLES or low in DEGREES or text[e : e + 1] == ":":
+                kind = "P" if low in PARTICLES and w.isupper() and len(w) > 1 else ""
+            elif len(w) < 2:
+                kind = "I"
         if not kind:
             if run:
                 yield run
@@ -163,7 +237,7 @@ def _name_runs(text: str, lex: Lexicon) -> Iterator[list[tuple[int, int, str]]]:
             continue
         if run:
             gap = text[run[-1][1] : s]
-            if gap.strip(" ,\t") or "\n" in gap or len(gap) > 4 or gap.count(",") > 1 or not gap:
+            if gap != " " and (gap.strip(" ,\t") or "\n" in gap or len(gap) > 4 or gap.count(",") > 1 or not gap):
                 between = gap.strip()
                 if between in PARTICLES and "\n" not in gap and len(gap) < 10:
                     at = run[-1][1] + gap.index(between)
@@ -178,9 +252,6 @@ def _name_runs(text: str, lex: Lexicon) -> Iterator[list[tuple[int, int, str]]]:
         yield run
 
 
-_GRAMMAR = re.compile(r"(?:C|I)?I?P?C|P?C|CI|P?C,CI?|P?C,I|CC?P?C|IIC")
-
-
 def _copies(words: list[str]) -> list[int]:
     """For each word of a run the number of the copy it lies in, where up to four words stand at least three times in a row, else -1."""
     out = [-1] * len(words)
@@ -201,34 +272,44 @@ def _copies(words: list[str]) -> list[int]:
 
 
 def _name_candidates(text: str, lex: Lexicon) -> Iterator[Candidate]:
-    for run in _name_runs(text, lex):
-        kinds = [k for _, _, k in run]
+    """Spans of at most MAX_TOKENS tokens of a run of which at least one is no ordinary word."""
+    plain = lex.plain
+    for run in _spaced_runs(text):
+        words = [text[a:b] for a, b, _ in run]
+        worth = [k == "C" and w.lower() not in plain for (_, _, k), w in zip(run, words)]
+        if not any(worth):
+            continue
         commas = ["," if "," in text[run[i][1] : run[i + 1][0]] else "" for i in range(len(run) - 1)]
-        gaz = [lex.of(text[a:b]) for a, b, _ in run]
-        copies = _copies([text[a:b] for a, b, _ in run])
+        gaz = [lex.of(w) for w in words]
+        copies = _copies(words)
         for i in range(len(run)):
             form = ""
-            for j in range(i, min(i + 5, len(run))):
+            good = False
+            for j in range(i, min(i + MAX_TOKENS, len(run))):
                 if copies[i] != copies[j] and min(copies[i], copies[j]) >= 0:
                     break  # a name doesn't reach from one copy of a looping text into the next
-                form += kinds[j]
-                if _GRAMMAR.fullmatch(form) and form != "I" and not (j == i and kinds[i] == "P"):
-                    s, e = run[i][0], run[j][1]
-                    words = tuple(text[a:b] for a, b, _ in run[i : j + 1])
-                    case = "U" if len(words[-1]) > 2 and words[-1].isupper() or words[0].isupper() and len(words[0]) > 2 else "t"
-                    yield Candidate(s, e, "person_name", form + case, ("z" + " ".join(gaz[i : j + 1]),), words)
+                form += run[j][2]
+                good = good or worth[j]
+                if good:
+                    own = tuple(words[i : j + 1])
+                    case = "U" if len(own[-1]) > 2 and own[-1].isupper() or own[0].isupper() and len(own[0]) > 2 else "t"
+                    yield Candidate(run[i][0], run[j][1], "person_name", form + case, ("z" + " ".join(gaz[i : j + 1]),), own)
                 if j < len(commas):
                     form += commas[j]
 
 
-_LOWER = r"[a-zà-öø-ÿ]+(?:['’-][a-zà-öø-ÿ]+)*"
-_LOWER_WORD = re.compile(rf"(?<![\w@.+'’-]){_LOWER}(?![\w@+'’(-]|\.\w)")
-_LABELLED = re.compile(rf"\b({'|'.join(NAME_LABELS)})(:? {_LOWER}){{1,3}}", re.I)
-_LABEL_BEFORE = re.compile(rf"\b(?:{'|'.join(NAME_LABELS)}):? *$")
-_LOWER_INITIAL = re.compile(r"[a-zà-öø-ÿ]\.(?= )")
+def _unspaced_candidates(text: str, lex: Lexicon) -> Iterator[Candidate]:
+    """Stretches of two to four characters of scripts without spaces, where they don't make up a whole token."""
+    for m in _UNSPACED_RUN.finditer(text):
+        s, e = m.span()
+        for n in (2, 3, 4):
+            for at in range(s, e - n + 1):
+                if n < e - s:
+                    word = text[at : at + n]
+                    yield Candidate(at, at + n, "person_name", f"H{n}", ("z" + lex.of(word),), (word,))
 
 
-def _lower_spans(text: str, at: int, lex: Lexicon) -> Iterator[tuple[tuple[str, ...], str, int]]:
+def _lower_spans(text: str, at: int, plain: frozenset[str]) -> Iterator[tuple[tuple[str, ...], str, int]]:
     """Spans from a place on, up to three words that aren't ordinary, with particles and initials before: (words, form, end)."""
     words: list[str] = []
     form = ""
@@ -239,7 +320,7 @@ def _lower_spans(text: str, at: int, lex: Lexicon) -> Iterator[tuple[tuple[str,
             return
         elif m.group() in PARTICLES:
             form += "p"
-        elif len(m.group()) < 2 or m.group() in lex.ordinary:
+        elif len(m.group()) < 2 or m.group() in plain:
             return
         else:
             form += "l"
@@ -251,13 +332,13 @@ def _lower_spans(text: str, at: int, lex: Lexicon) -> Iterator[tuple[tuple[str,
             return
 
 
+_SPLIT = str.maketrans(dict.fromkeys(",.;:()?!/[]—–“”\"", " "))
+
+
 def _lower_candidates(text: str, lex: Lexicon) -> Iterator[Candidate]:
     """Names in small letters, on the list or not: one to three words of which none is ordinary."""
-    plain = text
-    for sign in ",.;:()?!/[]—–“”\"":
-        plain = plain.replace(sign, " ")
-    rare = {w for t in set(plain.split()).difference(lex.ordinary) if t.islower() for w in _LOWER_WORD.findall(t)}
-    for word in rare.difference(lex.ordinary, PARTICLES):
+    rare = {w for t in set(text.translate(_SPLIT).split()).difference(lex.plain) if t.islower() for w in _LOWER_WORD.findall(t)}
+    for word in rare.difference(lex.plain, PARTICLES):
         if len(word) < 2:
             continue
         at = text.find(word)
@@ -266,7 +347,7 @@ def _lower_candidates(text: str, lex: Lexicon) -> Iterator[Candidate]:
             if m and m.group() == word:
                 p = _PARTICLE_BEFORE.search(text, max(0, at - 9), at)
                 for start in (at, p.start(1)) if p else (at,):
-                    for words, form, end in _lower_spans(text, start, lex):
+                    for words, form, end in _lower_spans(text, start, lex.plain):
                         yield Candidate(start, end, "person_name", form, ("z" + " ".join(map(lex.of, words)),), words)
             at = text.find(word, at + len(word))
 
@@ -276,6 +357,8 @@ def candidates(text: str, lex: Lexicon) -> list[Candidate]:
     out = list(_name_candidates(text, lex))
     low = text.lower()
     out += _lower_candidates(text, lex)
+    if not text.isascii():
+        out += _unspaced_candidates(text, lex)
     for k, sign in enumerate(_EMAIL_SIGNS):
         if any(map(low.__contains__, sign)):
             out += [Candidate(*m.span(), "email", str(k)) for m in _EMAIL[k].finditer(text)]
@@ -286,16 +369,17 @@ def candidates(text: str, lex: Lexicon) -> list[Candidate]:
             s, e = m.span(1)
             plain = re.sub(r"\D", "", value)
             fmt = re.sub(r"\d", "9", value)
-            flags = (f"d{digits}", f"a{plain[:3]}", f"A{plain[:2]}", f"m{plain[-7:-4]}", f"x{plain[-7:-4] == '555'}|{fmt}")
+            flags = (f"d{digits}", f"A{plain[:2]}", f"h{text[s - 1 : s] == '#'}")
             if digits >= 7:
                 out.append(Candidate(s, e, "phone", fmt, flags))
             out.append(Candidate(s, e, "identity_number", fmt, flags))
     for m in _CODE.finditer(text):
-        if m.group(1) in ID_PREFIXES or sum(c.isdigit() for c in m.group(3)) < 5:
+        if sum(c.isdigit() for c in m.group(3)) < 5:
             continue
-        value = m.group()
-        out.append(Candidate(*m.span(), "identity_number", re.sub(r"\d", "9", value[len(m.group(1)) :]), ("c" + m.group(1), f"l{len(m.group(1))}" + re.sub(r"\d", "9", value[len(m.group(1)) :]))))
-    if "five" in low or "zero" in low or "one " in low:
+        letters = m.group(1)
+        fmt = re.sub(r"\d", "9", m.group()[len(letters) :])
+        out.append(Candidate(*m.span(), "identity_number", fmt, ("c" + letters, f"l{len(letters)}" + fmt, f"label{letters in ID_PREFIXES}")))
+    if _SPOKEN_SIGN.search(low):
         for m in _SPOKEN.finditer(text):
             out.append(Candidate(*m.span(), "phone", "spoken"))
     for k, pattern in enumerate(_ADDRESS):
@@ -309,97 +393,126 @@ def candidates(text: str, lex: Lexicon) -> list[Candidate]:
     return out
 
 
-def _context(text: str, c: Candidate) -> tuple[list[str], list[str], str]:
-    left = text[max(0, c.start - 60) : c.start]
-    line = left.rpartition("\n")[2]
+def _left(text: str, start: int) -> tuple[str, ...]:
+    """Up to three words before a place in its line, ^ for the line's beginning, before which stand words of the line above if nothing else does."""
+    left = text[max(0, start - 60) : start]
+    above, _, line = left.rpartition("\n")
     prev = line.translate(_ZERO).lower().split()[-3:]
-    if len(line) < len(left) or c.start < 60:
-        prev = ["^", *prev][-3:] if len(prev) < 3 else prev
-    right = text[c.end : c.end + 40]
+    if len(prev) < 3 and (len(line) < len(left) or start < 60):
+        return ("^", *prev) if prev else (*above.rpartition("\n")[2].translate(_ZERO).lower().split()[-2:], "^")
+    return tuple(prev)
+
+
+def _right(text: str, end: int) -> tuple[str, str, str]:
+    """(what stands next, the next two words of the line)."""
+    right = text[end : end + 40]
     nxt = right.partition("\n")[0].translate(_ZERO).lower().split()[:2]
     glued = "" if not right else "_" if right[0] == " " else "n" if right[0] == "\n" else right[0]
-    return prev, nxt, glued
+    return glued, nxt[0] if nxt else "", nxt[1] if len(nxt) > 1 else ""
 
 
-def features(text: str, c: Candidate, hide: tuple[str, ...] | None = None) -> list[str]:
-    """Features of a whole segment; ``hide`` replaces what the name list says of its tokens."""
-    prev, nxt, glued = _context(text, c)
-    p1 = prev[-1] if prev else ""
-    p2 = " ".join(prev[-2:])
-    n1 = nxt[0] if nxt else ""
-    k = c.kind[0] + c.kind[1]
-    flags = hide if hide is not None else c.flags
-    out = [k, f"{k}f{c.form}", f"{k}p{p1}", f"{k}q{p2}", f"{k}n{glued}{n1}", f"{k}r{n1} {nxt[1] if len(nxt) > 1 else ''}", f"{k}pf{p1}|{c.form}", f"{k}nf{n1}|{c.form}", f"{k}g{glued}"]
-    out += [f"{k}{x}" for x in flags]
-    if c.kind == "person_name":
-        out += [f"{k}zf{flags[0]}|{c.form}" if flags else k, f"{k}zp{flags[0]}|{p1}" if flags else k, f"{k}zn{flags[0]}|{n1}" if flags else k]
-        opens = not p1 or p1 == "^" or p1[-1] in ".!?;:"
-        out += [f"{k}o{opens}|{c.form}", f"{k}oz{opens}|{flags[0]}|{glued}"]
-        if "l" in c.form:
-            label = _LABEL_BEFORE.search(" ".join(prev)) is not None
-            out += [f"{k}l{label}|{c.form}", f"{k}l{label}|{flags[0].strip('z- ') != ''}"]
-        for i, w in enumerate(c.tokens):
-            low = w.lower()
-            spot = "L" if i == len(c.tokens) - 1 else "F"
-            out += [f"{k}s{low[-3:]}", f"{k}s{spot}{low[-3:]}|{c.form}", f"{k}e{low[:3]}"]
-    else:
-        out += [f"{k}b{w}" for w in prev] + [f"{k}bf{w}|{c.form}" for w in prev]
+def _own_features(k: str, form: str, flags: tuple[str, ...], tokens: tuple[str, ...]) -> list[str]:
+    """Of the span itself."""
+    out = [k, f"{k}f{form}", *[f"{k}{x}" for x in flags]]
+    if tokens:
+        out.append(f"{k}zf{flags[0]}|{form}")
+        out += [f"{k}y{c}" for c in flags[0][1:].split(" ")]
+    for i, w in enumerate(tokens):
+        low = w.lower()
+        spot = "L" if i == len(tokens) - 1 else "F"
+        out += [f"{k}s{low[-3:]}", f"{k}s{spot}{low[-3:]}|{form}", f"{k}e{low[:3]}"]
     return out
 
 
-@dataclass
-class Field:
-    """Weights of the field by feature name."""
-
-    weights: dict[str, float] = field(default_factory=dict)
-    lex: Lexicon | None = None
+def _left_features(k: str, form: str, z: str, prev: tuple[str, ...]) -> list[str]:
+    p1 = prev[-1] if prev else ""
+    out = [f"{k}p{p1}", f"{k}q{' '.join(prev[-2:])}", f"{k}pf{p1}|{form}"]
+    if not z:
+        return out + [f"{k}b{w}" for w in prev] + [f"{k}bf{w}|{form}" for w in prev]
+    opens = not p1 or p1 == "^" or p1[-1] in ".!?;:"
+    out += [f"{k}zp{z}|{p1}", f"{k}o{opens}|{form}"]
+    if "l" in form:
+        label = _LABEL_BEFORE.search(" ".join(prev)) is not None
+        out += [f"{k}l{label}|{form}", f"{k}l{label}|{z.strip('z- ') != ''}"]
+    return out
 
-    def score(self, text: str, c: Candidate) -> float:
-        get = self.weights.get
-        return sum([get(x, 0.0) for x in features(text, c)])
 
-    def decode(self, text: str | None) -> list[tuple[int, int, str]]:
-        """The best segmentation: (start, end, type), not overlapping, in order."""
-        if not text or not text.strip():
-            return []
-        found = [(s, c) for c in candidates(text, self.lex) if (s := self.score(text, c)) > 0]
-        if not found:
-            return []
-        found.sort(key=lambda x: (x[1].end, x[1].start, x[1].kind))
-        best, keep = _best([(c.start, c.end, s) for s, c in found])
-        return [(found[i][1].start, found[i][1].end, found[i][1].kind) for i in keep]
+def _right_features(k: str, form: str, z: str, nxt: tuple[str, str, str]) -> list[str]:
+    glued, n1, n2 = nxt
+    out = [f"{k}n{glued}{n1}", f"{k}r{n1} {n2}", f"{k}nf{n1}|{form}", f"{k}g{glued}"]
+    return [*out, f"{k}zn{z}|{n1}", f"{k}zg{z}|{glued}"] if z else out
 
 
-def _before(spans: Sequence[tuple[int, int]]) -> list[int]:
-    """For each span, in order of end, how many spans end at or before its start."""
-    ends = [e for _, e in spans]
-    out = []
-    for s, _ in spans:
+def features(text: str, c: Candidate, hide: str | None = None) -> list[str]:
+    """Features of a whole segment; ``hide`` replaces what the name list says of its tokens."""
+    k = c.kind[0] + c.kind[1]
+    flags = c.flags if hide is None else (hide, *c.flags[1:])
+    z = flags[0] if c.tokens else ""
+    return _own_features(k, c.form, flags, c.tokens) + _left_features(k, c.form, z, _left(text, c.start)) + _right_features(k, c.form, z, _right(text, c.end))
+
+
+_SEPARATORS = {"": "j", " ": "s", ",": "c", ", ": "c", "\n": "n"}
+
+
+def _follows(text: str, spans: Sequence[tuple[int, int, str]]) -> tuple[list[int], list[list[tuple[int, str]]]]:
+    """For spans in order of end: how many end before the last word ahead of each, and those with nothing but separators in between.
+
+    The latter as (index, name of the transition).
+    """
+    by_end: dict[int, list[int]] = defaultdict(list)
+    ends: list[int] = []
+    before, adjacent = [], []
+    for i, (s, e, kind) in enumerate(spans):
+        near: list[tuple[int, str]] = []
+        edge = s
+        while edge > 0 and not text[edge - 1].isalnum():
+            if found := by_end.get(edge):
+                sep = _SEPARATORS.get(text[edge:s], "o")
+                near += [(j, f"T{spans[j][2][:2]}{kind[:2]}{sep}") for j in found]
+            edge -= 1
+        if found := by_end.get(edge):
+            sep = _SEPARATORS.get(text[edge:s], "o")
+            near += [(j, f"T{spans[j][2][:2]}{kind[:2]}{sep}") for j in found]
         lo, hi = 0, len(ends)
         while lo < hi:
             mid = (lo + hi) // 2
-            if ends[mid] <= s:
+            if ends[mid] < edge:
                 lo = mid + 1
             else:
                 hi = mid
-        out.append(lo)
-    return out
-
-
-def _best(items: Sequence[tuple[int, int, float]]) -> tuple[float, list[int]]:
-    """Highest total of spans that don't overlap; items in order of end."""
-    before = _before([(s, e) for s, e, _ in items])
-    total = [0.0] * (len(items) + 1)
-    for i, (_, _, score) in enumerate(items):
-        total[i + 1] = max(total[i], total[before[i]] + score)
-    keep, i = [], len(items)
-    while i:
-        if total[i] == total[i - 1]:
-            i -= 1
+        before.append(lo)
+        adjacent.append(near)
+        by_end[e].append(i)
+        ends.append(e)
+    return before, adjacent
+
+
+def _best(text: str, spans: Sequence[tuple[int, int, str]], scores: Sequence[float], weights: dict[str, float]) -> list[int]:
+    """The spans, in order of end, whose scores and transitions are most in total and that don't overlap."""
+    before, adjacent = _follows(text, spans)
+    prefix = [0.0]  # best of the first i spans
+    last = [-1]  # the span that ends it, -1 for none
+    value: list[float] = []
+    back: list[int] = []
+    for i, score in enumerate(scores):
+        best, at = prefix[before[i]], last[before[i]]
+        for j, name in adjacent[i]:
+            v = value[j] + weights.get(name, 0.0)
+            if v > best:
+                best, at = v, j
+        value.append(best + score)
+        back.append(at)
+        if value[i] > prefix[-1]:
+            prefix.append(value[i])
+            last.append(i)
         else:
-            keep.append(i - 1)
-            i = before[i - 1]
-    return total[-1], keep[::-1]
+            prefix.append(prefix[-1])
+            last.append(last[-1])
+    keep, i = [], last[-1]
+    while i >= 0:
+        keep.append(i)
+        i = back[i]
+    return keep[::-1]
 
 
 def _lse(a: float, b: float) -> float:
@@ -407,26 +520,110 @@ def _lse(a: float, b: float) -> float:
     return hi + math.log1p(math.exp(lo - hi))
 
 
-def _marginals(spans: Sequence[tuple[int, int]], scores: Sequence[float]) -> list[float]:
-    """Probability of each span under the field: forward sums over spans by end, backward ones by the same recursion."""
-    n = len(spans)
-    before = _before(spans)
-    fwd = [0.0] * (n + 1)
+def _marginals(before: Sequence[int], adjacent: Sequence[Sequence[tuple[int, str]]], scores: Sequence[float], weights: dict[str, float]) -> tuple[list[float], dict[str, float]]:
+    """Probability of each span and expected number of each transition under the field.
+
+    Forward sums over spans by end; the backward pass is their derivative.
+    """
+    n = len(scores)
+    z = [0.0]
+    alpha: list[float] = []
+    base: list[float] = []
     for i in range(n):
-        fwd[i + 1] = _lse(fwd[i], fwd[before[i]] + scores[i])
-    grad = [0.0] * (n + 1)
-    grad[n] = 1.0
-    out = [0.0] * n
-    for i in range(n, 0, -1):
-        take = math.exp(min(0.0, fwd[before[i - 1]] + scores[i - 1] - fwd[i]))
-        out[i - 1] = grad[i] * take
-        grad[before[i - 1]] += grad[i] * take
-        grad[i - 1] += grad[i] * (1 - take)
-    return out
+        total = z[before[i]]
+        for j, name in adjacent[i]:
+            total = _lse(total, alpha[j] + weights.get(name, 0.0))
+        base.append(total)
+        alpha.append(total + scores[i])
+        z.append(_lse(z[i], alpha[i]))
+    gz = [0.0] * (n + 1)
+    gz[n] = 1.0
+    ga = [0.0] * n
+    moves: dict[str, float] = defaultdict(float)
+    for i in range(n - 1, -1, -1):
+        take = math.exp(min(0.0, alpha[i] - z[i + 1]))
+        ga[i] += gz[i + 1] * take
+        gz[i] += gz[i + 1] * (1 - take)
+        g = ga[i]
+        if g:
+            gz[before[i]] += g * math.exp(min(0.0, z[before[i]] - base[i]))
+            for j, name in adjacent[i]:
+                share = g * math.exp(min(0.0, alpha[j] + weights.get(name, 0.0) - base[i]))
+                ga[j] += share
+                moves[name] += share
+    return ga, moves
+
+
+_CACHE = 400_000  # entries of a cache of partial scores; it is emptied when full
+
+
+@dataclass
+class Field:
+    """Weights of the field by feature name. Sums over features that depend on the same things are remembered."""
+
+    weights: dict[str, float] = field(default_factory=dict)
+    lex: Lexicon | None = None
+
+    def __post_init__(self) -> None:
+        self._own: dict = {}
+        self._left: dict = {}
+        self._right: dict = {}
+        # No candidate below this can be part of the best segmentation, whatever it stands next to.
+        self.floor = -2 * max([v for k, v in self.weights.items() if k[0] == "T"] + [0.0])
+
+    def __getstate__(self) -> dict:
+        return {"weights": self.weights, "lex": self.lex}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
+
+    def _sum(self, names: list[str]) -> float:
+        get = self.weights.get
+        return sum([get(x, 0.0) for x in names])
+
+    def scores(self, text: str, found: Sequence[Candidate]) -> list[float]:
+        own, left, right = self._own, self._left, self._right
+        for cache in (own, left, right):
+            if len(cache) > _CACHE:
+                cache.clear()
+        lefts: dict[int, tuple[str, ...]] = {}
+        rights: dict[int, tuple[str, str, str]] = {}
+        out = []
+        for c in found:
+            k, form = c.kind[:2], c.form
+            z = c.flags[0] if c.tokens else ""
+            key = (k, form, c.flags, c.tokens)
+            if (a := own.get(key)) is None:
+                a = own[key] = self._sum(_own_features(*key))
+            if (prev := lefts.get(c.start)) is None:
+                prev = lefts[c.start] = _left(text, c.start)
+            key = (k, form, z, prev)
+            if (b := left.get(key)) is None:
+                b = left[key] = self._sum(_left_features(*key))
+            if (nxt := rights.get(c.end)) is None:
+                nxt = rights[c.end] = _right(text, c.end)
+            key = (k, form, z, nxt)
+            if (d := right.get(key)) is None:
+                d = right[key] = self._sum(_right_features(*key))
+            out.append(a + b + d)
+        return out
+
+    def decode(self, text: str | None) -> list[tuple[int, int, str]]:
+        """The best segmentation: (start, end, type), not overlapping, in order."""
+        if not text or not text.strip():
+            return []
+        every = _distinct(candidates(text, self.lex))
+        found = [(c.end, c.start, c.kind, s) for c, s in zip(every, self.scores(text, every)) if s > self.floor]
+        if not found:
+            return []
+        found.sort()
+        spans = [(s, e, kind) for e, s, kind, _ in found]
+        return [spans[i] for i in _best(text, spans, [x[3] for x in found], self.weights)]
 
 
 def _distinct(found: list[Candidate]) -> list[Candidate]:
-    """Without repeated spans of a type, which two listed names side by side propose twice."""
+    """Without repeated spans of a type, which two words side by side propose twice."""
     return list({(c.start, c.end, c.kind): c for c in found}.values())
 
 
@@ -445,6 +642,36 @@ def _islands(found: list[Candidate]) -> Iterator[list[Candidate]]:
         yield island
 
 
+def _label_names(text: str, names: list[Candidate], lex: Lexicon) -> set[int] | None:
+    """Indices of true names: the longest candidate of each stretch of listed words, initials and particles; None where a word is unknown."""
+    end = max(c.end for c in names)
+    after = text[end : end + 30].split()[:1]
+    follow = after[0].lower().strip(".,;") if after else ""
+    classes = {}
+    for c in names:
+        for t, x in zip(c.tokens, c.flags[0][1:].split(" ")):
+            classes[t] = "n" if x[0] in "gf" else "n?" if t.lower() in PARTICLES or len(t.rstrip(".")) == 1 else x
+    if follow in EPONYMS or follow in BRANDS or follow in PLACES and text[end : end + 1] == " " or "b" in classes.values() or any(t.lower() in PLACES or t.lower() in EPONYMS for t in classes):
+        return set()
+    if all("l" in c.form for c in names) and "n" not in classes.values():
+        # Rare words in small letters are no name where no label says so; after one they may be one that isn't listed.
+        return None if _LABEL_BEFORE.search(text[max(0, names[0].start - 36) : names[0].start].lower()) else set()
+    if "-" in classes.values():
+        return None
+    good = [i for i, c in enumerate(names) if all(classes[t][0] == "n" for t in c.tokens) and any(classes[t] == "n" for t in c.tokens) and not c.form.rstrip("tU").endswith("P")]
+    if not good:
+        return None if "n" in classes.values() else set()
+    out: set[int] = set()
+    upto = -1
+    for i in sorted(good, key=lambda i: (names[i].start, -names[i].end)):
+        if names[i].start >= upto:
+            out.add(i)
+            upto = names[i].end
+        elif names[i].end > upto:
+            return None  # more names in a row than one candidate holds
+    return out
+
+
 def _label(text: str, island: list[Candidate], lex: Lexicon) -> set[int] | None:
     """Indices of the true candidates of an island by distant rules, or None where no rule explains it."""
     by = {t: [i for i, c in enumerate(island) if c.kind == t] for t in TYPES}
@@ -457,99 +684,114 @@ def _label(text: str, island: list[Candidate], lex: Lexicon) -> set[int] | None:
         if nxt and nxt[0].lower().rstrip(".,") in PLACES:
             return set()
         return {i}
-    left = text[max(0, island[0].start - 36) : island[0].start].lower().rpartition("\n")[2]
     if by["phone"] or by["identity_number"]:
+        ids = [i for i in by["identity_number"] if "labelTrue" not in island[i].flags]
+        start = min(island[i].start for i in ids or by["phone"] or by["identity_number"])
+        left = text[max(0, start - 36) : start].lower().rstrip().rpartition("\n")[2]
         near = left.rstrip(" :#.=(-")
         if re.search(r"\b(?:" + "|".join(PLAIN_LABELS) + r")$", near):
             return set()
-        if any(x in left[-30:] for x in ID_LABELS) and by["identity_number"]:
-            return {longest(by["identity_number"])}
-        if by["phone"] and (re.search(r"(?:\b(?:" + "|".join(map(re.escape, PHONE_LABELS)) + r"))[\w ]{0,10}$", near) or island[by["phone"][0]].form == "spoken" or re.search(r"\D555\D?01\d\d$", text[island[by["phone"][0]].start - 1 : island[by["phone"][0]].end])):
+        if not ids and not by["phone"]:
+            return set() if near and any(f in ("cLOT", "cORDER", "cFILE", "cBP", "cWT", "cRM", "cROOM") for i in by["identity_number"] for f in island[i].flags) else None
+        if ids and (any(x in left[-30:] for x in ID_LABELS) or any(f in ("cSSN", "cMRN", "cNHS") for c in island for f in c.flags)):
+            return {longest(ids)}
+        if by["phone"] and (re.search(r"(?:\b(?:" + "|".join(map(re.escape, PHONE_LABELS)) + r"))[\w ]{0,10}$", near) or any(island[i].form == "spoken" for i in by["phone"])):
             return {longest(by["phone"])}
         return None
-    names = by["person_name"]
-    if not names:
-        return None
-    end = max(island[i].end for i in names)
-    after = text[end : end + 30].split()[:1]
-    follow = after[0].lower().strip(".,;") if after else ""
-    tokens = {t for i in names for t in island[i].tokens}
-    if follow in EPONYMS or follow in BRANDS or follow in PLACES and text[end : end + 1] == " " or any(t.lower() in PLACES or t.lower() == "lane" for t in tokens):
-        return set()
-    if all("l" in island[i].form for i in names) and not any(lex.of(t) != "-" for t in tokens):
-        # Rare words in small letters are no name where no label says so; after one they may be one that isn't listed.
-        return None if _LABEL_BEFORE.search(left) else set()
-    named = [t for t in tokens if lex.of(t) != "-" or t.lower() in PARTICLES or len(t.rstrip(".")) == 1]
-    if len(named) < len(tokens) or not any(lex.of(t) != "-" for t in tokens):
-        return None
-    i = longest(names)
-    if island[i].start > min(c.start for c in island) or island[i].end < end:
-        return None
-    return {i}
+    return _label_names(text, island, lex)
+
+
+def _lattices(text: str, lex: Lexicon) -> Iterator[tuple[list[Candidate], list[bool]]]:
+    """Labelled lattices of a text: islands that rules explain, joined where only separators stand between."""
+    held: list[Candidate] = []
+    truth: list[bool] = []
+    end = -1
+    for island in _islands(_distinct(candidates(text, lex))):
+        true = _label(text, island, lex)
+        if held and (true is None or any(map(str.isalnum, text[end : island[0].start]))):
+            yield held, truth
+            held, truth = [], []
+        if true is None:
+            continue
+        held = held + island
+        truth = truth + [i in true for i in range(len(island))]
+        end = max(c.end for c in island)
+    if held:
+        yield held, truth
 
 
-def fit(texts: Sequence[str], names: Sequence[tuple[str, str]], seed: int = 11, epochs: int = 4, max_islands: int = 40_000) -> Field:
-    """Train on a bounded sample of texts and a list of (name, kind)."""
+def fit(texts: Sequence[str], names: Sequence[tuple[str, str]], ordinary: Sequence[str] = (), seed: int = 11, epochs: int = 4, max_lattices: int = MAX_LATTICES) -> Field:
+    """Train on a bounded sample of texts, a list of (name, kind) and the ordinary words of all texts."""
     rng = random.Random(seed)
-    lex = lexicon(names, texts)
-    data: list[tuple[list[tuple[int, int]], list[list[str]], list[list[str]], list[bool]]] = []
+    lex = Lexicon(*listed_names(names), frozenset(ordinary))
+    data: list[tuple[list[int], list[list[tuple[int, str]]], list[list[str]], list[list[str]], list[bool], Counter[str]]] = []
     seen: Counter[str] = Counter()
     for text in texts:
-        for island in _islands(_distinct(candidates(text, lex))):
-            true = _label(text, island, lex)
-            if true is None or len(island) > 40:
-                continue
+        if len(data) >= max_lattices:
+            break
+        for found, truth in _lattices(text, lex):
             # What repeats word for word teaches no more after a few times.
-            key = text[max(0, island[0].start - 12) : island[-1].end + 8]
+            key = text[max(0, found[0].start - 12) : found[-1].end + 8]
             seen[key] += 1
             if seen[key] > 2:
                 continue
-            order = sorted(range(len(island)), key=lambda i: (island[i].end, island[i].start))
-            spans = [(island[i].start, island[i].end) for i in order]
-            full = [features(text, island[i]) for i in order]
+            order = sorted(range(len(found)), key=lambda i: (found[i].end, found[i].start, found[i].kind))
+            cs = [found[i] for i in order]
+            gold = [truth[i] for i in order]
+            full = [features(text, c) for c in cs]
             hidden = full
-            if any(c.kind == "person_name" for c in island) and true:
-                gone = {t for c in island for t in c.tokens if rng.random() < 0.6}
-                hidden = [
-                    features(text, island[i], ("z" + " ".join("-" if t in gone else lex.of(t) for t in island[i].tokens),)) if island[i].kind == "person_name" else full[k] for k, i in enumerate(order)
-                ]
-            data.append((spans, full, hidden, [i in true for i in order]))
-            if len(data) >= max_islands:
-                break
-        if len(data) >= max_islands:
-            break
+            if any(c.tokens for c in cs) and any(gold):
+                gone = {t for c in cs for t in c.tokens if rng.random() < 0.6}
+                hidden = [features(text, c, "z" + " ".join(lex.unlisted(t) if t in gone else lex.of(t) for t in c.tokens)) if c.tokens else f for c, f in zip(cs, full)]
+            before, adjacent = _follows(text, [(c.start, c.end, c.kind) for c in cs])
+            moves = Counter(name for i, near in enumerate(adjacent) if gold[i] for j, name in near if gold[j])
+            data.append((before, adjacent, full, hidden, gold, moves))
     # Rare words in small letters are few; ordinary ones of each text show what a span without a name looks like.
-    bare = Lexicon(lex.given, lex.family)
     for text in texts:
         at = text.find(" ", rng.randrange(len(text))) + 1 if text else 0
-        spans = [c for c in _lower_spans(text, at, bare) if not any(lex.of(t) != "-" for t in c[0])] if at else []
+        spans = [c for c in _lower_spans(text, at, frozenset()) if not any(t in lex.known for t in c[0])] if at else []
         if spans and not _LABEL_BEFORE.search(text[max(0, at - 30) : at].lower()):
             words, form, end = rng.choice(spans)
             own = features(text, Candidate(at, end, "person_name", form, ("z" + " ".join("-" for _ in words),), words))
-            data.append(([(at, end)], [own], [own], [False]))
+            data.append(([0], [[]], [own], [own], [False], Counter()))
     w: dict[str, float] = {}
     g2: dict[str, float] = {}
-    for epoch in range(epochs):
+
+    def step(name: str, err: float) -> None:
+        old = w.get(name, 0.0)
+        g = err + 1e-3 * old
+        g2[name] = s = g2.get(name, 0.1) + g * g
+        w[name] = old - 0.2 * g / math.sqrt(s)
+
+    for _ in range(epochs):
         rng.shuffle(data)
-        for spans, full, hidden, gold in data:
+        for before, adjacent, full, hidden, gold, moves in data:
             feats = hidden if rng.random() < 0.5 else full
-            scores = [sum([w.get(x, 0.0) for x in f]) for f in feats]
-            for f, p, y in zip(feats, _marginals(spans, scores), gold):
+            share, expected = _marginals(before, adjacent, [sum([w.get(x, 0.0) for x in f]) for f in feats], w)
+            for f, p, y in zip(feats, share, gold):
                 err = p - y
-                if abs(err) < 0.01:
-                    continue
-                for x in f:
-                    g = err + 1e-3 * w.get(x, 0.0)
-                    g2[x] = s = g2.get(x, 0.1) + g * g
-                    w[x] = w.get(x, 0.0) - 0.2 * g / math.sqrt(s)
+                if abs(err) >= 0.01:
+                    for x in f:
+                        step(x, err)
+            for name in expected.keys() | moves.keys():
+                err = expected.get(name, 0.0) - moves[name]
+                if abs(err) >= 0.01:
+                    step(name, err)
     return Field({x: v for x, v in w.items() if abs(v) > 1e-3}, lex)
 
 
-def train(texts: DataFrame, names: DataFrame, max_train: int = MAX_TRAIN, max_names: int = 200_000) -> Field:
-    """A field from the max_train texts of least hash and a list (name, kind) of at most max_names."""
-    sample = hash_sample(texts.select("text").where(F.length("text").between(1, 20_000)), "text", max_train).toPandas()["text"].tolist()
-    listed = names.select("name", "kind").where("name is not null and kind is not null").limit(max_names).toPandas()
-    return fit(sample, list(zip(listed["name"], listed["kind"])))
+def train(texts: DataFrame, names: DataFrame, max_train: int = MAX_TRAIN, max_names: int = MAX_NAMES) -> Field:
+    """A field from the max_train texts of least hash, a list (name, kind), and the ordinary words of all texts.
+
+    The list is a dimension that every task holds; one of more than max_names entries is refused, never cut.
+    """
+    texts = texts.select("text")
+    ordinary = [r[0] for r in ordinary_words(texts).limit(MAX_ORDINARY + 1).toLocalIterator()]
+    listed = names.select("name", "kind").where("name is not null and kind is not null").distinct().limit(max_names + 1).toPandas()
+    if len(listed) > max_names or len(ordinary) > MAX_ORDINARY:
+        raise ValueError(f"more than {max_names} names or {MAX_ORDINARY} ordinary words; raise the bounds only with larger executors")
+    sample = hash_sample(texts, "text", max_train, F.length("text").between(1, MAX_TRAIN_CHARS)).toPandas()["text"].tolist()
+    return fit(sample, sorted(zip(listed["name"], listed["kind"])), ordinary)
 
 
 def find(texts: DataFrame, field_: Field) -> DataFrame:

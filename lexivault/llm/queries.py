@@ -22,14 +22,20 @@ def p1_extent(spark: SparkSession, sf: str) -> DataFrame:
     return shared_spans.shared_extent(shared_spans.record_texts(table(spark, sf, "notes"), table(spark, sf, "generations")))
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Equal rows of a record_uid once; rows without one are each a record of their own."""
+    own = F.when(F.col("record_uid").isNull(), F.monotonically_increasing_id())
+    return rows.withColumn("_own", own).dropDuplicates().drop("_own")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Generations of which at least a third of the words are repeated."""
     return repetition.repetitive(table(spark, sf, "generations"), "record_uid", "generation")
 
 
 def p2_shares(spark: SparkSession, sf: str) -> DataFrame:
-    """Shares of repeated content of each generation; rows that repeat a record_uid count once."""
-    return repetition.repetition(table(spark, sf, "generations"), "record_uid", "generation").dropDuplicates(["record_uid"])
+    """Shares of repeated content of each generation; rows that repeat a record_uid and content count once, those without a record_uid each."""
+    return _once(repetition.repetition(table(spark, sf, "generations"), "record_uid", "generation"))
 
 
 def _pii_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,9 +50,9 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    """Every record's text with typed placeholders; rows that repeat a record_uid count once."""
+    """Every record's text with typed placeholders; rows that repeat a record_uid and text count once, those without a record_uid each."""
     texts = _pii_texts(spark, sf)
-    return pii.redact(texts, "record", "text", pii.train(texts, table(spark, sf, "name_gazetteer"))).withColumnRenamed("record", "record_uid").dropDuplicates(["record_uid"])
+    return pii.redact(texts, "record", "text", pii.train(texts, table(spark, sf, "name_gazetteer"))).withColumnRenamed("record", "record_uid").transform(_once)
 
 
 def _votes(spark: SparkSession, sf: str) -> tuple[DataFrame, consensus.Model]:

@@ -374,11 +374,19 @@ GIVEN = [a + b for a in ("Tov", "Mar", "Lin", "Sel", "Kas", "Dri") for b in ("an
 FAMILY = [a + b for a in ("Esk", "Dun", "Grim", "Lor", "Oak", "Ved") for b in ("dale", "more", "ett", "quist", "by", "well")]
 
 
-def letter(rng):
+PHONES = ["({}) {}-{}", "{}-{}-{}"]
+OTHER_PHONES = ["{}.{}.{}", "{} {} {}", "+1 {} {} {}", "({}) {} {}"]
+
+
+def ordinary(spark, texts):
+    return [r[0] for r in pii.ordinary_words(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
+
+
+def letter(rng, phones=PHONES):
     g, f = rng.choice(GIVEN), rng.choice(FAMILY)
     name = rng.choice([f"{g} {f}", f"{f}, {g}", f"{g[0]}. {f}", f"{g} {rng.choice('ABK')}. {f}"])
     digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    phone = rng.choice([f"({digits(3)}) 555-01{digits(2)}", f"{digits(3)}-555-01{digits(2)}", "five five five zero one zero " + rng.choice(["two", "nine"])])
+    phone = rng.choice([rng.choice(phones).format(digits(3), digits(3), digits(4)), "two three four six seven eight " + rng.choice(["two", "nine"])])
     mail = rng.choice([f"{g}.{f}@mail.example".lower(), f"{g}{f} at mail dot test".lower(), f"{g}_{f}@BOX.TEST".upper(), f"{g}-{f}(at)box.example".lower()])
     number, street = f"{digits(3)}-{digits(2)}-{digits(4)}", rng.choice([f"{rng.randrange(1, 3000)} {rng.choice(FAMILY)} {rng.choice(['St', 'Road', 'Lane'])}, Apt {rng.randrange(1, 40)}", f"Calle {rng.choice(FAMILY)} {rng.randrange(1, 900)}"])
     parts = [
@@ -396,20 +404,68 @@ def letter(rng):
     return "".join(t for t, _ in parts), {x for _, x in parts if x}
 
 
-def test_pii_held_out():
-    """Half of the names are on no list; all of the text is new."""
+@pytest.mark.parametrize("phones", [PHONES, OTHER_PHONES])
+def test_pii_held_out(spark, phones):
+    """Half of the names are on no list; all of the text is new, and so are the other formats of phone numbers."""
     rng = random.Random(6)
     names = [(n, "given") for n in GIVEN[::2]] + [(n, "family") for n in FAMILY[::2]]
-    model = pii.fit([letter(rng)[0] for _ in range(500)], names)
+    texts = [letter(rng)[0] for _ in range(500)]
+    model = pii.fit(texts, names, ordinary(spark, texts))
     right = found = true = 0
     for _ in range(150):
-        text, want = letter(rng)
+        text, want = letter(rng, phones)
         got = {(k, text[s:e]) for s, e, k in model.decode(text)}
         right, found, true = right + len(got & want), found + len(got), true + len(want)
     assert right / found > 0.93 and right / true > 0.93
     assert model.decode(None) == model.decode(" ") == []
 
 
+def test_pii_candidates_of_any_script():
+    lex = pii.Lexicon(frozenset(), frozenset(), frozenset(["the"]))
+    for text, name in [("Saw Łukasz Żak today", "Łukasz Żak"), ("сказал Иван Петров вчера", "Иван Петров"), ("患者王小明来院", "王小明"), ("قال محمد علي", "محمد علي"), ("with Ægir Ólafsson.", "Ægir Ólafsson")]:
+        assert name in {text[c.start : c.end] for c in pii.candidates(text, lex) if c.kind == "person_name"}
+    for text in ("Call two three four six seven eight nine", "ring nine-eight-seven-six-five-four-three"):
+        assert any(c.kind == "phone" for c in pii.candidates(text, lex))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 14), st.integers(1, 5), st.sampled_from(["phone", "email"]), st.floats(-3, 3)), max_size=7, unique_by=lambda x: x[:3]), st.floats(-2, 2), st.floats(-2, 2))
+def test_lattice_against_enumeration(items, stay, change):
+    """Best path, span marginals and transition counts of the field, by listing all sets of spans."""
+    text = "ab, cd ef,gh ij kl mn"
+    w = {"Tphphs": stay, "Tphphc": stay, "Tphems": change, "Temphc": change}
+    spans = sorted(((s, s + n, k) for s, n, k, _ in items), key=lambda x: (x[1], x[0], x[2]))
+    score = {(s, s + n, k): v for s, n, k, v in items}
+    scores = [score[x] for x in spans]
+    before, adjacent = pii._follows(text, spans)
+    paths = []
+    for r in range(len(spans) + 1):
+        for ids in itertools.combinations(range(len(spans)), r):
+            if all(spans[a][1] <= spans[b][0] for a, b in itertools.pairwise(ids)):
+                moves = [n for a, b in itertools.pairwise(ids) for j, n in adjacent[b] if j == a]
+                paths.append((sum(scores[i] for i in ids) + sum(w.get(n, 0) for n in moves), ids, moves))
+    total = sum(np.exp(v) for v, _, _ in paths)
+    share, moved = pii._marginals(before, adjacent, scores, w)
+    for i, p in enumerate(share):
+        assert p == pytest.approx(sum(np.exp(v) for v, ids, _ in paths if i in ids) / total, abs=1e-9)
+    for name in w:
+        assert moved.get(name, 0) == pytest.approx(sum(np.exp(v) * m.count(name) for v, _, m in paths) / total, abs=1e-9)
+    ids = pii._best(text, spans, scores, w)
+    got = sum(scores[i] for i in ids) + sum(w.get(n, 0) for a, b in itertools.pairwise(ids) for j, n in adjacent[b] if j == a)
+    assert got == pytest.approx(max(v for v, _, _ in paths), abs=1e-9)
+
+
+def test_scores_are_sums_of_features():
+    rng = random.Random(2)
+    text, _ = letter(rng)
+    lex = pii.Lexicon(*pii.listed_names([(n, "given") for n in GIVEN] + [(n, "family") for n in FAMILY]))
+    cs = pii.candidates(text, lex)
+    weights = {x: rng.random() for c in cs for x in pii.features(text, c)}
+    model = pii.Field(weights, lex)
+    for _ in range(2):  # the second time from the caches
+        assert model.scores(text, cs) == pytest.approx([sum(weights[x] for x in pii.features(text, c)) for c in cs])
+
+
 def test_pii_tables(spark):
     rng = random.Random(6)
     texts = [letter(rng)[0] for _ in range(200)]
@@ -426,7 +482,13 @@ def test_pii_tables(spark):
     assert pii.find(df.limit(0), model).count() == 0
 
 
-def test_pii_small_letters():
+def test_pii_refuses_long_lists(spark):
+    texts = spark.createDataFrame([("r", "Ana Roe")], "record string, text string")
+    with pytest.raises(ValueError, match="names"):
+        pii.train(texts, spark.createDataFrame([("a", "given"), ("b", "given")], "name string, kind string"), max_names=1)
+
+
+def test_pii_small_letters(spark):
     """Names in small letters: on the list, with no part on it, and of three words; rare words elsewhere are none."""
     rng = random.Random(6)
     names = [(n, "given") for n in GIVEN[::2]] + [(n, "family") for n in FAMILY[::2]]
@@ -436,7 +498,8 @@ def test_pii_small_letters():
         rest = rng.choice(["Denies nausea after meals.", f"Lives at {rng.randrange(1, 900)} {rng.choice(family)[:3]}{rng.choice(['mark', 'gate'])} street.".lower()])
         return f"Reports cough. caller was {name}, who left no message. {rest}", name
 
-    model = pii.fit([letter(rng)[0] for _ in range(500)] + [small(rng, GIVEN, FAMILY)[0] for _ in range(200)], names)
+    texts = [letter(rng)[0] for _ in range(500)] + [small(rng, GIVEN, FAMILY)[0] for _ in range(200)]
+    model = pii.fit(texts, names, ordinary(spark, texts))
     cases = [small(rng, GIVEN[1::2], FAMILY[1::2]) for _ in range(40)] + [small(rng, GIVEN, FAMILY) for _ in range(40)]
     got = [{text[s:e] for s, e, k in model.decode(text) if k == "person_name"} for text, _ in cases]
     assert sum(name in found for (_, name), found in zip(cases, got)) >= 76
@@ -458,17 +521,3 @@ def test_pii_repeated_name(spark):
     assert len(pii.candidates(texts[2], model.lex)) < 400 * 12
     assert pii._copies("S a b a b a b c c".split()) == [-1, 0, 0, 1, 1, 2, 2, -1, -1]
     assert pii._copies(["a"] * 3 + ["b"]) == [0, 1, 2, -1]
-
-
-def test_lattice_sums():
-    """Marginals and the best segmentation against all subsets that don't overlap."""
-    rng = random.Random(1)
-    for _ in range(50):
-        spans = sorted(((s, s + rng.randrange(1, 4)) for s in [rng.randrange(8) for _ in range(6)]), key=lambda x: (x[1], x[0]))
-        scores = [rng.uniform(-2, 2) for _ in spans]
-        sets = [c for n in range(7) for c in itertools.combinations(range(6), n) if all(spans[a][1] <= spans[b][0] or spans[b][1] <= spans[a][0] for a, b in itertools.combinations(c, 2))]
-        mass = {c: np.exp(sum(scores[i] for i in c)) for c in sets}
-        z = sum(mass.values())
-        want = [sum(m for c, m in mass.items() if i in c) / z for i in range(6)]
-        assert pii._marginals(spans, scores) == pytest.approx(want)
-        assert pii._best([(*s, x) for s, x in zip(spans, scores)])[0] == pytest.approx(max(sum(scores[i] for i in c) for c in sets))
