@@ -39,9 +39,9 @@ def mosaic(rng, k, alphabet="abcdé😀 "):
     return out
 
 
-@pytest.mark.parametrize(("n", "k", "most", "seed"), [(30, 15, 4096, 1), (25, 10, 4096, 2), (20, 8, 1, 3), (40, 39, 2, 4)])
+@pytest.mark.parametrize(("n", "k", "most", "seed"), [(30, 15, 1 << 20, 1), (25, 10, 1 << 20, 2), (25, 10, 400, 2), (20, 8, 1, 3), (40, 39, 100, 4)])
 def test_sharing_pairs(spark, n, k, most, seed):
-    """With a small ``most`` every prefix group takes the way of hot ones; both ways are exact."""
+    """With a small ``most`` prefix groups are split by longer prefixes, down to sets without a tree; all ways are exact."""
     rng = random.Random(seed)
     texts = mosaic(rng, 60) + [("x", None), ("y", ""), ("z", "ab"), (None, "a" * 99), ("p", "q" * 70), ("o", "q" * 50), ("p", "q" * 70)]
     df = spark.createDataFrame([(*t, 1) for t in texts], "record string, text string, tid int")
@@ -50,7 +50,7 @@ def test_sharing_pairs(spark, n, k, most, seed):
     assert set(got) == brute_pairs(texts, n)
 
 
-@pytest.mark.parametrize("most", [4096, 1])
+@pytest.mark.parametrize("most", [1 << 20, 300, 1])
 def test_shared_extent(spark, most):
     rng = random.Random(9)
     texts = list(dict(mosaic(rng, 40)).items()) + [("e", "")]
@@ -72,6 +72,31 @@ def test_sharing_copies_and_empty(spark):
     assert shared_spans.sharing_pairs(spark.createDataFrame([], "record string, text string"), 30, 15).count() == 0
 
 
+def test_sharing_links(spark, monkeypatch):
+    """A set of n records has n - 1 links, and a node names each leaf once, not each pair."""
+    n = 4096
+    left = ["x" * 100] * n
+    ((leaves, reach, depth),) = list(shared_spans._sets(left, [200] * (n - 1), list(range(n)), list(range(n)), 200))
+    assert leaves == list(range(n)) and set(reach) == {100} and depth == 200
+    copies = [(f"c{i:03}", "lorem ipsum " * 5 + "end") for i in range(40)] + [("other", "dolor " * 30)]
+    df = spark.createDataFrame(copies, "record string, text string")
+    links = shared_spans.sharing_links(df, 30, 15)
+    assert sorted(tuple(r) for r in links.select("record", "representative").distinct().collect()) == [(f"c{i:03}", "c000") for i in range(1, 40)]
+    monkeypatch.setattr(shared_spans, "BLOCK", 7)  # sets are paired in blocks
+    assert shared_spans.sharing_pairs(df, 30, 15).count() == 40 * 39 // 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("ab", max_size=4), st.integers(0, 3), st.integers(0, 3)), min_size=2, max_size=9))
+def test_reach_to_the_left(leaves):
+    back = [t for t, _, _ in leaves]
+    a = [min(x, y) for _, x, y in leaves]
+    b = [max(x, y) for _, x, y in leaves]
+    common = lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    want = [max([common(back[i], back[j]) for j in range(len(back)) if j != i and not a[i] == b[i] == a[j] == b[j]], default=-1) for i in range(len(back))]
+    assert shared_spans._reach(list(range(len(back))), back, a, b) == want
+
+
 def test_long_text_is_cut_into_pieces(monkeypatch):
     rng = random.Random(4)
     text = "".join(rng.choice("abcdef") for _ in range(5000))
