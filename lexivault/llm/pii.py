@@ -40,6 +40,7 @@ MAX_LATTICES = 40_000  # labelled lattices to train on
 MAX_NAMES = 200_000  # entries of the name list; more are refused
 MAX_ORDINARY = 5_000_000  # ordinary words; more are refused
 MAX_TOKENS = 5
+_CACHE = 400_000  # entries of a cache of what was met before; it is emptied when full
 TYPES = ("person_name", "phone", "email", "identity_number", "street_address")
 
 # Words around names and numbers, in several languages.
@@ -62,11 +63,11 @@ NAME_LABELS = ("caller was", "caller is", "caller", "spoke with", "spoke to", "s
 STREET = r"(?:Street|St|Avenue|Ave|Road|Rd\.|Rd|Lane|Ln|Boulevard|Blvd|Terrace|Court|Ct|Way|Drive|Place|Square|Close|Crescent)"
 
 
-def _char_class(belongs) -> str:
-    """The inside of a character class, as ranges, of all characters for which belongs is true."""
+def _char_class(belongs, first: int = 0, last: int = 0xFFFF) -> str:
+    """The inside of a character class, as ranges, of the characters in a range for which belongs is true."""
     out, start = [], -1
-    for i in range(sys.maxunicode + 2):
-        if i <= sys.maxunicode and belongs(chr(i)):
+    for i in range(first, last + 2):
+        if i <= last and belongs(chr(i)):
             start = i if start < 0 else start
         elif start >= 0:
             out.append(f"{chr(start)}-{chr(i - 1)}" if i - start > 1 else chr(start))
@@ -77,9 +78,13 @@ def _char_class(belongs) -> str:
 _UP = _char_class(lambda c: c.isupper() or c.istitle())
 _LOW = _char_class(str.islower)
 _CASELESS = _char_class(lambda c: c.isalpha() and not c.isupper() and not c.islower() and not c.istitle())
+_WIDE = _char_class(str.isalpha, 0x10000, sys.maxunicode)  # letters of rare scripts, taken as without case
 _UNSPACED = "぀-ヿ㐀-䶿一-鿿"  # kana and Han: no spaces between words
 _LET = r"[^\W\d_]"
-_CAP = re.compile(rf"(?<![\w@.+'’-])(?:(?:[{_UP}]['’])?[{_UP}]{_LET}*(?:['’-]{_LET}+)*\.?|[{_CASELESS}]+)")
+# Patterns begin with a class of characters and look behind it after that, so that the search skips to those characters.
+_CAP, _CAP_WIDE = (
+    re.compile(rf"[{_UP}{c}](?<![\w@.+'’-].)(?:(?<=[{_UP}])(?:['’][{_UP}])?{_LET}*(?:['’-]{_LET}+)*\.?|[{c}]*)", re.S) for c in (_CASELESS, _CASELESS + _WIDE)
+)
 _UNSPACED_RUN = re.compile(f"[{_UNSPACED}]{{2,}}")
 _PARTICLE_BEFORE = re.compile(r"(?:(?<=\s)|^)(van der|van den|de la|van|von|de|da|di|del)\s{1,2}$")
 _EMAIL = [
@@ -88,12 +93,14 @@ _EMAIL = [
     re.compile(r"(?<![\w.+-])[\w.+-]*\w at \w[\w-]*(?: dot \w[\w-]*)+", re.I),
 ]
 _NUMBER = re.compile(r"(?<![\w.\-/@+#])#?(?=[\d(+][\d() .\-]{5})(\+?(?:\(\d{1,5}\)|\d{1,12})(?:[ .\-]{0,1}(?:\(\d{1,5}\)|\d{1,12})){0,6})(?![\w@]|[\-/.]\d)")
-_CODE = re.compile(r"(?<![\w.\-/@])([A-Z]{1,6})([ \-]?)(\d(?:[\d \-]{2,16})\d)(?![\w/@]|-\d)")
+_NUMBER_START = re.compile(r"[#\d(+](?<![\w.\-/@+#].)", re.S)
+_CODE = re.compile(r"([A-Z]{1,6})([ \-]?)(\d(?:[\d \-]{2,16})\d)(?![\w/@]|-\d)")
+_CODE_START = re.compile(r"[A-Z](?<![\w.\-/@].)[A-Z]{0,5}[ \-]?\d", re.S)
 _DIGIT = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple)"
 _SPOKEN = re.compile(rf"\b{_DIGIT}(?:[ -]{_DIGIT}){{5,}}\b", re.I)
 _ADDRESS = [
-    re.compile(rf"(?<![\w.\-/])\d{{1,5}}[A-Za-z]?(?: bis,?)? (?:[NSEW]\.? |North |South |East |West )?(?:(?:{_LET}|['’-])+ ){{1,3}}?{STREET}(?![\w])(?:,? (?:Apt|Unit|Suite|Ste|Flat|Apartment)\.? ?#?\w+|,? #\s?\w+)?", re.I),
-    re.compile(rf"(?<![\w.\-/])\d{{1,5}}(?: bis| ter)?,? (?:rue|avenue|boulevard|place|chemin|allée|quai|impasse) (?:des|du|de la|de l['’]|de|d['’])?\s?(?:{_LET}|['’-])+(?:,? (?:appt?|bât)\.? ?\w+)?", re.I),
+    re.compile(rf"\d(?<![\w.\-/].)\d{{0,4}}[A-Za-z]?(?: bis,?)? (?:[NSEW]\.? |North |South |East |West )?(?:(?:{_LET}|['’-])+ ){{1,3}}?{STREET}(?![\w])(?:,? (?:Apt|Unit|Suite|Ste|Flat|Apartment)\.? ?#?\w+|,? #\s?\w+)?", re.I),
+    re.compile(rf"\d(?<![\w.\-/].)\d{{0,4}}(?: bis| ter)?,? (?:rue|avenue|boulevard|place|chemin|allée|quai|impasse) (?:des|du|de la|de l['’]|de|d['’])?\s?(?:{_LET}|['’-])+(?:,? (?:appt?|bât)\.? ?\w+)?", re.I),
     re.compile(rf"\b(?:Calle|Avenida|Plaza|Paseo|Camino|Avda\.?|C/) ?(?:de (?:la |los |las )?)?(?:{_LET}|['’-])+,? \d{{1,5}}(?:, ?\d+[ºª] ?[A-Z]?)?", re.I),
     re.compile(rf"(?<![\w-])(?:{_LET}|-){{2,40}}?(?:straße|strasse|weg|gasse|allee|platz|ring|str\.) \d{{1,5}}(?: ?[a-z](?!\w))?", re.I),
 ]
@@ -103,8 +110,8 @@ _ADDRESS_SIGNS = (
     tuple(f" {w}" for w in ("st", "ave", "road", "rd", "lane", "ln", "boulevard", "blvd", "terrace", "court", "ct", "way", "drive", "place", "square", "close", "crescent")),
     ("rue ", "avenue ", "boulevard ", "place ", "chemin ", "allée ", "quai ", "impasse "),
     ("calle", "avenida", "plaza", "paseo", "camino", "avda", "c/"),
-    ("straße ", "strasse ", "weg ", "gasse ", "allee ", "platz ", "ring ", "str. "),
 )
+_GERMAN_SIGN = re.compile(r"(?:straße|strasse|weg|gasse|allee|platz|ring|str\.) \d")
 _SPOKEN_SIGN = re.compile(rf"{_DIGIT}[ -]{_DIGIT}[ -]")
 _ZERO = str.maketrans("123456789", "000000000")
 _ABBREVIATIONS = frozenset(map(str.lower, ID_PREFIXES))
@@ -128,6 +135,7 @@ class Lexicon:
 
     def __post_init__(self) -> None:
         self.plain = (self.ordinary | RELATIONS | CALENDAR | BRANDS | _ABBREVIATIONS) - self.given - self.family  # words that alone make no name
+        self.kinds: dict[str, tuple[str, bool, int]] = {}  # classes of tokens met so far
         self.known: dict[str, str] = {w: ("g" if w in self.given else "") + ("f" if w in self.family else "") for w in self.given | self.family}
 
     def unlisted(self, word: str) -> str:
@@ -153,9 +161,9 @@ _LABEL_BEFORE = re.compile(rf"\b(?:{'|'.join(NAME_LABELS)}):? *$")
 _LOWER_INITIAL = re.compile(rf"[{_LOW}]\.(?= )")
 _LOW_TOKEN = re.compile(rf"\(?([{_LOW}][{_LOW}'’-]*)(?:[,;:)?!]|\.(?!\w)|$)")
 _UP_TOKEN = re.compile(rf"\(?([{_UP}][{_LOW}][{_LOW}'’-]*)(?:[,;:)?!]|\.(?!\w)|$)")
-_OPENING = re.compile(rf"(?:\A|\n|(?<!Dr)(?<!Mr)(?<!Ms)(?<!rs)(?<!St)[.!?:(])\s*(?:- )?([{_UP}][{_LOW}]+(?:['’][{_LOW}]+)?)(?= [{_LOW}])")
-_LABELLED = re.compile(rf"\b(?:{'|'.join(NAME_LABELS)}):?((?: {_LOWER}){{1,3}})", re.I)
-_LABEL_SIGNS = ("call", "poke", "talked", "name", "message", "signed", "ompanied", "habl", "llam")
+_OPENING = re.compile(rf"[\n.!?:(](?<!Dr.)(?<!Mr.)(?<!Ms.)(?<!rs.)(?<!St.)\s*(?:- )?([{_UP}][{_LOW}]+(?:['’][{_LOW}]+)?)(?= [{_LOW}])")
+_LABELLED = re.compile(rf"(?:{'|'.join(NAME_LABELS)}):?((?: {_LOWER}){{1,3}})", re.I)
+_LABEL_HEADS = tuple(h for w in sorted({x.split()[0][:4] for x in NAME_LABELS}) for h in (w, w.capitalize()))
 _TALLY = 1_000_000  # different tokens a task holds before it hands them on
 
 
@@ -190,9 +198,15 @@ def ordinary_words(texts: DataFrame, least: int = 3, share: float = 1e-6, openin
         for batch in batches:
             for text in batch["text"]:
                 tokens.update(set(text.split()))
-                opening.update(set(_OPENING.findall(text)))
-                if any(map(text.__contains__, _LABEL_SIGNS)):
-                    labelled.update({w for m in _LABELLED.findall(text) for w in m.split()})
+                own: set[str] = set()
+                opening.update(set(_OPENING.findall("\n" + text)))
+                for head in _LABEL_HEADS:
+                    at = text.find(head)
+                    while at >= 0:
+                        if (m := _LABELLED.match(text, at)) and not text[at - 1 : at].isalnum():
+                            own.update(m.group(1).split())
+                        at = text.find(head, at + len(head))
+                labelled.update(own)
             if len(tokens) > _TALLY:
                 yield _folded(tokens, opening, labelled)
                 tokens.clear(), opening.clear(), labelled.clear()
@@ -206,52 +220,81 @@ def ordinary_words(texts: DataFrame, least: int = 3, share: float = 1e-6, openin
     return counted.where(small | starts).select("word")
 
 
-def _spaced_runs(text: str) -> Iterator[list[tuple[int, int, str]]]:
-    """Runs of neighbouring tokens that may be parts of a name: (start, end, class), C capitalised or without case, I initial, P particle."""
-    run: list[tuple[int, int, str]] = []
-    for m in _CAP.finditer(text):
-        s, e = m.span()
+def _kind(w: str, plain: frozenset[str]) -> tuple[str, bool, int]:
+    """(class of a token, whether it alone may be a name, how many of its last characters aren't part of it)."""
+    low, cut = w.lower(), 0
+    if w[-1] == ".":
+        if len(w) == 2:
+            return "I", False, 0
+        if low == "st.":
+            return "P", False, 0
+        cut, low = 1, low[:-1]
+        if low + "." in TITLES:
+            return "", False, cut
+    if low in TITLES or low in DEGREES:
+        return ("P" if low in PARTICLES and len(w) > 1 and w[: len(w) - cut].isupper() else ""), False, cut
+    if len(w) - cut < 2:
+        return "I", False, cut
+    return "C", low not in plain, cut
+
+
+def _spaced_runs(text: str, lex: Lexicon) -> Iterator[list[tuple[int, int, str, bool]]]:
+    """Runs of neighbouring tokens of which at least one may be a name: (start, end, class, may be a name).
+
+    Classes are C capitalised or without case, I initial, P particle.
+    """
+    kinds, plain = lex.kinds, lex.plain
+    tokens: list[tuple[int, int, str, bool]] = []
+    worth: list[int] = []
+    tokens_of = _CAP if text.isascii() or max(text) < "\U00010000" else _CAP_WIDE
+    for m in tokens_of.finditer(text):
         w = m.group()
-        low = w.lower()
-        kind = "C"
-        if w[-1] == ".":
-            if len(w) == 2:
-                kind = "I"
-            elif low == "st.":
-                kind = "P"
-            else:
-                e -= 1
-                if low in TITLES:
-                    kind = ""
-                else:
-                    low = low[:-1]
-        if kind == "C":
-            if low in TITLES or low in DEGREES or text[e : e + 1] == ":":
-                kind = "P" if low in PARTICLES and w.isupper() and len(w) > 1 else ""
-            elif len(w) < 2:
-                kind = "I"
-        if not kind:
-            if run:
-                yield run
-                run = []
+        if (known := kinds.get(w)) is None:
+            if len(kinds) > _CACHE:
+                kinds.clear()
+            known = kinds[w] = _kind(w, plain)
+        kind, name, cut = known
+        s, e = m.span()
+        e -= cut
+        if kind == "C" and text[e : e + 1] == ":":
+            kind, name = "", False
+        if name:
+            worth.append(len(tokens))
+        tokens.append((s, e, kind, name))
+    upto = 0
+    for i in worth:
+        if i < upto:
             continue
-        if run:
-            gap = text[run[-1][1] : s]
-            if gap != " " and (gap.strip(" ,\t") or "\n" in gap or len(gap) > 4 or gap.count(",") > 1 or not gap):
-                between = gap.strip()
-                if between in PARTICLES and "\n" not in gap and len(gap) < 10:
-                    at = run[-1][1] + gap.index(between)
-                    run.append((at, at + len(between), "P"))
-                else:
-                    yield run
-                    run = []
-        if not run and kind == "C" and (p := _PARTICLE_BEFORE.search(text, max(0, s - 9), s)):
-            run.append((p.start(1), p.end(1), "P"))
-        run.append((s, e, kind))
-    if run:
+        first = i
+        while first > upto and tokens[first - 1][2] and _gap(text, tokens[first - 1][1], tokens[first][0]) is not None:
+            first -= 1
+        s = tokens[first][0]
+        run = [tokens[first]]
+        if tokens[first][2] == "C" and (p := _PARTICLE_BEFORE.search(text, max(0, s - 9), s)):
+            run.insert(0, (p.start(1), p.end(1), "P", False))
+        upto = first + 1
+        while upto < len(tokens) and tokens[upto][2] and (gap := _gap(text, tokens[upto - 1][1], tokens[upto][0])) is not None:
+            if gap:
+                at = text.index(gap, tokens[upto - 1][1])
+                run.append((at, at + len(gap), "P", False))
+            run.append(tokens[upto])
+            upto += 1
         yield run
 
 
+def _gap(text: str, start: int, end: int) -> str | None:
+    """The particle between two tokens of a run, '' for none; None where they aren't neighbours."""
+    gap = text[start:end]
+    if gap == " ":
+        return ""
+    if not gap or "\n" in gap or len(gap) > 9:
+        return None
+    between = gap.strip()
+    if between in PARTICLES:
+        return between
+    return "" if len(gap) <= 4 and not gap.strip(" ,\t") and gap.count(",") <= 1 else None
+
+
 def _copies(words: list[str]) -> list[int]:
     """For each word of a run the number of the copy it lies in, where up to four words stand at least three times in a row, else -1."""
     out = [-1] * len(words)
@@ -273,12 +316,8 @@ def _copies(words: list[str]) -> list[int]:
 
 def _name_candidates(text: str, lex: Lexicon) -> Iterator[Candidate]:
     """Spans of at most MAX_TOKENS tokens of a run of which at least one is no ordinary word."""
-    plain = lex.plain
-    for run in _spaced_runs(text):
-        words = [text[a:b] for a, b, _ in run]
-        worth = [k == "C" and w.lower() not in plain for (_, _, k), w in zip(run, words)]
-        if not any(worth):
-            continue
+    for run in _spaced_runs(text, lex):
+        words = [text[a:b] for a, b, _, _ in run]
         commas = ["," if "," in text[run[i][1] : run[i + 1][0]] else "" for i in range(len(run) - 1)]
         gaz = [lex.of(w) for w in words]
         copies = _copies(words)
@@ -289,7 +328,7 @@ def _name_candidates(text: str, lex: Lexicon) -> Iterator[Candidate]:
                 if copies[i] != copies[j] and min(copies[i], copies[j]) >= 0:
                     break  # a name doesn't reach from one copy of a looping text into the next
                 form += run[j][2]
-                good = good or worth[j]
+                good = good or run[j][3]
                 if good:
                     own = tuple(words[i : j + 1])
                     case = "U" if len(own[-1]) > 2 and own[-1].isupper() or own[0].isupper() and len(own[0]) > 2 else "t"
@@ -362,7 +401,9 @@ def candidates(text: str, lex: Lexicon) -> list[Candidate]:
     for k, sign in enumerate(_EMAIL_SIGNS):
         if any(map(low.__contains__, sign)):
             out += [Candidate(*m.span(), "email", str(k)) for m in _EMAIL[k].finditer(text)]
-    for m in _NUMBER.finditer(text):
+    for start in _NUMBER_START.finditer(text):
+        if not (m := _NUMBER.match(text, start.start())):
+            continue
         value = m.group(1)
         digits = sum(c.isdigit() for c in value)
         if 6 <= digits <= 15:
@@ -373,8 +414,9 @@ def candidates(text: str, lex: Lexicon) -> list[Candidate]:
             if digits >= 7:
                 out.append(Candidate(s, e, "phone", fmt, flags))
             out.append(Candidate(s, e, "identity_number", fmt, flags))
-    for m in _CODE.finditer(text):
-        if sum(c.isdigit() for c in m.group(3)) < 5:
+    for start in _CODE_START.finditer(text):
+        m = _CODE.match(text, start.start())
+        if not m or sum(c.isdigit() for c in m.group(3)) < 5:
             continue
         letters = m.group(1)
         fmt = re.sub(r"\d", "9", m.group()[len(letters) :])
@@ -383,7 +425,7 @@ def candidates(text: str, lex: Lexicon) -> list[Candidate]:
         for m in _SPOKEN.finditer(text):
             out.append(Candidate(*m.span(), "phone", "spoken"))
     for k, pattern in enumerate(_ADDRESS):
-        if not any(map(low.__contains__, _ADDRESS_SIGNS[k])):
+        if not (any(map(low.__contains__, _ADDRESS_SIGNS[k])) if k < len(_ADDRESS_SIGNS) else _GERMAN_SIGN.search(low)):
             continue
         for m in pattern.finditer(text):
             s, e = m.span()
@@ -393,20 +435,25 @@ def candidates(text: str, lex: Lexicon) -> list[Candidate]:
     return out
 
 
+def _shaped(words: list[str]) -> list[str]:
+    """In small letters, all digits as 0."""
+    return [w.lower() if w.isalpha() else w.translate(_ZERO).lower() for w in words]
+
+
 def _left(text: str, start: int) -> tuple[str, ...]:
     """Up to three words before a place in its line, ^ for the line's beginning, before which stand words of the line above if nothing else does."""
     left = text[max(0, start - 60) : start]
     above, _, line = left.rpartition("\n")
-    prev = line.translate(_ZERO).lower().split()[-3:]
+    prev = _shaped(line.split()[-3:])
     if len(prev) < 3 and (len(line) < len(left) or start < 60):
-        return ("^", *prev) if prev else (*above.rpartition("\n")[2].translate(_ZERO).lower().split()[-2:], "^")
+        return ("^", *prev) if prev else (*_shaped(above.rpartition("\n")[2].split()[-2:]), "^")
     return tuple(prev)
 
 
 def _right(text: str, end: int) -> tuple[str, str, str]:
     """(what stands next, the next two words of the line)."""
     right = text[end : end + 40]
-    nxt = right.partition("\n")[0].translate(_ZERO).lower().split()[:2]
+    nxt = _shaped(right.partition("\n")[0].split(None, 2)[:2])
     glued = "" if not right else "_" if right[0] == " " else "n" if right[0] == "\n" else right[0]
     return glued, nxt[0] if nxt else "", nxt[1] if len(nxt) > 1 else ""
 
@@ -554,9 +601,6 @@ def _marginals(before: Sequence[int], adjacent: Sequence[Sequence[tuple[int, str
     return ga, moves
 
 
-_CACHE = 400_000  # entries of a cache of partial scores; it is emptied when full
-
-
 @dataclass
 class Field:
     """Weights of the field by feature name. Sums over features that depend on the same things are remembered."""
