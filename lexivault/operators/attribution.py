@@ -1,25 +1,27 @@
 """Where regions of generated text stand in the corpus.
 
-A region is looked up by an anchor, a word gram wholly inside it (its outer words may be cut), in an
-equi-join with the corpus' grams; only pairs that share the anchor are then verified by substring search. The
-anchor's grams are filtered by those of regions before the join, so that the corpus is read once and
-shuffled hardly at all. Regions too short to hold an anchor are compared with the corpus in full, as a
-stated query set, which is broadcast only below a checked number of rows and otherwise refused.
+Regions are a stated query set that is searched for in every note. Their different texts, the needles, go to
+each task as one automaton (Aho-Corasick), which finds all occurrences of all of them, of any length, in one
+pass over a note, so no note is shuffled. The automaton is built only from needles of measured size, at most
+``MAX_NEEDLES`` characters. Beyond that, needles of some words are joined with the corpus by their rarest word
+gram and verified, and those too short for one are searched for block after block of that size. All
+ways give the same rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivault.functions.text import offsets, strip, words
 from lexivault.runtime import spread, stage
 
 ANCHOR = 3
-MAX_SHORT = 10_000
+MAX_NEEDLES = 4_000_000  # characters of an automaton, some 60 bytes each in a task's memory
 MIN_PIECE = 30
 MAX_DEPTH = 4
 
@@ -34,62 +36,108 @@ def span_hits(records: DataFrame, spans: str = "spans", stripped: bool = True) -
     return each.select("id", "text", needle.alias("t")).where("t <> ''").distinct().select("id", F.length("t").alias("n"), F.explode(offsets(F.col("text"), F.col("t"))).alias("s")).select("id", "s", (F.col("s") + F.col("n")).alias("e"))
 
 
-def _anchors(df: DataFrame, keep: list[str], k: int, inner: bool) -> DataFrame:
-    """keep and gram: of a region the first gram without its outer words (inner), of a note all different ones."""
-    w = words("text")
-    if inner:
-        return df.withColumn("w", F.transform(w, lambda x: F.xxhash64(x))).select(*keep, F.when(F.size("w") >= k + 2, F.xxhash64(F.slice("w", 2, k))).alias("gram"))
+def needle_of(text: Column | str) -> Column:
+    """The id of a needle: a hash of its text."""
+    return F.xxhash64(text)
+
+
+def _automaton(needles: list[tuple[int, str]]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for needle, text in needles:
+        out.add_word(text, (needle, len(text)))
+    out.make_automaton()
+    return out
+
+
+def _by_automaton(needles: DataFrame, notes: DataFrame) -> DataFrame:
+    """(needle, row_idx, positions): all notes against needles (needle, text) that fit one automaton."""
+    listed = [tuple(r) for r in needles.select("needle", "text").collect()]
+    shared = notes.sparkSession.sparkContext.broadcast(listed)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        search = _automaton(shared.value) if shared.value else None
+        for batch in batches:
+            rows = []
+            for row, text in zip(batch["row_idx"], batch["text"]):
+                found: dict[int, list[int]] = {}
+                for end, (needle, n) in search.iter(text) if search else ():
+                    found.setdefault(needle, []).append(end + 1 - n)
+                rows += [(needle, row, at) for needle, at in found.items()]
+            yield pd.DataFrame(rows, columns=["needle", "row_idx", "positions"])
+
+    return notes.select("row_idx", "text").mapInPandas(run, f"needle long, row_idx {dict(notes.dtypes)['row_idx']}, positions array<int>")
+
+
+def _grams(df: DataFrame, keep: list[str], k: int, inner: bool) -> DataFrame:
+    """keep and gram: the different word grams of a text, without the outer words where they may be cut (inner)."""
+    w = F.transform(words("text"), lambda x: F.xxhash64(x))
+    w = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))) if inner else w
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.slice("w", i, k))))
-    return df.withColumn("w", F.transform(w, lambda x: F.xxhash64(x))).where(F.size("w") >= k).select(*keep, F.explode(grams).alias("gram"))
+    return df.withColumn("w", w).where(F.size("w") >= k).select(*keep, F.explode(grams).alias("gram"))
 
 
-def corpus_occurrences(regions: DataFrame, notes: DataFrame, k: int = ANCHOR, max_short: int = MAX_SHORT) -> DataFrame:
-    """(region, row_idx, position): every occurrence, overlapping ones too, of each different region text in every note.
+def _by_grams(needles: DataFrame, notes: DataFrame, k: int) -> DataFrame:
+    """(needle, row_idx, positions) of needles with an inner word gram: those whose rarest one a note holds are verified in it."""
+    grams = stage(_grams(needles, ["needle"], k, True), "needle-grams")
+    near = stage(_grams(notes, ["row_idx"], k, False).join(grams.select("gram").distinct(), "gram", "left_semi"), "note-grams")
+    seen = near.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = grams.join(seen, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0").select("needle", "g.gram")
+    pairs = near.join(rarest, "gram").select("row_idx", "needle").join(needles, "needle").select("row_idx", "needle", F.col("text").alias("wanted"))
+    found = notes.select("row_idx", "text").join(pairs, "row_idx")
+    return found.select("needle", "row_idx", offsets(F.col("text"), F.col("wanted")).alias("positions")).where(F.size("positions") > 0)
 
-    regions: (region, text), notes: (row_idx, text). Empty and null texts have none.
+
+def occurrences(needles: DataFrame, notes: DataFrame, k: int = ANCHOR, max_needles: int = MAX_NEEDLES) -> DataFrame:
+    """(needle, row_idx, positions): every note that holds a needle, with all its offsets, overlapping ones too.
+
+    needles: (text), notes: (row_idx, text). Equal needles are one; empty and null texts have no occurrences.
     """
-    wanted = _anchors(regions.where("text <> ''").select("region", "text"), ["region", "text"], k, True)
-    long = wanted.where("gram is not null")
-    short = wanted.where("gram is null").select("region", F.col("text").alias("needle"))
-    keys = long.select("gram").distinct()
+    once = stage(needles.where("text <> ''").select(needle_of("text").alias("needle"), "text").dropDuplicates(["needle"]), "needles")
     notes = spread(notes.where("text is not null").select("row_idx", "text"))
-    near = _anchors(notes, ["row_idx"], k, False).join(keys, "gram", "left_semi")
-    pairs = near.join(long.select("region", "gram", F.col("text").alias("needle")), "gram").select("region", "row_idx", "needle")
-    found = notes.select("row_idx", "text").join(pairs, "row_idx")
-    n_short = short.limit(max_short + 1).count()
-    if n_short > max_short:
-        raise ValueError(f"more than {max_short} regions of fewer than {k + 2} words; raise max_short or the least region length")
-    if n_short:
-        every = notes.join(F.broadcast(short), F.col("text").contains(F.col("needle")))
-        found = found.select("row_idx", "text", "region", "needle").unionByName(every)
-    return found.select("region", "row_idx", F.explode(offsets(F.col("text"), F.col("needle"))).alias("position"))
+    size = F.coalesce(F.sum(F.length("text")), F.lit(0))
+    if once.agg(size).first()[0] <= max_needles:
+        return _by_automaton(once, notes)
+    worth = F.size(words("text")) >= k + 2
+    out = _by_grams(once.where(worth), notes, k)
+    short = once.where(~worth)
+    blocks = -(-short.agg(size).first()[0] // max_needles)
+    for b in range(blocks):
+        out = out.unionByName(_by_automaton(short.where(F.pmod("needle", F.lit(blocks)) == b), notes))
+    return out
 
 
-def own_matches(regions: DataFrame, notes: DataFrame) -> DataFrame:
-    """(region, row_idx, position, note_date): notes of the region's own key that contain it, at the first offset.
+def corpus_occurrences(regions: DataFrame, notes: DataFrame, k: int = ANCHOR, max_needles: int = MAX_NEEDLES) -> DataFrame:
+    """(region, row_idx, position): every occurrence, overlapping ones too, of each region's text in every note.
 
-    regions: (region, key, text), notes: (row_idx, key, note_date, text).
+    regions: (region, text), notes: (row_idx, text). Empty and null texts have none.
     """
-    pairs = regions.where("text <> ''").select("region", "key", F.col("text").alias("needle")).join(notes.where("text is not null"), "key")
-    return pairs.where(F.col("text").contains(F.col("needle"))).select("region", "row_idx", (F.expr("instr(text, needle)") - 1).alias("position"), "note_date")
+    found = occurrences(regions.select("text"), notes, k, max_needles)
+    named = regions.where("text <> ''").select("region", needle_of("text").alias("needle"))
+    return found.join(named, "needle").select("region", "row_idx", F.explode("positions").alias("position"))
 
 
-def winner(matches: DataFrame) -> DataFrame:
-    """(region, row_idx, position): of each region's matches the one of greatest (note_date, row_idx); a null date is least."""
+def holders(needles: DataFrame, notes: DataFrame, k: int = ANCHOR, max_needles: int = MAX_NEEDLES) -> DataFrame:
+    """(needle, note_key, n_notes, row_idx, position): keys with a note that holds a needle, how many of theirs do, and the
+    one of greatest (note_date, row_idx), a null date the least, with its first offset.
+
+    needles: (text), notes: (row_idx, key, note_date, text). Reduced to one row a needle and key, in each task first.
+    """
+    found = occurrences(needles, notes, k, max_needles).select("needle", "row_idx", F.array_min("positions").alias("position"))
+    dated = found.join(notes.select("row_idx", F.col("key").alias("note_key"), "note_date"), "row_idx")
     best = F.max(F.struct(F.col("note_date").isNotNull().alias("dated"), "note_date", "row_idx", "position")).alias("b")
-    return matches.groupBy("region").agg(best).select("region", "b.row_idx", "b.position")
+    return dated.groupBy("needle", "note_key").agg(F.count("*").alias("n_notes"), best).select("needle", "note_key", "n_notes", "b.row_idx", "b.position")
 
 
-def recurrence(occurrences: DataFrame, notes: DataFrame, regions: DataFrame) -> DataFrame:
-    """(region, k_corpus, k_within): keys whose notes hold the region, and notes of its own key that do; 0 where none."""
-    held = occurrences.select("region", "row_idx").distinct().join(notes.select("row_idx", F.col("key").alias("note_key")), "row_idx")
-    counts = (
-        held.join(regions.select("region", "key"), "region")
-        .groupBy("region")
-        .agg(F.countDistinct("note_key").alias("k_corpus"), F.count_if(F.col("note_key") == F.col("key")).alias("k_within"))
-    )
+def located(regions: DataFrame, found: DataFrame) -> DataFrame:
+    """regions (region, key, text, ...) with k_corpus and k_within (keys whose notes hold the text, notes of its own key that
+    do), and row_idx and position of the note it is attributed to, null without one. ``found`` is what ``holders`` gives.
+    """
+    named = regions.withColumn("needle", needle_of("text"))
+    keys = found.groupBy("needle").agg(F.count("*").alias("k_corpus"))
+    own = found.select("needle", F.col("note_key").alias("key"), F.col("n_notes").alias("k_within"), "row_idx", "position")
+    out = named.join(keys, "needle", "left").join(own, ["needle", "key"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return regions.select("region").join(counts, "region", "left").select("region", zero("k_corpus"), zero("k_within"))
+    return out.select(*regions.columns, zero("k_corpus"), zero("k_within"), "row_idx", "position")
 
 
 def _longest(piece: str, text: str, from_start: bool) -> int:
@@ -152,11 +200,15 @@ def split_regions(regions: DataFrame, notes: DataFrame, min_piece: int = MIN_PIE
     """
     kind = dict(regions.dtypes)["region"]
     parts = regions.where("text <> ''").select("region", "key", F.col("gen_start").cast("long").alias("at"), "text", F.lit(False).alias("tiny"))
+    # Each round reads the notes of regions' keys, not the corpus.
+    notes = stage(notes.join(parts.select("key").distinct(), "key", "left_semi"), "own-notes")
     done: list[DataFrame] = []
     for depth in range(max_depth + 2):
         open_ = stage(parts.withColumn("part", F.concat_ws("|", F.col("region").cast("string"), F.col("at").cast("string"), F.length("text").cast("string"))), f"parts-{depth}")
         if depth and open_.isEmpty():
             break
+        if depth == 1:  # most regions are whole in some note: the others' keys are fewer
+            notes = notes.join(open_.select("key").distinct(), "key", "left_semi")
         reach = _reach(open_.select("part", "key", "text"), notes)
         n = F.length("text")
         got = open_.join(reach, "part", "left").select("*", n.alias("n")).fillna({"holds": False, "head": 0, "tail": 0})
@@ -187,6 +239,24 @@ def split_regions(regions: DataFrame, notes: DataFrame, min_piece: int = MIN_PIE
     return out.withColumn("region", F.col("region").cast(kind))
 
 
+def pieces(regions: DataFrame, notes: DataFrame, min_piece: int = MIN_PIECE, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Regions cut into the parts that notes explain, each with its note and how often it recurs.
+
+    regions: (region, key, gen_start, text), notes: (row_idx, key, note_date, text). Returns (region, piece, key,
+    gen_start, gen_end, text, split_origin, attributed, k_corpus, k_within, row_idx, position), written once.
+    """
+    parts = split_regions(regions, notes.select("key", F.col("text").alias("note")), min_piece, max_depth)
+    whole = regions.select("region", "key", F.col("gen_start").alias("at"), F.col("text").alias("whole"))
+    cut = stage(
+        parts.join(whole, "region").select(
+            "region", F.concat_ws("+", "region", (F.col("gen_start") - F.col("at")).cast("string")).alias("piece"), "key", "gen_start", "gen_end", F.expr("substring(whole, cast(gen_start - at + 1 as int), cast(gen_end - gen_start as int))").alias("text"), "split_origin"
+        ),
+        "pieces",
+    )
+    out = located(cut, holders(cut, notes))
+    return stage(out.withColumn("attributed", F.col("row_idx").isNotNull()), "located")
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of greatest order per key; ties go to the order's later columns, nulls come last."""
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])

@@ -9,6 +9,7 @@ headers, segments or tokens.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -75,39 +76,41 @@ class NoteTemplate:
         """(start, end, header in lower case) in order."""
         return [(*m.span(), m.group(1).strip().lower()) for m in self.header.finditer(text)]
 
-    def section_at(self, found: list[tuple[int, int, str]], pos: int) -> str | None:
-        """Section of a place from a note's headers: the last one that ends at or before it, with its parent."""
-        before = [h for _, end, h in found if end <= pos]
-        if pos <= 0 or not before:
-            return None
-        last = before[-1]
-        if last in self.leaves:
-            return f"{self.leaves[last]}/{last}"
-        if last in self.shared:
-            above = next((p for h in reversed(before[:-1]) if (p := self.parent_of(h))), None)
-            return f"{above}/{last}" if above else last
-        return last
+    def sections_of(self, text: str) -> tuple[list[int], list[str]]:
+        """Where each header of a note ends, and the section that begins there: one pass that carries the parent along."""
+        ends, names = [], []
+        parent: str | None = None
+        for _, end, header in self.headers_of(text):
+            above = self.leaves.get(header) or (parent if header in self.shared else None)
+            ends.append(end)
+            names.append(f"{above}/{header}" if above else header)
+            parent = self.parent_of(header) or parent
+        return ends, names
 
     def segments(self, region: str, note: str | None, pos: int) -> list[tuple[str | None, int, int, bool]]:
-        """(section, start, end, is_leading) of the pieces of a region cut at the headers inside it."""
+        """(section, start, end, is_leading) of the pieces of a region cut at the headers inside it.
+
+        The section of a place is that of the last header of the note that ends at or before it.
+        """
         if not region:
             return []
-        found = self.headers_of(note) if note else []
+        ends, names = self.sections_of(note) if note else ([], [])
+        at = lambda p: names[k - 1] if p > 0 and (k := bisect_right(ends, p)) else None
         inside = self.headers_of(region)
         cuts = [s for s, _, _ in inside]
-        out = [(self.section_at(found, pos), 0, cuts[0] if cuts else len(region), True)] if not cuts or cuts[0] else []
+        out = [(at(pos), 0, cuts[0] if cuts else len(region), True)] if not cuts or cuts[0] else []
         for (start, end, _), stop in zip(inside, [*cuts[1:], len(region)]):
-            out.append((self.section_at(found, pos + end), start, stop, start == 0))
+            out.append((at(pos + end), start, stop, start == 0))
         return out
 
     def boilerplate_spans(self, text: str) -> list[tuple[int, int, str]]:
         return [(*m.span(), name) for name, p in self.boilerplate for m in p.finditer(text)]
 
-    def classify(self, text: str, section: str | None) -> list[tuple[str, bool, str | None]]:
+    def classify(self, text: str) -> list[tuple[str, bool, str | None]]:
         """(piece, templated, rule) of each token.
 
         A token takes the first span it overlaps. Tokens without a letter or digit take after the token before
-        them, at the start after the one behind; all are templated where none has any, or in a blanket section.
+        them, at the start after the one behind; all are templated where none has any.
         """
         spans = sorted(self.boilerplate_spans(text), key=lambda x: x[:2])
         tokens: list[tuple[str, str | None, bool | None]] = []
@@ -119,7 +122,7 @@ class NoteTemplate:
             rule = next((r for a, b, r in spans[first:] if a < e and b > s), None) if first < len(spans) else None
             worth = any(map(str.isalnum, m.group()))
             tokens.append((m.group(), rule, rule is not None if worth or rule else None))
-        if not any(any(map(str.isalnum, p)) for p, _, _ in tokens) or section in self.blanket:
+        if not any(any(map(str.isalnum, p)) for p, _, _ in tokens):
             return [(p, True, r) for p, r, _ in tokens]
         state = next(t for _, _, t in tokens if t is not None)
         out = []
@@ -147,19 +150,31 @@ def segment_regions(regions: DataFrame, template: NoteTemplate = NoteTemplate())
 
 
 def classify_segments(segments: DataFrame, template: NoteTemplate = NoteTemplate()) -> DataFrame:
-    """Takes (region, segment, section, text); adds n_tokens, n_templated, n_revealing, templated_text, revealing_text, rule_counts."""
+    """Takes (region, segment, section, text); adds n_tokens, n_templated, n_revealing, templated_text, revealing_text, rule_counts,
+    rule_matched (the stretches each rule found) and blanket_section.
+
+    In a blanket section all tokens are templated; the text that rules found comes first, then the rest.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for region, segment, section, text in zip(batch["region"], batch["segment"], batch["section"], batch["text"]):
-                tokens = template.classify(text or "", section)
+                text = text or ""
+                tokens = template.classify(text)
                 made, own = [p for p, t, _ in tokens if t], [p for p, t, _ in tokens if not t]
-                rows.append((region, segment, section, len(tokens), len(made), len(own), "".join(made), "".join(own), dict(Counter(r for _, t, r in tokens if r and t))))
-            yield pd.DataFrame(rows, columns=["region", "segment", "section", "n_tokens", "n_templated", "n_revealing", "templated_text", "revealing_text", "rule_counts"])
+                counts = dict(Counter(r for _, t, r in tokens if r and t))
+                blanket = section in template.blanket
+                if blanket:
+                    made, own = made + own, []
+                matched: dict[str, list[str]] = {}
+                for s, e, rule in sorted(template.boilerplate_spans(text)):
+                    matched.setdefault(rule, []).append(text[s:e])
+                rows.append((region, segment, section, len(tokens), len(made), len(own), "".join(made), "".join(own), counts, matched, blanket))
+            yield pd.DataFrame(rows, columns=["region", "segment", "section", "n_tokens", "n_templated", "n_revealing", "templated_text", "revealing_text", "rule_counts", "rule_matched", "blanket_section"])
 
     src = segments.select("region", "segment", "section", "text")
-    return src.mapInPandas(run, f"region {dict(src.dtypes)['region']}, segment int, section string, n_tokens int, n_templated int, n_revealing int, templated_text string, revealing_text string, rule_counts map<string,int>")
+    return src.mapInPandas(run, f"region {dict(src.dtypes)['region']}, segment int, section string, n_tokens int, n_templated int, n_revealing int, templated_text string, revealing_text string, rule_counts map<string,int>, rule_matched map<string,array<string>>, blanket_section boolean")
 
 
 def collapse_section(c: Column) -> Column:

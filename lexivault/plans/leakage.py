@@ -93,67 +93,81 @@ def memorized_token_pct(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.count_overlapping(tokens, merged, ["id"]).select("id", "n_tokens", "n_overlapping", (F.col("n_overlapping") / F.col("n_tokens")).alias("mem_token_pct"))
 
 
-def _long(r: DataFrame) -> DataFrame:
-    return r.where(F.length("text") >= attribution.MIN_PIECE)
-
-
-def recurrence_of(r: DataFrame, notes: DataFrame) -> DataFrame:
-    """(region, k_corpus, k_within) of regions of at least 30 characters."""
-    found = attribution.corpus_occurrences(_long(r).select("region", "text"), notes.select("row_idx", "text"))
-    return attribution.recurrence(found, notes, _long(r))
+def pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """The memorized regions of every record cut into parts that notes of its patient explain, each with its note and recurrence."""
+    r = regions(spark, sf)
+    cut = attribution.pieces(r.select("region", "key", "gen_start", "text"), corpus(spark, sf))
+    return cut.join(r.select("region", "id", "eval_split", "prior_tier"), "region")
 
 
 def corpus_occurrences(spark: SparkSession, sf: str) -> DataFrame:
-    """Every place in the corpus where a region of at least 30 characters stands."""
-    return attribution.corpus_occurrences(_long(regions(spark, sf)).select("region", "text"), corpus(spark, sf).select("row_idx", "text"))
+    """Every place in the corpus where a region stands, whatever its length."""
+    return attribution.corpus_occurrences(regions(spark, sf).select("region", "text"), corpus(spark, sf).select("row_idx", "text"))
 
 
-def winners_of(r: DataFrame, notes: DataFrame) -> DataFrame:
-    return attribution.winner(attribution.own_matches(r.select("region", "key", "text"), notes))
+def region_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part of every region."""
+    return pieces(spark, sf).select("region", "gen_start", "gen_end", "attributed", "split_origin")
 
 
 def attribution_winner(spark: SparkSession, sf: str) -> DataFrame:
-    return winners_of(regions(spark, sf), corpus(spark, sf))
+    """The note each explained part is attributed to: the latest of its patient that holds it."""
+    return pieces(spark, sf).where("attributed").select("piece", "row_idx", "position")
 
 
 def region_recurrence(spark: SparkSession, sf: str) -> DataFrame:
-    return recurrence_of(regions(spark, sf), corpus(spark, sf))
+    """Patients whose notes hold a part, and notes of its own patient that do."""
+    return pieces(spark, sf).select("piece", "k_corpus", "k_within")
 
 
-def recurrence_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Of regions that stand in the corpus: share in several patients, and share in several notes of the own patient."""
-    k = region_recurrence(spark, sf)
-    return k.agg(
-        F.count_if(F.col("k_corpus") > 0).alias("n_found"),
-        (F.count_if(F.col("k_corpus") > 1) / F.count_if(F.col("k_corpus") > 0)).alias("share_several_patients"),
-        (F.count_if(F.col("k_within") > 1) / F.count_if(F.col("k_corpus") > 0)).alias("share_several_notes"),
-    )
+def patient_recurrence(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the parts of train records that stand in the corpus: how many, and the share in notes of several patients."""
+    k = pieces(spark, sf).where("eval_split = 'train' and k_corpus > 0")
+    return k.agg(F.count("*").alias("n_found"), (F.count_if(F.col("k_corpus") > 1) / F.count("*")).alias("share_several_patients"))
 
 
-def recurrence_histogram(spark: SparkSession, sf: str, most: int = 10) -> DataFrame:
-    """How many regions of one patient stand in 1, 2, ... notes of it, the last bin for most and more; empty bins too."""
-    k = region_recurrence(spark, sf).where("k_corpus = 1 and k_within > 0").groupBy(F.least("k_within", F.lit(most)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    return spark.range(1, most + 1).select(F.col("id").cast("int").alias("bin")).join(k, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-def region_split(spark: SparkSession, sf: str) -> DataFrame:
-    return attribution.split_regions(regions(spark, sf).select("region", "key", "gen_start", "text"), corpus(spark, sf).select("key", F.col("text").alias("note")))
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of train records that touch, as they stood before splitting: (id, run, gen_start, gen_end, n_parts, n_attributed, n_notes)."""
+    cut = pieces(spark, sf).where("eval_split = 'train'")
+    runs = intervals.contiguous_runs(cut, ["id"], "gen_start", "gen_end")
+    return runs.groupBy("id", "run").agg(F.min("gen_start").alias("gen_start"), F.max("gen_end").alias("gen_end"), F.count("*").alias("n_parts"), F.count_if("attributed").alias("n_attributed"), F.countDistinct("row_idx").alias("n_notes"))
 
 
 def contiguous_regions(spark: SparkSession, sf: str) -> DataFrame:
-    """Runs of attributed parts that touch, with the number of notes they come from."""
-    parts = region_split(spark, sf).withColumn("id", F.substring_index("region", ":", 1))
-    runs = intervals.contiguous_runs(parts, ["id"], "gen_start", "gen_end")
-    return runs.groupBy("id", "run").agg(F.min("gen_start").alias("gen_start"), F.max("gen_end").alias("gen_end"), F.count("*").alias("n_parts"), F.count_if("attributed").alias("n_attributed"))
+    """Runs of parts that touch, with the number of notes they come from."""
+    return _runs(spark, sf)
 
 
 def stitched_regions(spark: SparkSession, sf: str) -> DataFrame:
-    """Runs of touching regions and how many different notes win them; a run of several notes is stitched."""
-    r = regions(spark, sf)
-    won = r.join(winners_of(r, corpus(spark, sf)).select("region", "row_idx"), "region", "left")
-    runs = intervals.contiguous_runs(won.select("id", "gen_start", "gen_end", "row_idx"), ["id"], "gen_start", "gen_end")
-    each = runs.groupBy("id", "run").agg(F.countDistinct("row_idx").alias("n_notes"))
-    return each.agg(F.count("*").alias("n_runs"), F.count_if(F.col("n_notes") > 1).alias("n_stitched"), F.avg("n_notes").alias("mean_notes"))
+    """How many runs are stitched together from several notes: more than one part, some attributed, not all to one note."""
+    stitched = (F.col("n_parts") > 1) & (F.col("n_attributed") > 0) & (F.col("n_notes") != 1)
+    return _runs(spark, sf).agg(F.count("*").alias("n_runs"), F.count_if(stitched).alias("n_stitched"), (F.count_if(stitched) / F.count("*")).alias("share_stitched"))
+
+
+def notes_per_generation(spark: SparkSession, sf: str) -> DataFrame:
+    """Train records with an attributed part, and from how many different notes they draw on average."""
+    each = pieces(spark, sf).where("eval_split = 'train' and attributed").groupBy("id").agg(F.countDistinct("row_idx").alias("n"))
+    return each.agg(F.count("*").alias("n_generations"), F.avg("n").alias("mean_notes"))
+
+
+def chain_funnel(spark: SparkSession, sf: str) -> DataFrame:
+    """How much is left at each step from records to parts, for each split."""
+    r = records(spark, sf)
+    cut = pieces(spark, sf)
+    origin = lambda o: F.count_if(F.col("split_origin") == o)
+    parts = cut.groupBy("eval_split").agg(
+        F.countDistinct("id").alias("n_with_regions"),
+        F.countDistinct("region").alias("n_regions"),
+        F.count("*").alias("n_parts"),
+        F.count_if("attributed").alias("n_attributed"),
+        F.count_if(~F.col("attributed")).alias("n_unattributed"),
+        (origin("split_attributed") + origin("split_attributed_tiny")).alias("n_split_attributed"),
+        (origin("split_residual") + origin("split_residual_tiny")).alias("n_split_residual"),
+        F.count_if(F.col("k_corpus") == 0).alias("n_not_in_corpus"),
+        F.sum(F.length("text")).alias("memorized_chars"),
+    )
+    names = [c for c in parts.columns if c != "eval_split"]
+    return r.groupBy("eval_split").agg(F.count("*").alias("n_records")).join(parts, "eval_split", "left").select("eval_split", "n_records", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
 
 
 def repetition_cut_w20(spark: SparkSession, sf: str) -> DataFrame:
@@ -229,17 +243,55 @@ _REG = (
     + _occ(True)
     + ", "
     + _merge(False)
-    + """, regions as (
+    + """, rs as (
+    select record_uid as id, coalesce(nullif(eval_split, ''), 'unknown') as eval_split from generations
+), regions as (
     select concat_ws(':', id, s::varchar, e::varchar) as region, id, key, s as gen_start, e as gen_end, substr(text, (s + 1)::bigint, (e - s)::bigint) as text from merged join r using (id)
 )"""
 )
-_K = (
+_PIECES = (
     _REG
-    + """, found as (
-    select region, n.row_idx, n.key as note_key, g.key, g.text as t, n.text from regions g join c n on contains(n.text, g.text) where length(g.text) >= 30
-), k as (
-    select g.region, count(distinct note_key) as k_corpus, count(distinct case when f.note_key = g.key then row_idx end) as k_within
-    from (select * from regions where length(text) >= 30) g left join found f using (region) group by g.region
+    + """, own as (
+    select key, list(text) as ns from c where key in (select key from regions) group by key
+), w as (
+    select *, case when holds then 0 else coalesce(list_max(list_filter(range(1, length(t)), lambda k: len(list_filter(ns, lambda n: contains(n, substr(t, 1, k)))) > 0)), 0) end as hd,
+        case when holds then 0 else coalesce(list_max(list_filter(range(1, length(t)), lambda k: len(list_filter(ns, lambda n: contains(n, right(t, k)))) > 0)), 0) end as tl
+    from (select *, len(list_filter(ns, lambda n: contains(n, t))) > 0 as holds from (
+        select region, id, key, gen_start as s0, text as whole, gen_start as g0, text as t, 0 as depth, false as tiny, coalesce(ns, []) as ns from regions left join own using (key) where text <> ''))
+    union all
+    select *, case when holds then 0 else coalesce(list_max(list_filter(range(1, length(t)), lambda k: len(list_filter(ns, lambda n: contains(n, substr(t, 1, k)))) > 0)), 0) end as hd,
+        case when holds then 0 else coalesce(list_max(list_filter(range(1, length(t)), lambda k: len(list_filter(ns, lambda n: contains(n, right(t, k)))) > 0)), 0) end as tl
+    from (select *, len(list_filter(ns, lambda n: contains(n, t))) > 0 as holds from (
+        select region, id, key, s0, whole, g0 + h2 as g0, substr(t, h2 + 1, length(t) - h2 - t2) as t, depth + 1 as depth, length(t) - h2 - t2 < 30 as tiny, ns from (
+            select *, case when hd >= 30 then hd else 0 end as h2, case when least(tl, length(t) - hd) >= 30 then least(tl, length(t) - hd) else 0 end as t2 from w
+            where not holds and not tiny and depth < 4 and length(t) >= 30 and (hd > 0 or tl > 0)
+        ) where length(t) - h2 - t2 > 0))
+), v as (
+    select *, case when hd >= 30 then hd else 0 end as h2, case when least(tl, length(t) - hd) >= 30 then least(tl, length(t) - hd) else 0 end as t2, not holds and (tiny or depth >= 4 or length(t) < 30 or (hd = 0 and tl = 0)) as ends from w
+), cut as (
+    select region, id, key, s0, whole, g0 as gen_start, g0 + length(t) as gen_end, case when tiny then 'split_attributed_tiny' when depth > 0 then 'split_attributed' else 'original' end as split_origin from v where holds
+    union all select region, id, key, s0, whole, g0, g0 + length(t), case when tiny then 'split_residual_tiny' when depth > 0 then 'split_residual' else 'original' end from v where ends
+    union all select region, id, key, s0, whole, g0, g0 + h2, 'split_attributed' from v where not holds and not ends and h2 > 0
+    union all select region, id, key, s0, whole, g0 + length(t) - t2, g0 + length(t), 'split_attributed' from v where not holds and not ends and t2 > 0
+), parts as (
+    select *, region || '+' || (gen_start - s0) as piece, substr(whole, (gen_start - s0 + 1)::bigint, (gen_end - gen_start)::bigint) as text from cut
+), held as (
+    select t, row_idx, key, note_date, instr(c.text, t) - 1 as position from (select distinct text as t from parts) join c on contains(c.text, t)
+), kc as (
+    select t, count(distinct key) as k_corpus from held group by t
+), kw as (
+    select t, key, count(*) as k_within, arg_max({'row_idx': row_idx, 'position': position}, (coalesce(note_date, ''), row_idx)) as best from held group by t, key
+), pieces as (
+    select p.*, coalesce(k_corpus, 0) as k_corpus, coalesce(k_within, 0) as k_within, best.row_idx as row_idx, best.position as position, best is not null as attributed, e.eval_split
+    from parts p left join kc on kc.t = p.text left join kw on kw.t = p.text and kw.key = p.key join (select id, any_value(eval_split) as eval_split from rs group by id) e using (id)
+)"""
+)
+_RUNS = (
+    _PIECES
+    + """, runs as (
+    select id, run, min(gen_start) as gen_start, max(gen_end) as gen_end, count(*) as n_parts, count_if(attributed) as n_attributed, count(distinct row_idx) as n_notes
+    from (select *, sum(f) over (partition by id order by gen_start, gen_end rows unbounded preceding) as run from (
+        select *, case when lag(gen_end) over (partition by id order by gen_start, gen_end) = gen_start then 0 else 1 end as f from pieces where eval_split = 'train')) group by id, run
 )"""
 )
 _SQL = {
@@ -254,18 +306,21 @@ _SQL = {
             select id, i, length(w[i]) as n, length(gaps[i]) as gap from (select id, w, gaps, unnest(range(1, len(w) + 1)) as i from (select id, regexp_extract_all(text, '\\S+') as w, regexp_split_to_array(text, '\\S+') as gaps from r))))
     ), hit as (select distinct t.id, ts from tok t join merged m on t.id = m.id and m.s < t.te and t.ts < m.e)
     select id, n_tokens, coalesce(n, 0) as n_overlapping, coalesce(n, 0) / n_tokens as mem_token_pct from (select id, count(*) as n_tokens from tok group by id) left join (select id, count(*) as n from hit group by id) using (id)""",
-    "corpus_occurrences": f"""with {_K} select region, row_idx, (i - 1)::int as position from (select region, row_idx, t, text, unnest(range(1, length(text) - length(t) + 2)) as i from found) where substr(text, i, length(t)) = t""",
-    "attribution_winner": f"""with {_REG} select region, row_idx, (instr(ntext, gtext) - 1)::int as position from (
-        select region, n.row_idx, n.text as ntext, g.text as gtext, row_number() over (partition by region order by n.note_date desc nulls last, n.row_idx desc) as rn from regions g join c n on g.key = n.key and contains(n.text, g.text)) where rn = 1""",
-    "region_recurrence": f"with {_K} select region, k_corpus, k_within from k",
-    "recurrence_summary": f"with {_K} select sum((k_corpus > 0)::int)::bigint as n_found, sum((k_corpus > 1)::int) / sum((k_corpus > 0)::int) as share_several_patients, sum((k_within > 1)::int) / sum((k_corpus > 0)::int) as share_several_notes from k",
-    "recurrence_histogram": f"with {_K} select b::int as bin, coalesce(n, 0) as n from (select unnest(range(1, 11)) as b) left join (select least(k_within, 10) as b, count(*) as n from k where k_corpus = 1 and k_within > 0 group by 1) using (b)",
-    "stitched_regions": f"""with {_REG}, won as (
-        select region, n.row_idx, row_number() over (partition by region order by n.note_date desc nulls last, n.row_idx desc) as rn from regions g join c n on g.key = n.key and contains(n.text, g.text)
-    ), runs as (select id, row_idx, sum(f) over (partition by id order by gen_start, gen_end rows unbounded preceding) as run from (
-        select id, gen_start, gen_end, row_idx, case when lag(gen_end) over (partition by id order by gen_start, gen_end) = gen_start then 0 else 1 end as f from regions left join (select * from won where rn = 1) using (region))
-    ), each as (select id, run, count(distinct row_idx) as n_notes from runs group by id, run)
-    select count(*) as n_runs, count(*) filter (n_notes > 1) as n_stitched, avg(n_notes) as mean_notes from each""",
+    "corpus_occurrences": f"""with {_REG} select region, row_idx, (i - 1)::int as position from (
+        select region, n.row_idx, g.text as t, n.text, unnest(range(1, length(n.text) - length(g.text) + 2)) as i from regions g join c n on contains(n.text, g.text) where g.text <> '') where substr(text, i, length(t)) = t""",
+    "region_split": f"with recursive {_PIECES} select region, gen_start, gen_end, attributed, split_origin from pieces",
+    "attribution_winner": f"with recursive {_PIECES} select piece, row_idx, position::int as position from pieces where attributed",
+    "region_recurrence": f"with recursive {_PIECES} select piece, k_corpus, k_within from pieces",
+    "patient_recurrence": f"with recursive {_PIECES} select count(*) as n_found, count_if(k_corpus > 1) / count(*) as share_several_patients from pieces where eval_split = 'train' and k_corpus > 0",
+    "contiguous_regions": f"with recursive {_RUNS} select id, run::bigint as run, gen_start, gen_end, n_parts, n_attributed, n_notes from runs",
+    "stitched_regions": f"""with recursive {_RUNS} select count(*) as n_runs, count_if(n_parts > 1 and n_attributed > 0 and n_notes <> 1) as n_stitched, count_if(n_parts > 1 and n_attributed > 0 and n_notes <> 1) / count(*) as share_stitched from runs""",
+    "notes_per_generation": f"with recursive {_PIECES} select count(*) as n_generations, avg(n) as mean_notes from (select id, count(distinct row_idx) as n from pieces where eval_split = 'train' and attributed group by id)",
+    "chain_funnel": f"""with recursive {_PIECES}, n as (select eval_split, count(distinct r.id) as n_records from r join rs using (id) group by 1), p as (
+        select eval_split, count(distinct id) as n_with_regions, count(distinct region) as n_regions, count(*) as n_parts, count_if(attributed) as n_attributed, count_if(not attributed) as n_unattributed,
+            count_if(split_origin like 'split_attributed%') as n_split_attributed, count_if(split_origin like 'split_residual%') as n_split_residual, count_if(k_corpus = 0) as n_not_in_corpus, sum(length(text))::bigint as memorized_chars from pieces group by 1)
+        select eval_split, n_records, """
+    + ", ".join(f"coalesce({c}, 0) as {c}" for c in ("n_with_regions", "n_regions", "n_parts", "n_attributed", "n_unattributed", "n_split_attributed", "n_split_residual", "n_not_in_corpus", "memorized_chars"))
+    + " from n left join p using (eval_split)",
     "repetition_cut_w20": f"""with {_R}, w as (select id, regexp_extract_all(text, '\\S+') as w from r), g as (
         select id, i, array_to_string(w[i:i+19], ' ') as gram from (select id, w, unnest(range(1, len(w) - 18)) as i from w where len(w) >= 40)
     ), cut as (select id, min(i) - 1 as kept from (select id, i, row_number() over (partition by id, gram order by i) as k from g) where k > 1 group by id)
@@ -273,11 +328,10 @@ _SQL = {
     "patient_corpus_stats": f"with {_R} select key, coalesce(n_notes, 0) as n_notes, coalesce(n_tokens, 0)::bigint as n_tokens from (select distinct key from r) left join (select key, count(*) as n_notes, sum(len(regexp_extract_all(text, '\\S+'))) as n_tokens from c group by key) using (key)",
     "oversize_patients_excluded": f"with {_R} select key, max(n)::int as longest, sum(n)::bigint as n_tokens from (select key, len(regexp_extract_all(text, '\\S+')) as n from c) group by key having max(n) <= 1000",
 }
-_ROWS_ONLY = {"region_split": region_split, "contiguous_regions": contiguous_regions}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()[name] for name in _SQL} | _ROWS_ONLY
+    return {name: globals()[name] for name in _SQL}
 
 
 def oracle_sql() -> dict[str, str]:

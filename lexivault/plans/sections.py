@@ -13,24 +13,35 @@ from lexivault.plans import cohort, leakage
 from lexivault.sources.tables import table
 
 
-def _segments(r: DataFrame, notes: DataFrame) -> DataFrame:
-    """Segments of attributed regions with their text."""
-    won = r.join(leakage.winners_of(r, notes), "region").join(notes.select("row_idx", F.col("text").alias("note")), "row_idx")
-    seg = sections.segment_regions(won.select("region", "text", "note", F.col("position").alias("pos")))
-    return seg.join(r.select("region", F.col("text").alias("whole")), "region").select("region", "segment", "section", "seg_start", "seg_end", "is_leading", F.substring("whole", F.col("seg_start") + 1, F.col("seg_end") - F.col("seg_start")).alias("text"))
+def _segments(cut: DataFrame, notes: DataFrame) -> DataFrame:
+    """Segments of the parts of regions with their text; of parts without a note all in no section."""
+    won = cut.join(notes.select("row_idx", F.col("text").alias("note")), "row_idx", "left")
+    seg = sections.segment_regions(won.select(F.col("piece").alias("region"), "text", "note", F.col("position").alias("pos")))
+    return seg.join(cut.select(F.col("piece").alias("region"), F.col("text").alias("whole")), "region").select("region", "segment", "section", "seg_start", "seg_end", "is_leading", F.substring("whole", F.col("seg_start") + 1, F.col("seg_end") - F.col("seg_start")).alias("text"))
+
+
+def _train(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.pieces(spark, sf).where("eval_split = 'train'")
+
+
+def _classified(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Classified segments of the parts of train records, and those parts as (region, k_corpus, k_within)."""
+    cut = _train(spark, sf)
+    made = sections.classify_segments(_segments(cut, leakage.corpus(spark, sf)))
+    return made, cut.select(F.col("piece").alias("region"), "k_corpus", "k_within")
 
 
 def section_segments(spark: SparkSession, sf: str) -> DataFrame:
-    return _segments(leakage.regions(spark, sf), leakage.corpus(spark, sf))
+    return _segments(_train(spark, sf), leakage.corpus(spark, sf))
 
 
 def section_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return sections.classify_segments(section_segments(spark, sf)).withColumn("rule_counts", F.to_json("rule_counts"))
+    made, _ = _classified(spark, sf)
+    return made.withColumn("rule_counts", F.to_json("rule_counts")).withColumn("rule_matched", F.to_json("rule_matched"))
 
 
 def section_composition(spark: SparkSession, sf: str) -> DataFrame:
-    r, notes = leakage.regions(spark, sf), leakage.corpus(spark, sf)
-    return sections.composition(sections.classify_segments(_segments(r, notes)), leakage.recurrence_of(r, notes))
+    return sections.composition(*_classified(spark, sf))
 
 
 def top_sections(spark: SparkSession, sf: str, n: int = 10) -> DataFrame:
@@ -40,29 +51,68 @@ def top_sections(spark: SparkSession, sf: str, n: int = 10) -> DataFrame:
 
 
 def rule_totals(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokens of each boilerplate rule in memorized segments."""
-    s = sections.classify_segments(section_segments(spark, sf))
-    return s.select(F.explode("rule_counts").alias("rule", "n")).groupBy("rule").agg(F.sum("n").alias("n_tokens")).orderBy(F.desc("n_tokens"), "rule").limit(30)
+    """Tokens of each boilerplate rule in memorized segments of train records."""
+    made, _ = _classified(spark, sf)
+    return made.select(F.explode("rule_counts").alias("rule", "n")).groupBy("rule").agg(F.sum("n").alias("n_tokens")).orderBy(F.desc("n_tokens"), "rule").limit(30)
+
+
+def segment_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Which rules made segments templated, the blanket sections apart: segments and tokens of each combination."""
+    made, _ = _classified(spark, sf)
+    return made.groupBy(sections.rule_summary(F.col("blanket_section"), F.col("rule_counts")).alias("rules")).agg(F.count("*").alias("n_segments"), F.sum("n_tokens").alias("n_tokens"))
+
+
+def _revealing(spark: SparkSession, sf: str) -> DataFrame:
+    """k_within of the parts that stand in notes of one patient only and of which some segment has a revealing token."""
+    made, k = _classified(spark, sf)
+    return k.where("k_corpus = 1 and k_within > 0").join(made.where("n_revealing > 0").select("region").distinct(), "region", "left_semi")
+
+
+def recurrence_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the revealing parts of one patient only: how many, and the share in several of its notes."""
+    return _revealing(spark, sf).agg(F.count("*").alias("n_parts"), (F.count_if(F.col("k_within") > 1) / F.count("*")).alias("share_several_notes"))
+
+
+def recurrence_histogram(spark: SparkSession, sf: str, most: int = 10) -> DataFrame:
+    """How many revealing parts of one patient only stand in 1, 2, ... of its notes, the last bin for most and more; empty bins too."""
+    k = _revealing(spark, sf).groupBy(F.least("k_within", F.lit(most)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return spark.range(1, most + 1).select(F.col("id").cast("int").alias("bin")).join(k, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def segment_funnel(spark: SparkSession, sf: str) -> DataFrame:
+    """From the parts of train records to the segments that the composition counts."""
+    made, k = _classified(spark, sf)
+    parts = k.agg(F.count("*").alias("n_parts"), F.count_if(F.col("k_corpus") == 0).alias("n_parts_not_in_corpus"), F.count_if(F.col("k_corpus") == 1).alias("n_parts_one_patient"), F.count_if(F.col("k_corpus") > 1).alias("n_parts_several_patients"))
+    used = made.join(k.where("k_corpus > 0"), "region", "left_semi")
+    counted = used.where("n_tokens > 0").agg(F.count("*").alias("n_segments_used"), F.count_if("blanket_section").alias("n_blanket_segments"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum("n_templated"), F.lit(0)).alias("n_templated"))
+    return parts.crossJoin(made.agg(F.count("*").alias("n_segments"))).crossJoin(counted)
+
+
+# Java's and RE2's patterns: what stands before a line's beginning is taken along where the note template looks behind.
+_LINE = r"(?:^|\n)"
+
+
+def _portable(pattern: str) -> str:
+    """A rule of the template without look-around, for counting."""
+    return "(?is)" + pattern.replace(r"(?:^|(?<=\n))", _LINE).replace(r"(?=\s*$|\s*\n)", r"(?:\s*$|\s*\n)")
 
 
 def boilerplate_notes(spark: SparkSession, sf: str) -> DataFrame:
-    """Boilerplate of each kind in all notes, counted in the JVM."""
+    """Matches of every boilerplate rule of the template in all notes, counted in the JVM."""
     n = table(spark, sf, "notes").where("Note is not null")
-    count = lambda p: F.sum(F.regexp_count("Note", F.lit(p))).alias
-    return n.agg(
-        count(r"(?i)(?:^|\n)\s*last\s+reviewed[^\n]*")("last_reviewed"),
-        count(r"(?i)(?:^|\n)\s*\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}[^\n]*")("date_lines"),
-        count(r"(?i)\bnegative\s+for\s+[^.\n]*\.?")("negatives"),
-        count(r"(?i)\bsee\s+(?:hpi|history|ros|exam|note|notes|chart|above|below)\b[^.\n]*\.?")("references"),
-    )
+    names = list(sections.RULES)
+    one = n.agg(*[F.coalesce(F.sum(F.regexp_count("Note", F.lit(_portable(p)))), F.lit(0)).alias(name) for name, p in sections.RULES.items()])
+    return one.unpivot([], names, "rule", "n_matches")
 
 
 def header_notes(spark: SparkSession, sf: str) -> DataFrame:
-    """Notes that hold each of some headers."""
-    heads = ["hpi", "ros", "constitutional", "physical exam", "current medications", "assessment", "plan", "bp", "wt"]
+    """Notes that hold each of the template's headers."""
     n = table(spark, sf, "notes").where("Note is not null")
-    one = n.agg(*[F.count_if(F.col("Note").rlike(rf"(?i)(?:^|\s){h.replace(' ', chr(92) + 's+')}\s*:")).alias(h) for h in heads])
-    return one.unpivot([], heads, "header", "n_notes")
+    found = n.select("row_idx", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("Note", F.lit(_HEADER), F.lit(1)), lambda h: F.lower(F.regexp_replace(h, r"\s+", " "))))).alias("header"))
+    return found.groupBy("header").agg(F.count("*").alias("n_notes"))
+
+
+_HEADER = r"(?i)(?:^|\s)(" + sections._alternatives(sections.HEADERS) + r")\s*:"
 
 
 def encounter_prefixes(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,11 +155,10 @@ def reference_table(spark: SparkSession, sf: str) -> DataFrame:
 
 _COHORT = cohort._SQL["cohort_extract"].rsplit("select key, practiceid", 1)[0].strip() + " , co as (select * from final where key not in (select key from final group by key having count(*) > 1))"
 _SQL = {
-    "boilerplate_notes": r"""select sum(len(regexp_extract_all(Note, '(?i)(?:^|\n)\s*last\s+reviewed[^\n]*')))::bigint as last_reviewed, sum(len(regexp_extract_all(Note, '(?i)(?:^|\n)\s*\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}[^\n]*')))::bigint as date_lines,
-        sum(len(regexp_extract_all(Note, '(?i)\bnegative\s+for\s+[^.\n]*\.?')))::bigint as negatives, sum(len(regexp_extract_all(Note, '(?i)\bsee\s+(?:hpi|history|ros|exam|note|notes|chart|above|below)\b[^.\n]*\.?')))::bigint as "references" from notes where Note is not null""",
-    "header_notes": " union all ".join(
-        rf"select '{h}' as header, count_if(regexp_matches(Note, '(?i)(?:^|\s){h.replace(' ', chr(92) + 's+')}\s*:')) as n_notes from notes where Note is not null" for h in ["hpi", "ros", "constitutional", "physical exam", "current medications", "assessment", "plan", "bp", "wt"]
+    "boilerplate_notes": " union all ".join(
+        f"select '{name}' as rule, coalesce(sum(len(regexp_extract_all(Note, '{_portable(p).replace(chr(39), chr(39) * 2)}'))), 0)::bigint as n_matches from notes where Note is not null" for name, p in sections.RULES.items()
     ),
+    "header_notes": f"""select header, count(*) as n_notes from (select distinct row_idx, lower(regexp_replace(unnest(regexp_extract_all(Note, '{_HEADER}', 1)), '\\s+', ' ', 'g')) as header from notes where Note is not null) group by header""",
     "encounter_prefixes": f"{_COHORT} select key, prefix, marker from (select key, regexp_replace(substr(note_start, 1, (length(regexp_extract(note_start, '(?is)^(.*?)(?:electronically|subjective)', 1)))::bigint), '\\s+$', '') as prefix, nullif(regexp_extract(note_start, '(?i)[ \\t\\n]*(?:electronically|subjective):?'), '') as marker from co) where marker is not null",
     "verified_spans": """with g as (select *, row_number() over (partition by record_uid) as one from generations), k as (select record_uid, list_filter([x.text for x in memorized_spans], lambda s: s is not null and s <> '' and contains(generation, s)) as k from g where one = 1)
         select record_uid, coalesce(len(k), 0)::int as n_verified, coalesce(len(k), 0) > 0 as present, coalesce(array_to_string(k, '|'), '') as spans from k""",
@@ -118,7 +167,7 @@ _SQL = {
     "truncated_texts": "select row_idx, least(length(Note), 20000)::int as kept_chars, length(Note) > 20000 as judge_truncated, md5(array_to_string(list_slice(w, greatest(len(w) - 199, 1), len(w)), ' ')) as tail_md5 from (select row_idx, Note, regexp_extract_all(Note, '\\S+') as w from notes where Note is not null)",
     "reference_table": "select string_agg('- ' || name || ' (' || n || ')', chr(10) order by name) as text from (select Diagnosis as name, count(*) as n from sensitive_diagnosis where Diagnosis is not null group by 1)",
 }
-_ROWS_ONLY = {n: globals()[n] for n in ("section_segments", "section_tokens", "section_composition", "top_sections", "rule_totals", "prompt_records")}
+_ROWS_ONLY = {n: globals()[n] for n in ("section_segments", "section_tokens", "section_composition", "top_sections", "rule_totals", "segment_rules", "segment_funnel", "recurrence_summary", "recurrence_histogram", "prompt_records")}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,5 +1,6 @@
 """Core operators against brute force on small cases."""
 
+import bisect
 import itertools
 import json
 import math
@@ -124,7 +125,9 @@ def test_split_regions(spark):
     assert got == want
 
 
-def test_corpus_occurrences(spark):
+@pytest.mark.parametrize("most", [10_000, 40])
+def test_corpus_occurrences(spark, most):
+    """With a small ``most`` long needles are found by grams and short ones in blocks."""
     rng = random.Random(5)
     notes = [(i, " ".join(rng.choice(["ab", "abc", "b", "cab"]) for _ in range(rng.randrange(0, 25)))) for i in range(40)] + [(99, None)]
     regions = []
@@ -132,19 +135,29 @@ def test_corpus_occurrences(spark):
         n = rng.choice([n for _, n in notes if n])
         s = rng.randrange(len(n))
         regions.append((i, n[s : s + rng.randrange(1, 30)]))
-    regions += [(50, ""), (51, None)]
-    got = rows(attribution.corpus_occurrences(spark.createDataFrame(regions, "region int, text string"), spark.createDataFrame(notes, "row_idx int, text string")))
+    regions += [(50, ""), (51, None), (52, regions[0][1]), (53, "\U0001f600")]
+    notes += [(100, "a \U0001f600\U0001f600 b")]
+    r, n = spark.createDataFrame(regions, "region int, text string"), spark.createDataFrame(notes, "row_idx int, text string")
+    got = rows(attribution.corpus_occurrences(r, n, max_needles=most))
     want = sorted((r, i, p) for r, t in regions if t for i, n in notes if n for p in range(len(n)) if n.startswith(t, p))
     assert got == want
+    assert attribution.corpus_occurrences(r.limit(0), n).count() == 0
 
 
-def test_winner_and_recurrence(spark):
-    m = spark.createDataFrame([(1, 5, 0, "2020-01-01"), (1, 6, 3, "2020-01-01"), (1, 9, 1, None), (2, 1, 0, None)], "region int, row_idx int, position int, note_date string")
-    assert rows(attribution.winner(m)) == [(1, 6, 3), (2, 1, 0)]
-    occ = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (1, 3)], "region int, row_idx int")
-    notes = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "row_idx int, key string")
-    reg = spark.createDataFrame([(1, "a"), (2, "a")], "region int, key string")
-    assert rows(attribution.recurrence(occ, notes, reg)) == [(1, 2, 2), (2, 0, 0)]
+def test_pieces(spark):
+    """Winner: the latest date, then the greater row; a null date is least. Recurrence counts keys and own notes."""
+    long = "abcdefghij klmnopqrst uvwxyz 0123"
+    notes = [(5, "k", "2020-01-01", f"x {long}"), (6, "k", "2020-01-01", f"{long} {long}"), (9, "k", None, long), (7, "j", "2024-01-01", f"- {long}"), (8, "j", None, None)]
+    regions = [("a", "k", 10, long), ("b", "none", 0, long), ("c", "k", 0, long + "#" * 40), ("d", "k", 3, "")]
+    got = attribution.pieces(spark.createDataFrame(regions, "region string, key string, gen_start long, text string"), spark.createDataFrame(notes, "row_idx int, key string, note_date string, text string"))
+    out = sorted(tuple(r) for r in got.select("piece", "gen_start", "gen_end", "split_origin", "attributed", "k_corpus", "k_within", "row_idx", "position").collect())
+    n = len(long)
+    assert out == [
+        ("a+0", 10, 10 + n, "original", True, 2, 3, 6, 0),
+        ("b+0", 0, n, "original", False, 2, 0, None, None),
+        ("c+0", 0, n, "split_attributed", True, 2, 3, 6, 0),
+        (f"c+{n}", n, n + 40, "split_residual", False, 0, 0, None, None),
+    ]
 
 
 def test_single_rows(spark):
@@ -185,22 +198,33 @@ def test_selection(spark):
     assert selection.not_done(df, a, ["key"]).count() == 48
 
 
+def test_classified_segments(spark):
+    """In a blanket section all is templated: what rules found first, then the rest; the stretches of each rule are kept."""
+    rows_ = [("a", 0, "hpi", "Pain. see HPI now."), ("b", 0, sections.BLANKET[0], "Pain. see HPI now."), ("c", 0, None, None), ("d", 0, None, "")]
+    got = {r["region"]: r for r in sections.classify_segments(spark.createDataFrame(rows_, "region string, segment int, section string, text string")).collect()}
+    a, b = got["a"], got["b"]
+    assert a["rule_matched"] == b["rule_matched"] == {"SEE_REFERENCE": ["see HPI now."]} and a["n_revealing"] > 0 and not a["blanket_section"]
+    assert b["blanket_section"] and b["n_revealing"] == 0 and b["revealing_text"] == "" and b["templated_text"] == a["templated_text"] + a["revealing_text"]
+    assert got["c"]["n_tokens"] == got["d"]["n_tokens"] == 0
+    rules = spark.createDataFrame([(True, {"A": 1}), (False, {"B": 1, "A": 2}), (False, {})], "b boolean, r map<string,int>")
+    assert [r[0] for r in rules.select(sections.rule_summary(F.col("b"), F.col("r"))).collect()] == ["BLANKET_SECTION", "A|B", None]
+
+
 def test_sections():
     t = sections.NoteTemplate()
     note = "hpi: cough\nros: \nconstitutional: Negative for fever, chills.\ncardiovascular: none\nphysical exam: cardiovascular: fine bp: 120\nfoo: x"
-    found = t.headers_of(note)
-    at = lambda word: t.section_at(found, note.index(word) + len(word))
-    assert [h for _, _, h in found] == ["hpi", "ros", "constitutional", "cardiovascular", "physical exam", "cardiovascular", "bp"]
+    ends, names = t.sections_of(note)
+    at = lambda word: names[bisect.bisect_right(ends, note.index(word) + len(word)) - 1]
+    assert [h for _, _, h in t.headers_of(note)] == ["hpi", "ros", "constitutional", "cardiovascular", "physical exam", "cardiovascular", "bp"]
     assert at("cough") == "hpi" and at("fever") == "ros/constitutional" and at("none") == "ros/cardiovascular" and at("fine") == "pe/cardiovascular" and at("120") == "bp"
-    assert t.section_at(found, 0) is None
+    assert t.segments("ough", note, 0) == [(None, 0, 4, True)] and t.segments("ough", None, 9) == [(None, 0, 4, True)]
     assert t.segments("", note, 5) == []
     assert [s[1:] for s in t.segments("ough\nros: x", note, 6)] == [(0, 5, True), (5, 11, False)]
     spans = t.boilerplate_spans("general: Negative for a, b.\nlast reviewed 01/02/2020 by X\n03/04/2021 x\nby Dr. Roe\nsee HPI now.")
     assert [r for _, _, r in spans] == ["HEADER_PREFIX", "NEGATIVE_ROS", "LAST_REVIEWED", "DATE_TIME_LINE", "BY_NAME_LINE", "SEE_REFERENCE"]
-    tokens = t.classify("Negative for a.\nPain, left", None)
+    tokens = t.classify("Negative for a.\nPain, left")
     assert "".join(p for p, made, _ in tokens if not made) == "Pain, left"
-    assert all(made for _, made, _ in t.classify(" - ", None))
-    assert all(made for _, made, _ in t.classify("anything", sections.BLANKET[0]))
+    assert all(made for _, made, _ in t.classify(" - "))
 
 
 @pytest.mark.parametrize(
