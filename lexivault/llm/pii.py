@@ -112,7 +112,7 @@ _ADDRESS_SIGNS = (
     ("calle", "avenida", "plaza", "paseo", "camino", "avda", "c/"),
 )
 _GERMAN_SIGN = re.compile(r"(?:straße|strasse|weg|gasse|allee|platz|ring|str\.) \d")
-_SPOKEN_SIGN = re.compile(rf"{_DIGIT}[ -]{_DIGIT}[ -]")
+_SPOKEN_SIGNS = ("zero", "oh", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "double", "triple")
 _ZERO = str.maketrans("123456789", "000000000")
 _ABBREVIATIONS = frozenset(map(str.lower, ID_PREFIXES))
 
@@ -421,7 +421,7 @@ def candidates(text: str, lex: Lexicon) -> list[Candidate]:
         letters = m.group(1)
         fmt = re.sub(r"\d", "9", m.group()[len(letters) :])
         out.append(Candidate(*m.span(), "identity_number", fmt, ("c" + letters, f"l{len(letters)}" + fmt, f"label{letters in ID_PREFIXES}")))
-    if _SPOKEN_SIGN.search(low):
+    if sum(map(low.count, _SPOKEN_SIGNS)) > 5:
         for m in _SPOKEN.finditer(text):
             out.append(Candidate(*m.span(), "phone", "spoken"))
     for k, pattern in enumerate(_ADDRESS):
