@@ -3,8 +3,8 @@
 Method: community confusion model. Annotators belong to a few types with shared confusion matrices. Each
 annotator's own matrix has its type's expected one as a prior, so that one with few labels is judged by
 the type and one with many by what they did. Types, matrices and true labels are inferred by variational
-updates: Dirichlet expectations (digamma) for the matrices and the class shares, responsibilities for
-types and labels.
+updates: Dirichlet posteriors for annotators' and types' matrices and the class shares, which enter by their
+expected logarithms (digamma), and responsibilities for types and labels.
 
 Labels are first reduced to one per item and annotator, then items with the same labels by the same
 annotators are counted together, so that an update works on distinct patterns, not on rows. The pattern
@@ -15,9 +15,10 @@ overload the driver.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import lgamma, log
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -60,6 +61,7 @@ class Model:
     type_confusion: np.ndarray  # type x true x given
     prior: np.ndarray
     rounds: int
+    converged: bool = True
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
@@ -73,6 +75,23 @@ def _digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y / 252))
 
 
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """Recurrence up to 8, then Stirling's series."""
+    x = np.asarray(x, float).copy()
+    out = np.zeros_like(x)
+    while (low := x < 8).any():
+        out[low] -= np.log(x[low])
+        x[low] += 1
+    y = 1 / (x * x)
+    return out + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y / 1680))) / x
+
+
+def _expected(counts: np.ndarray) -> np.ndarray:
+    """Shares by the expected logarithms of a Dirichlet posterior."""
+    out = np.exp(_elog(counts))
+    return out / out.sum(axis=-1, keepdims=True)
+
+
 def _elog(counts: np.ndarray) -> np.ndarray:
     return _digamma(counts) - _digamma(counts.sum(axis=-1, keepdims=True))
 
@@ -84,7 +103,11 @@ def patterns(votes: DataFrame) -> DataFrame:
 
 
 def fit(table: DataFrame, labels: Sequence[str], n_types: int = 4, max_rounds: int = 40, tol: float = 1e-4, own_strength: float = 20.0, max_annotators: int = MAX_ANNOTATORS) -> Model:
-    """Variational updates over the pattern table (votes ARRAY<STRUCT<annotator, label>>, n)."""
+    """Variational updates over the pattern table (votes ARRAY<STRUCT<annotator, label>>, n).
+
+    Ends when the expected counts move by less than tol of their sum; if that isn't so after max_rounds it
+    warns and the model says so.
+    """
     labels = list(labels)
     k = len(labels)
     names = table.select(F.explode("votes.annotator").alias("a")).distinct().orderBy("a").limit(max_annotators + 1).toPandas()["a"].tolist()
@@ -92,8 +115,8 @@ def fit(table: DataFrame, labels: Sequence[str], n_types: int = 4, max_rounds: i
         raise ValueError(f"more than {max_annotators} annotators; raise max_annotators only with a larger driver")
     if not names:
         return Model(labels, [], np.zeros((0, k, k)), np.zeros((0, n_types)), np.zeros((n_types, k, k)), np.full(k, 1 / k), 0)
-    place = {a: i for i, a in enumerate(names)}
-    label_at = {x: i for i, x in enumerate(labels)}
+    known = table.sparkSession.sparkContext.broadcast(({a: i for i, a in enumerate(names)}, {x: i for i, x in enumerate(labels)}))
+    size = len(names)
 
     def e_step(score: np.ndarray | None, log_prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Expected counts: annotator x true x given, and of true labels. Without a score, votes count as equals."""
@@ -101,7 +124,8 @@ def fit(table: DataFrame, labels: Sequence[str], n_types: int = 4, max_rounds: i
 
         def run(batches):
             score, log_prior = shared.value
-            sums = np.zeros((len(names), k, k))
+            place, label_at = known.value
+            sums = np.zeros((size, k, k))
             total = np.zeros(k)
             for batch in batches:
                 for votes, n in zip(batch["votes"], batch["n"]):
@@ -136,10 +160,9 @@ def fit(table: DataFrame, labels: Sequence[str], n_types: int = 4, max_rounds: i
     rounds = 0
     for rounds in range(1, max_rounds + 1):
         for _ in range(10):  # types given the counts: small, on the driver
-            e_type = type_counts / type_counts.sum(axis=-1, keepdims=True)
+            e_type = _expected(type_counts)
             alpha = own_strength * e_type  # what a type's prior adds to an annotator's own counts
-            lg = np.vectorize(lgamma)
-            fit_ = (lg(alpha[None] + counts[:, None]) - lg(alpha)[None]).sum(axis=-1) - (lg(alpha.sum(-1)[None] + counts[:, None].sum(-1)) - lg(alpha.sum(-1))[None])
+            fit_ = (_lgamma(alpha[None] + counts[:, None]) - _lgamma(alpha)[None]).sum(axis=-1) - (_lgamma(alpha.sum(-1)[None] + counts[:, None].sum(-1)) - _lgamma(alpha.sum(-1))[None])
             r = fit_.sum(axis=-1) + np.log(weights + 1e-9)
             r = np.exp(r - r.max(axis=1, keepdims=True))
             r /= r.sum(axis=1, keepdims=True)
@@ -148,15 +171,17 @@ def fit(table: DataFrame, labels: Sequence[str], n_types: int = 4, max_rounds: i
             # An annotator weighs in a type by at most own_strength labels, so that no one of them is the type.
             seen = np.minimum(counts.sum(axis=-1, keepdims=True), own_strength)
             type_counts = start * 10 + np.einsum("am,atl->mtl", r, share * seen)
-        e_type = type_counts / type_counts.sum(axis=-1, keepdims=True)
+        e_type = _expected(type_counts)
         posterior = own_strength * np.einsum("am,mtl->atl", r, e_type) + counts
         new_counts, totals = e_step(_elog(posterior), _elog(totals + 1))
         moved = np.abs(new_counts - counts).sum() / max(counts.sum(), 1)
         counts = new_counts
         if moved < tol:
             break
+    else:
+        warnings.warn(f"no convergence in {max_rounds} rounds: the counts still move by {moved:.2g}", stacklevel=2)
     posterior = own_strength * np.einsum("am,mtl->atl", r, e_type) + counts
-    return Model(labels, names, posterior / posterior.sum(axis=-1, keepdims=True), r, e_type, (totals + 1) / (totals + 1).sum(), rounds)
+    return Model(labels, names, posterior / posterior.sum(axis=-1, keepdims=True), r, e_type, (totals + 1) / (totals + 1).sum(), rounds, bool(moved < tol))
 
 
 def _model_frame(model: Model, votes: DataFrame) -> DataFrame:
@@ -170,24 +195,42 @@ def _model_frame(model: Model, votes: DataFrame) -> DataFrame:
 
 
 def consensus(votes: DataFrame, model: Model, min_annotators: int = 1) -> DataFrame:
-    """(item, label, confidence, agreement, n_annotators) of each item with at least min_annotators votes.
+    """(item, label, confidence, n_annotators) of each item with at least min_annotators votes.
 
-    ``confidence`` is the posterior of the label, ``agreement`` the share of pairs of votes that are equal
-    (1 for a single vote). Ties go to the label named first in the model.
+    ``confidence`` is the posterior of the label. Ties go to the label named first in the model.
     """
     names = model.labels
     scored = votes.join(_model_frame(model, votes), ["annotator", "label"])
-    sums = scored.groupBy("item").agg(
-        F.count("*").alias("n"), *[F.sum(F.col("scores")[t]).alias(f"s{t}") for t in range(len(names))], *[F.count_if(F.col("label") == y).alias(f"n{t}") for t, y in enumerate(names)]
-    )
+    sums = scored.groupBy("item").agg(F.count("*").alias("n"), *[F.sum(F.col("scores")[t]).alias(f"s{t}") for t in range(len(names))])
     total = [F.col(f"s{t}") + float(log(model.prior[t])) for t in range(len(names))]
     top = F.greatest(*total)
     mass = sum((F.exp(x - top) for x in total), F.lit(0.0))
     label = F.coalesce(*[F.when(total[t] == top, F.lit(names[t])) for t in range(len(names))])
-    equal = sum((F.col(f"n{t}") * (F.col(f"n{t}") - 1) for t in range(len(names))), F.lit(0))
-    return sums.where(F.col("n") >= min_annotators).select(
-        "item", label.alias("label"), (1 / mass).alias("confidence"), F.when(F.col("n") > 1, equal / (F.col("n") * (F.col("n") - 1))).otherwise(F.lit(1.0)).alias("agreement"), F.col("n").alias("n_annotators")
-    )
+    return sums.where(F.col("n") >= min_annotators).select("item", label.alias("label"), (1 / mass).alias("confidence"), F.col("n").alias("n_annotators"))
+
+
+def _counted(votes: DataFrame) -> DataFrame:
+    """(item, n, same): votes of each item, and ordered pairs of equal ones."""
+    each = votes.groupBy("item", "label").agg(F.count("*").alias("c"))
+    return each.groupBy("item").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"))
+
+
+def agreement(votes: DataFrame) -> DataFrame:
+    """(item, agreement, n_annotators): the share of pairs of an item's votes that are equal, 1 for a single vote."""
+    pairs = F.col("n") * (F.col("n") - 1)
+    return _counted(votes).select("item", F.when(pairs > 0, F.col("same") / pairs).otherwise(F.lit(1.0)).alias("agreement"), F.col("n").alias("n_annotators"))
+
+
+def alpha(votes: DataFrame) -> DataFrame:
+    """One row (n_items, n_labels, agreement, alpha) over items with several votes: observed agreement, and Krippendorff's alpha,
+    which is 1 without disagreement, 0 at that of chance, and null where only one label was given."""
+    items = _counted(votes).where("n > 1")
+    seen = items.agg(F.count("*").alias("n_items"), F.sum("n").alias("n_labels"), (F.sum(F.col("same") / (F.col("n") - 1)) / F.sum("n")).alias("agreement"))
+    total = F.sum("s")
+    by_label = votes.join(items.select("item"), "item", "left_semi").groupBy("label").agg(F.count("*").alias("s"))
+    chance = by_label.agg((F.sum(F.col("s") * (F.col("s") - 1)) / (total * (total - 1))).alias("e"))
+    out = seen.crossJoin(chance)  # one row each
+    return out.select("n_items", F.coalesce("n_labels", F.lit(0)).alias("n_labels"), "agreement", F.when(F.col("e") < 1, 1 - (1 - F.col("agreement")) / (1 - F.col("e"))).alias("alpha"))
 
 
 def reliability(votes: DataFrame, model: Model) -> DataFrame:

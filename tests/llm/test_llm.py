@@ -1,6 +1,7 @@
 """Operators of the subpackage against brute force, exact round trips and held-out accuracy."""
 
 import itertools
+import math
 import random
 import re
 import sys
@@ -348,8 +349,16 @@ def test_consensus_empty_and_agreement(spark):
     model = consensus.fit(consensus.patterns(none), ["positive", "negative"])
     assert consensus.consensus(none, model).count() == 0 and consensus.reliability(none, model).count() == 0
     few = spark.createDataFrame([("a", "x", "positive"), ("a", "y", "positive"), ("a", "z", "negative"), ("b", "x", "negative")], "item string, annotator string, label string")
-    got = {r["item"]: r for r in consensus.consensus(few, consensus.fit(consensus.patterns(few), ["positive", "negative"])).collect()}
+    got = {r["item"]: r for r in consensus.agreement(few).collect()}
     assert got["a"]["agreement"] == pytest.approx(1 / 3) and got["b"]["agreement"] == 1.0
+    # Observed disagreement 2/3, expected 1 - (2 * 1 + 1 * 0) / (3 * 2) = 2/3: no better than chance.
+    row = consensus.alpha(few).first()
+    assert (row["n_items"], row["n_labels"]) == (1, 3) and row["alpha"] == pytest.approx(0)
+    assert consensus.alpha(none).first()["alpha"] is None
+    x = np.asarray([0.05, 0.5, 1, 3.7, 40, 1e5])
+    assert consensus._lgamma(x) == pytest.approx([math.lgamma(v) for v in x], abs=1e-9, rel=1e-12)
+    with pytest.warns(UserWarning, match="convergence"):
+        assert not consensus.fit(consensus.patterns(few), ["positive", "negative"], max_rounds=1, tol=0.0).converged
     with pytest.raises(ValueError, match="annotators"):
         consensus.fit(consensus.patterns(few), ["positive", "negative"], max_annotators=2)
 
