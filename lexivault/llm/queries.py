@@ -111,7 +111,7 @@ def p7_certificate(spark: SparkSession, sf: str) -> DataFrame:
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents whose text was cut."""
     scored = truncation.score(table(spark, sf, "documents"), "doc_id", "text", "source")
-    return scored.where(F.col("cut_score") >= truncation.THRESHOLD).select("doc_id")
+    return scored.where("is_cut").select("doc_id")
 
 
 def p8_rates(spark: SparkSession, sf: str) -> DataFrame:

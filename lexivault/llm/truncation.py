@@ -3,15 +3,17 @@
 Method: intact values are cut artificially to create positives; a hashed logistic regression is trained
 on closing characters, punctuation and length-to-limit features; then every record is scored.
 
-* Limits are found per source over all texts: the greatest length (in code points and in UTF-8 bytes) at
-  which several texts of the source end.
+* Limits are found per source over all texts, in code points and in UTF-8 bytes: the greatest length, if several
+  different texts end there, and any other length at which far more different texts end than at those around.
 * Training takes a bounded sample (``max_train`` texts of least hash; the only thing here that doesn't
   read all rows). A first model without limit features removes texts that look cut from the intact
-  ones; the second is trained on the rest, with texts at a limit that look whole as negatives.
+  ones; the second is trained on four fifths of the rest, with texts at a limit that look whole as negatives. The
+  threshold is the score at which the other fifth, whole and artificially cut, is told apart with the
+  fewest errors, weighed by the share of texts that the first model takes for cut; it lies in the valley between both.
 * Scoring reads the closing ``TAIL`` code points and the length of every text; nothing else of a text
   can tell whether it was cut. It runs without a shuffle but for the join with the sources' limits.
 
-Null and blank texts were not cut. A null source has a limit of its own like any other.
+Null and blank texts were not cut. A null source has limits of its own like any other.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivault.runtime import hash_sample, stage
@@ -33,29 +35,37 @@ TAIL = 400
 MAX_TRAIN = 20_000
 TRAIN_CHARS = 1500  # of a sampled text's end, in which it is cut artificially
 BITS = 18
-MIN_PILE = 3
-PILE_SHARE = 0.005
-THRESHOLD = 0.15  # whole texts of the test tables score below 0.1, artificially cut ones mostly above 0.9
+# How many different texts, what share of a source's, and how many times as many as at the lengths around must end at its
+# greatest length, and at any other.
+PILES = {True: (3, 0.005, 3), False: (8, 0.01, 10)}
+AROUND = 12
 # What systems put where they cut a text.
 MARKS = ["", "...", "…", " ...", " (cont", " (cont.)", " (continued", " [truncated]", " [message truncated", " [message trunc", " [cut]", " >>", "\x1a", "�", "��", " <more>", " [...]", "-"]
 _WORD = re.compile(r"\S+")
 
 
-def source_limits(texts: DataFrame, min_pile: int = MIN_PILE) -> DataFrame:
-    """(source, chars, bytes): each source's greatest lengths, null where fewer than min_pile texts, or PILE_SHARE of the source's, end there."""
-    n, b = F.length("text"), F.octet_length("text")
-    own = texts.where("text is not null").groupBy("source", n.alias("n"), b.alias("b")).count()
-    over = Window.partitionBy("source")
-    at_chars = F.col("n") == F.col("most_n")
-    least = F.col("all") * PILE_SHARE
-    at_bytes = F.col("b") > F.col("most_b") - 4  # a byte limit may fall inside a character
-    return (
-        own.withColumn("most_n", F.max("n").over(over))
-        .withColumn("most_b", F.max("b").over(over))
-        .groupBy("source")
-        .agg(F.max("most_n").alias("n"), F.max("most_b").alias("b"), F.sum(F.when(at_chars, F.col("count"))).alias("c"), F.sum(F.when(at_bytes, F.col("count"))).alias("d"), F.sum("count").alias("all"))
-        .select("source", F.when(F.col("c") >= F.greatest(F.lit(min_pile), least), F.col("n")).alias("chars"), F.when(F.col("d") >= F.greatest(F.lit(min_pile), least), F.col("b")).alias("bytes"))
-    )
+def source_limits(texts: DataFrame) -> DataFrame:
+    """(source, unit, n): lengths at which texts of a source are cut, in chars or bytes; takes (source, text).
+
+    A limit in bytes may fall inside a character, so texts that end up to three bytes before it count for it.
+    Different texts are counted, so copies of one make no limit. All sums combine before the shuffle.
+    """
+    size = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("text").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("n")))).alias("x")
+    each = texts.where("text is not null").select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("of"), "source", F.xxhash64("text").alias("h"), size)
+    counts = stage(each.groupBy("of", "source", "x.unit", "x.n").agg(F.approx_count_distinct("h").alias("c")), "lengths")
+    of = counts.groupBy("of", "unit").agg(F.sum("c").alias("total"), F.max("n").alias("most"))
+    top = F.col("n") == F.col("most")
+    least = F.when(top, F.greatest(F.lit(PILES[True][0]), F.col("total") * PILES[True][1])).otherwise(F.greatest(F.lit(PILES[False][0]), F.col("total") * PILES[False][1]))
+    # Few lengths of a source can hold such a part of its texts.
+    some = counts.join(of, ["of", "unit"]).where(F.col("c") * F.when(F.col("unit") == "bytes", 4).otherwise(1) >= least).select("of", "source", "unit", "n", least.alias("least"), top.alias("top"))
+    near = some.select("*", F.explode(F.sequence(F.lit(-AROUND - 3), F.lit(AROUND))).alias("d")).withColumn("at", F.col("n") + F.col("d"))
+    inside = (F.col("d") == 0) | ((F.col("unit") == "bytes") & F.col("d").between(-3, 0))
+    around = near.join(counts.select("of", "unit", F.col("n").alias("at"), "c"), ["of", "unit", "at"]).groupBy("of", "source", "unit", "n", "least", "top")
+    piles = around.agg(F.sum(F.when(inside, F.col("c")).otherwise(0)).alias("pile"), F.sum(F.when(~inside & ~F.col("d").between(-3, 0), F.col("c")).otherwise(0)).alias("rest"))
+    width = F.when(F.col("unit") == "bytes", 4).otherwise(1)
+    times = F.when(F.col("top"), PILES[True][2]).otherwise(PILES[False][2])
+    above = F.col("pile") * 2 * AROUND >= F.col("rest") * width * times
+    return piles.where((F.col("pile") >= F.col("least")) & above).select("source", "unit", "n")
 
 
 def _shape(token: str) -> str:
@@ -102,9 +112,19 @@ def tail_features(tail: str, at_chars: bool, at_bytes: bool, with_limit: bool =
     return out
 
 
+_hashes: dict[str, int] = {}  # of feature names met before, emptied when full
+
+
 def _index(names: list[str], bits: int) -> list[int]:
     mask = (1 << bits) - 1
-    return [xxhash.xxh32_intdigest(x.encode("utf-8", "replace")) & mask for x in names]
+    if len(_hashes) > 500_000:
+        _hashes.clear()
+    out = []
+    for x in names:
+        if (h := _hashes.get(x)) is None:
+            h = _hashes[x] = xxhash.xxh32_intdigest(x.encode("utf-8", "replace"))
+        out.append(h & mask)
+    return out
 
 
 @dataclass
@@ -114,12 +134,35 @@ class TailModel:
     weights: np.ndarray
     bits: int
     with_limit: bool
-
-    def score(self, tail: str, at_chars: bool = False, at_bytes: bool = False) -> float:
-        z = float(self.weights[_index(tail_features(tail, at_chars, at_bytes, self.with_limit), self.bits)].sum())
+    threshold: float = 0.5
+
+    def scores(self, rows: list[tuple[str, bool, bool]]) -> np.ndarray:
+        """Of (tail, at_chars, at_bytes), all at once."""
+        if not rows:
+            return np.zeros(0)
+        each = [_index(tail_features(t, c, b, self.with_limit), self.bits) for t, c, b in rows]
+        starts = np.cumsum([0, *map(len, each[:-1])])
+        z = np.add.reduceat(self.weights[np.concatenate(each)], starts)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def best_threshold(whole: np.ndarray, cut: np.ndarray, rate: float) -> float:
+    """The score that parts whole from cut texts with the fewest errors, a share ``rate`` of all being cut: the middle, in log odds, of
+    the stretch between scores where errors are fewest. Texts taken for whole that score above a half are left out: most are cut texts
+    among them."""
+    whole = whole[whole < 0.5]
+    if not len(whole) or not len(cut):
+        return 0.5
+    odds = lambda p: np.log(np.clip(p, 1e-12, 1 - 1e-12) / (1 - np.clip(p, 1e-12, 1 - 1e-12)))
+    at = np.unique(odds(np.concatenate((whole, cut))))
+    mids = (at[1:] + at[:-1]) / 2
+    missed = np.searchsorted(np.sort(odds(cut)), mids) / len(cut)
+    false = 1 - np.searchsorted(np.sort(odds(whole)), mids) / len(whole)
+    errors = rate * missed + (1 - rate) * false
+    best = np.flatnonzero(errors <= errors.min() + 1e-12)
+    return float(1 / (1 + np.exp(-(at[best[0]] + at[best[-1] + 1]) / 2)))
+
+
 def _train(rows: list[tuple[str, bool, bool, int]], with_limit: bool, bits: int = BITS, epochs: int = 6, rate: float = 0.15, seed: int = 7) -> TailModel:
     """Adaptive gradient descent in small batches; classes weigh the same."""
     feats = [_index(tail_features(t, c, b, with_limit), bits) for t, c, b, _ in rows]
@@ -160,55 +203,71 @@ def _cuts(text: str, rng: random.Random, n: int = 2) -> Iterator[str]:
 
 
 def fit(sample: pd.DataFrame, seed: int = 7) -> TailModel:
-    """A model from a bounded sample (text, at_chars, at_bytes) of unlabelled texts."""
+    """A model and its threshold from a bounded sample (text, at_chars, at_bytes) of unlabelled texts."""
     rng = random.Random(seed)
     texts = [(t, bool(c), bool(b)) for t, c, b in zip(sample["text"], sample["at_chars"], sample["at_bytes"]) if t and t.strip()]
     free = [t for t, c, b in texts if not (c or b)]
     rows = [(t[-TAIL:], False, False, 0) for t in free] + [(cut, False, False, 1) for t in free for cut in _cuts(t, rng)]
     first = _train(rows, with_limit=False)
-    whole = [(t, c, b) for t, c, b in texts if first.score(t[-TAIL:]) < 0.3]
+    looks = first.scores([(t[-TAIL:], False, False) for t, _, _ in texts])
+    whole = [x for x, score in zip(texts, looks) if score < 0.3]
     limits = any(c or b for _, c, b in texts)
-    rows = [(t[-TAIL:], c, b, 0) for t, c, b in whole]
-    for t, _, _ in whole:
-        for cut in _cuts(t, rng):
-            at = limits and rng.random() < 0.15
-            rows.append((cut, at, at and rng.random() < 0.7, 1))
-    return _train(rows, with_limit=True)
+    rng.shuffle(whole)
+    held = whole[: len(whole) // 5]
+
+    def labelled(some: list[tuple[str, bool, bool]]) -> list[tuple[str, bool, bool, int]]:
+        out = [(t[-TAIL:], c, b, 0) for t, c, b in some]
+        for t, _, _ in some:
+            for cut in _cuts(t, rng):
+                at = limits and rng.random() < 0.15
+                out.append((cut, at, at and rng.random() < 0.7, 1))
+        return out
+
+    model = _train(labelled(whole[len(held) :]), with_limit=True)
+    test = labelled(held)
+    scores = model.scores([x[:3] for x in test])
+    y = np.asarray([x[3] for x in test], bool)
+    model.threshold = best_threshold(scores[~y], scores[y], min(max(1 - len(whole) / max(len(texts), 1), 0.001), 0.5))
+    return model
 
 
 def _with_limits(docs: DataFrame, id_col: str, text_col: str, source_col: str, max_broadcast: int = 100_000) -> DataFrame:
-    """(id, text, source, at_chars, at_bytes). Limits of at most max_broadcast sources are broadcast, so that texts stay where they are read."""
+    """(id, text, source, at_chars, at_bytes). At most max_broadcast limits are broadcast, so that texts stay where they are read."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
-    limits = stage(source_limits(texts).withColumnRenamed("source", "of"), "limits")
-    if limits.count() <= max_broadcast:
-        limits = F.broadcast(limits)
-    n, b = F.length("text"), F.octet_length("text")
-    return (
-        texts.join(limits, F.col("source").eqNullSafe(F.col("of")), "left")
-        .withColumn("at_chars", F.coalesce(n == F.col("chars"), F.lit(False)))
-        .withColumn("at_bytes", F.coalesce((b > F.col("bytes") - 4) & (b <= F.col("bytes")), F.lit(False)))
-    )
+    limits = stage(source_limits(texts), "limits")
+    few = limits.count() <= max_broadcast
+
+    def at(rows: DataFrame, unit: str, size: Column, slack: int, name: str) -> DataFrame:
+        ends = limits.where(F.col("unit") == unit).select(F.col("source").alias("of"), F.explode(F.sequence(F.col("n") - slack, F.col("n"))).alias("end")).distinct().withColumn(name, F.lit(True))
+        ends = F.broadcast(ends) if few else ends
+        joined = rows.join(ends, F.col("source").eqNullSafe(F.col("of")) & (size == F.col("end")), "left").drop("of", "end")
+        return joined.withColumn(name, F.coalesce(name, F.lit(False)))
+
+    return at(at(texts, "chars", F.length("text"), 0, "at_chars"), "bytes", F.octet_length("text"), 3, "at_bytes")
 
 
 def score(docs: DataFrame, id_col: str, text_col: str, source_col: str, max_train: int = MAX_TRAIN) -> DataFrame:
-    """(id_col, source, cut_score DOUBLE, at_limit BOOLEAN) of every row; the score of null and blank texts is 0."""
+    """(id_col, source, cut_score DOUBLE, is_cut BOOLEAN, at_limit BOOLEAN) of every row; the score of null and blank texts is 0."""
     rows = _with_limits(docs, id_col, text_col, source_col)
-    tail = rows.where(F.length(F.trim("text")) > 30).select(F.xxhash64("text").alias("h"), F.substring("text", -TRAIN_CHARS, TRAIN_CHARS).alias("text"), "at_chars", "at_bytes")
-    sample = hash_sample(tail, "h", max_train).toPandas()
+    tail = rows.select(F.xxhash64("text").alias("h"), F.substring("text", -TRAIN_CHARS, TRAIN_CHARS).alias("text"), (F.length(F.trim("text")) > 30).alias("long"), "at_chars", "at_bytes")
+    sample = hash_sample(tail, "h", max_train, F.col("long")).toPandas()
     model = docs.sparkSession.sparkContext.broadcast(fit(sample)) if len(sample) else None
     tails = rows.select("id", "source", F.substring("text", -TAIL, TAIL).alias("tail"), "at_chars", "at_bytes")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value if model else None
         for batch in batches:
-            values = [m.score(t, bool(c), bool(b)) if m and t and t.strip() else 0.0 for t, c, b in zip(batch["tail"], batch["at_chars"], batch["at_bytes"])]
-            yield pd.DataFrame({"id": batch["id"], "source": batch["source"], "cut_score": values, "at_limit": batch["at_chars"] | batch["at_bytes"]})
+            values = np.zeros(len(batch))
+            worth = [i for i, t in enumerate(batch["tail"]) if t and t.strip()] if m else []
+            if worth:
+                some = batch.iloc[worth]
+                values[worth] = m.scores(list(zip(some["tail"], some["at_chars"], some["at_bytes"])))
+            yield pd.DataFrame({"id": batch["id"], "source": batch["source"], "cut_score": values, "is_cut": values >= m.threshold if m else values > 1, "at_limit": batch["at_chars"] | batch["at_bytes"]})
 
     kind = dict(tails.dtypes)["id"]
-    return tails.mapInPandas(run, f"id {kind}, source string, cut_score double, at_limit boolean").withColumnRenamed("id", id_col)
+    return tails.mapInPandas(run, f"id {kind}, source string, cut_score double, is_cut boolean, at_limit boolean").withColumnRenamed("id", id_col)
 
 
-def cut_rates(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def cut_rates(scored: DataFrame) -> DataFrame:
     """(source, n_docs, n_cut, rate, n_at_limit) for each source."""
-    cut = F.col("cut_score") >= threshold
-    return scored.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if(cut).alias("n_cut"), F.avg(cut.cast("double")).alias("rate"), F.count_if("at_limit").alias("n_at_limit"))
+    return scored.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if("is_cut").alias("n_cut"), F.avg(F.col("is_cut").cast("double")).alias("rate"), F.count_if("at_limit").alias("n_at_limit"))

@@ -390,14 +390,35 @@ def test_cut_texts(spark):
         rows.append((i, t, source))
     rows += [(5000, None, "free"), (5001, "  ", None), (5002, "", "capped")]
     out = truncation.score(spark.createDataFrame(rows, "id int, text string, source string"), "id", "text", "source")
-    scores = {r["id"]: r["cut_score"] for r in out.collect()}
+    scored = out.collect()
+    scores = {r["id"]: r["cut_score"] for r in scored}
     assert len(scores) == len(rows) and scores[5000] == scores[5001] == scores[5002] == 0
-    found = {i for i, s in scores.items() if s >= truncation.THRESHOLD}
+    found = {r["id"] for r in scored if r["is_cut"]}
     assert len(found & cut) > 0.95 * len(cut) and len(found & cut) > 0.95 * len(found)
     rates = {r["source"]: r for r in truncation.cut_rates(out).collect()}
     assert rates["capped"]["n_at_limit"] > 0 and rates["free"]["n_at_limit"] == 0
 
 
+def test_source_limits(spark):
+    """The greatest length, a second lower limit, and one in bytes; copies of one text and chance make none."""
+    rng = random.Random(4)
+    word = lambda n, a="abcdef ": "".join(rng.choice(a) for _ in range(n))
+    rows = [("two", word(rng.randrange(50, 900))) for _ in range(400)] + [("two", word(n)) for n in (500, 900) for _ in range(12)]
+    rows += [("copies", "same text " * 9)] * 50 + [("copies", word(n)) for n in range(100, 400)]
+    rows += [("bytes", word(400, "aé☃").encode()[:600].decode(errors="ignore")) for _ in range(60)] + [("bytes", word(n)) for n in range(20, 320)]
+    rows += [(None, word(70)) for _ in range(5)] + [(None, word(n)) for n in range(10, 60)] + [("none", None), ("none", "")]
+    got = {(r["source"], r["unit"], r["n"]) for r in truncation.source_limits(spark.createDataFrame(rows, "source string, text string")).collect()}
+    assert {x for x in got if x[1] == "chars"} == {("two", "chars", 500), ("two", "chars", 900), (None, "chars", 70)}
+    assert ("bytes", "bytes", 600) in got and not any(x[0] in ("copies", "none") for x in got)
+
+
+def test_threshold():
+    whole, cut = np.asarray([0.01, 0.02, 0.1, 0.9]), np.asarray([0.3, 0.8, 0.95])
+    t = truncation.best_threshold(whole, cut, 0.3)
+    assert 0.1 < t < 0.3
+    assert truncation.best_threshold(whole[:0], cut, 0.3) == 0.5
+
+
 def test_cut_empty(spark):
     assert truncation.score(spark.createDataFrame([], "id int, text string, source string"), "id", "text", "source").count() == 0
 
