@@ -7,14 +7,15 @@ value's code length is then what its count in other cells gives or, if less, tha
 
 A slash divides only with white space on both sides. What stands in quotes or brackets isn't divided;
 a quote or bracket that is never closed is an ordinary character. Null and blank cells and those that
-hold only a placeholder have no values. Rows that repeat an id count once; repeated values stay, each at
-its position. Equal cells are parsed once, however many rows hold them.
+hold only a placeholder have no values. Rows that repeat an id and its cells count once, rows of a null id each;
+repeated values stay, each at its position. Equal cells are parsed once, however many rows hold them.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -81,11 +82,11 @@ def parse(cell: str, delimiters: Sequence[str], quotes: bool) -> list[str]:
 
 
 def dialects(cell: str) -> list[tuple[str, bool]]:
-    """Candidates for a cell: all its delimiters, each alone, all but each, none; with and without quoting where it has quotes."""
-    found = {d for t in _TOKENS[True].findall(cell) if (d := _delimiter(t))}
-    sets = {frozenset(), frozenset(found)} | {frozenset({d}) for d in found} | {frozenset(found - {d}) for d in found}
+    """Candidates for a cell: every set of the delimiters in it, larger ones first; with and without quoting where it has quotes."""
+    found = sorted({d for t in _TOKENS[False].findall(cell) if (d := _delimiter(t))})
+    sets = [c for n in range(len(found), -1, -1) for c in combinations(found, n)]
     quotes = (True, False) if '"' in cell or "“" in cell else (True,)
-    return [("".join(sorted(s)), q) for s in sorted(sets, key=lambda s: (-len(s), sorted(s))) for q in quotes]
+    return [("".join(s), q) for s in sets for q in quotes]
 
 
 def _candidates(cells: DataFrame) -> DataFrame:
@@ -110,14 +111,15 @@ def _cheapest(lengths: DataFrame) -> DataFrame:
 
 
 def split_values(df: DataFrame, id_col: str, fields: Sequence[str]) -> DataFrame:
-    """(id_col, field_name, pos INT, item): one row per value of each of the fields' cells."""
+    """(id_col, field_name, pos INT, item): one row per value of each of the fields' cells. Rows of one id with different cells are parsed each."""
     if not fields:
         raise ValueError("name at least one field")
     named = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"`{f}`").cast("string").alias("cell")) for f in fields])).alias("x")
     empty = F.lower(F.regexp_replace("cell", r"(?U)^\s+|\s+$", ""))
     long = (
         df.select(F.col(f"`{id_col}`").alias("id"), *[F.col(f"`{f}`") for f in fields])
-        .dropDuplicates(["id"])
+        .withColumn("own", F.when(F.col("id").isNull(), F.monotonically_increasing_id()))
+        .dropDuplicates()
         .select("id", named)
         .select("id", "x.*")
         .where(F.col("cell").isNotNull() & ~empty.isin("", *PLACEHOLDERS))

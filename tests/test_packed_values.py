@@ -47,5 +47,19 @@ def test_dialect_of_least_length(spark):
     """A comma that is part of a value many cells hold whole isn't a delimiter, one between known values is."""
     rows = [(i, "rest, then walk") for i in range(3)] + [(9, "alpha,beta"), (10, "alpha"), (11, "beta"), (12, '"rest, then walk"; alpha')]
     got = {(r["id"], r["pos"]): r["item"] for r in split_values(spark.createDataFrame(rows, "id int, f string"), "id", ["f"]).collect()}
-    assert got[9, 1], got[9, 2] == ("alpha", "beta")
+    assert (got[9, 1], got[9, 2]) == ("alpha", "beta")
     assert got[12, 1] == "rest, then walk"
+
+
+def test_every_set_of_delimiters_is_scored(spark):
+    """Two delimiters divide, two are part of values that other cells hold in quotes: neither all nor one alone is right."""
+    assert len(dialects("a; b, c | d • e")) == 16
+    rows = [(i, f'"early, late"; v{i}') for i in range(40)] + [(100 + i, f'"left | right"; w{i}') for i in range(40)] + [(200 + i, "alpha; beta") for i in range(40)]
+    rows += [(300, "early, late; alpha • left | right")]
+    out = split_values(spark.createDataFrame(rows, "id int, f string"), "id", ["f"]).where("id = 300").orderBy("pos")
+    assert [r["item"] for r in out.collect()] == ["early, late", "alpha", "left | right"]
+
+
+def test_null_ids_are_rows_of_their_own(spark):
+    df = spark.createDataFrame([(None, "a; b"), (None, "a; b"), (1, "c"), (1, "c")], "id int, f string")
+    assert split_values(df, "id", ["f"]).where("id is null").count() == 4 and split_values(df, "id", ["f"]).where("id = 1").count() == 1
