@@ -93,10 +93,11 @@ _EMAIL = [
     re.compile(r"(?<![\w.+-])[\w.+-]*\w at \w[\w-]*(?: dot \w[\w-]*)+", re.I),
 ]
 _NUMBER = re.compile(r"(?<![\w.\-/@+#])#?(?=[\d(+][\d() .\-]{5})(\+?(?:\(\d{1,5}\)|\d{1,12})(?:[ .\-]{0,1}(?:\(\d{1,5}\)|\d{1,12})){0,6})(?![\w@]|[\-/.]\d)")
-_NUMBER_START = re.compile(r"[#\d(+](?<![\w.\-/@+#].)", re.S)
+_NUMBER_START = re.compile(r"[#\d(+](?<![\w.\-/@+#].)(?=[\d() .\-+]{5})", re.S)
 _CODE = re.compile(r"([A-Z]{1,6})([ \-]?)(\d(?:[\d \-]{2,16})\d)(?![\w/@]|-\d)")
 _CODE_START = re.compile(r"[A-Z](?<![\w.\-/@].)[A-Z]{0,5}[ \-]?\d", re.S)
-_DIGIT = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple)"
+_DIGIT_WORDS = ("zero", "oh", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "double", "triple")
+_DIGIT = f"(?:{'|'.join(_DIGIT_WORDS)})"
 _SPOKEN = re.compile(rf"\b{_DIGIT}(?:[ -]{_DIGIT}){{5,}}\b", re.I)
 _ADDRESS = [
     re.compile(rf"\d(?<![\w.\-/].)\d{{0,4}}[A-Za-z]?(?: bis,?)? (?:[NSEW]\.? |North |South |East |West )?(?:(?:{_LET}|['’-])+ ){{1,3}}?{STREET}(?![\w])(?:,? (?:Apt|Unit|Suite|Ste|Flat|Apartment)\.? ?#?\w+|,? #\s?\w+)?", re.I),
@@ -106,13 +107,14 @@ _ADDRESS = [
 ]
 # Parts without which, in lower case, a pattern can't match: only a faster no.
 _EMAIL_SIGNS = (("@",), ("at)", "at]", "at}", "at>", "at )", "at ]", "at }", "at >"), (" dot ",))
-_ADDRESS_SIGNS = (
-    tuple(f" {w}" for w in ("st", "ave", "road", "rd", "lane", "ln", "boulevard", "blvd", "terrace", "court", "ct", "way", "drive", "place", "square", "close", "crescent")),
-    ("rue ", "avenue ", "boulevard ", "place ", "chemin ", "allée ", "quai ", "impasse "),
-    ("calle", "avenida", "plaza", "paseo", "camino", "avda", "c/"),
-)
+# What a token between white space may be part of, as bits: a word in small letters that isn't ordinary, a spoken number, an address of each pattern.
+_RARE, _SPOKEN_BIT = 1, 2
+_STREET_WORD = re.compile(STREET + r"(?!\w)", re.I)
+_FRENCH_WORDS = frozenset("rue avenue boulevard place chemin allée quai impasse".split())
+_SPANISH_WORD = re.compile(r"\b(?:calle|avenida|plaza|paseo|camino|avda|c/)")
+_GERMAN_ENDS = ("straße", "strasse", "weg", "gasse", "allee", "platz", "ring", "str.")
 _GERMAN_SIGN = re.compile(r"(?:straße|strasse|weg|gasse|allee|platz|ring|str\.) \d")
-_SPOKEN_SIGNS = ("zero", "oh", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "double", "triple")
+_DIGIT_WORD = re.compile(rf"\b{_DIGIT}\b", re.I)
 _ZERO = str.maketrans("123456789", "000000000")
 _ABBREVIATIONS = frozenset(map(str.lower, ID_PREFIXES))
 
@@ -136,6 +138,9 @@ class Lexicon:
     def __post_init__(self) -> None:
         self.plain = (self.ordinary | RELATIONS | CALENDAR | BRANDS | _ABBREVIATIONS) - self.given - self.family  # words that alone make no name
         self.kinds: dict[str, tuple[str, bool, int]] = {}  # classes of tokens met so far
+        self.never: set[str] = set()  # those of them that alone make no name
+        self.masks: dict[str, int] = {}  # what tokens between white space may be part of
+        self.dull: set[str] = set()  # those that are part of nothing
         self.known: dict[str, str] = {w: ("g" if w in self.given else "") + ("f" if w in self.family else "") for w in self.given | self.family}
 
     def unlisted(self, word: str) -> str:
@@ -239,19 +244,38 @@ def _kind(w: str, plain: frozenset[str]) -> tuple[str, bool, int]:
 
 
 def _spaced_runs(text: str, lex: Lexicon) -> Iterator[list[tuple[int, int, str, bool]]]:
-    """Runs of neighbouring tokens of which at least one may be a name: (start, end, class, may be a name).
+    """Runs of neighbouring tokens of a line of which at least one may be a name: (start, end, class, may be a name).
 
-    Classes are C capitalised or without case, I initial, P particle.
+    Classes are C capitalised or without case, I initial, P particle. Only lines that hold such a token are cut up.
     """
-    kinds, plain = lex.kinds, lex.plain
+    kinds, plain, never = lex.kinds, lex.plain, lex.never
+    tokens_of = _CAP if text.isascii() or max(text) < "\U00010000" else _CAP_WIDE
+    if len(kinds) > _CACHE:
+        kinds.clear(), never.clear()
+    lines: set[tuple[int, int]] = set()
+    for w in set(tokens_of.findall(text)) - never:
+        if w not in kinds:
+            kinds[w] = _kind(w, plain)
+        if not kinds[w][1]:
+            never.add(w)
+            continue
+        at = text.find(w)
+        while at >= 0:
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            lines.add((text.rfind("\n", 0, at) + 1, end))
+            at = text.find(w, end)
+    for start, end in sorted(lines):
+        yield from _line_runs(text, start, end, tokens_of, kinds, plain)
+
+
+def _line_runs(text: str, start: int, stop: int, tokens_of: re.Pattern[str], kinds: dict[str, tuple[str, bool, int]], plain: frozenset[str]) -> Iterator[list[tuple[int, int, str, bool]]]:
+    """The runs of one line."""
     tokens: list[tuple[int, int, str, bool]] = []
     worth: list[int] = []
-    tokens_of = _CAP if text.isascii() or max(text) < "\U00010000" else _CAP_WIDE
-    for m in tokens_of.finditer(text):
+    for m in tokens_of.finditer(text, start, stop):
         w = m.group()
         if (known := kinds.get(w)) is None:
-            if len(kinds) > _CACHE:
-                kinds.clear()
             known = kinds[w] = _kind(w, plain)
         kind, name, cut = known
         s, e = m.span()
@@ -374,12 +398,43 @@ def _lower_spans(text: str, at: int, plain: frozenset[str]) -> Iterator[tuple[tu
 _SPLIT = str.maketrans(dict.fromkeys(",.;:()?!/[]—–“”\"", " "))
 
 
-def _lower_candidates(text: str, lex: Lexicon) -> Iterator[Candidate]:
+def _rare_words(token: str, plain: frozenset[str]) -> set[str]:
+    """Words in small letters of a token that aren't ordinary."""
+    found = {w for t in token.translate(_SPLIT).split() if t.islower() and t not in plain for w in _LOWER_WORD.findall(t)}
+    return {w for w in found if len(w) > 1 and w not in plain and w not in PARTICLES}
+
+
+def _mask(token: str, plain: frozenset[str]) -> int:
+    low = token.lower()
+    out = _RARE if _rare_words(token, plain) else 0
+    if _DIGIT_WORD.search(token):
+        out |= _SPOKEN_BIT
+    for k, sign in enumerate((_STREET_WORD.match(low), low in _FRENCH_WORDS, _SPANISH_WORD.search(low), low.endswith(_GERMAN_ENDS))):
+        out |= (4 << k) * bool(sign)
+    return out
+
+
+def _signs(text: str, lex: Lexicon) -> tuple[int, set[str]]:
+    """What the text's tokens may be part of, and its words in small letters that aren't ordinary."""
+    masks, dull = lex.masks, lex.dull
+    if len(masks) > _CACHE:
+        masks.clear(), dull.clear()
+    out = 0
+    rare: set[str] = set()
+    for t in set(text.split()) - dull:
+        if (m := masks.get(t)) is None:
+            m = masks[t] = _mask(t, lex.plain)
+            if not m:
+                dull.add(t)
+        out |= m
+        if m & _RARE:
+            rare |= _rare_words(t, lex.plain)
+    return out, rare
+
+
+def _lower_candidates(text: str, rare: set[str], lex: Lexicon) -> Iterator[Candidate]:
     """Names in small letters, on the list or not: one to three words of which none is ordinary."""
-    rare = {w for t in set(text.translate(_SPLIT).split()).difference(lex.plain) if t.islower() for w in _LOWER_WORD.findall(t)}
-    for word in rare.difference(lex.plain, PARTICLES):
-        if len(word) < 2:
-            continue
+    for word in rare:
         at = text.find(word)
         while at >= 0:
             m = _LOWER_WORD.match(text, at)
@@ -395,7 +450,9 @@ def candidates(text: str, lex: Lexicon) -> list[Candidate]:
     """All candidate segments of a text."""
     out = list(_name_candidates(text, lex))
     low = text.lower()
-    out += _lower_candidates(text, lex)
+    signs, rare = _signs(text, lex)
+    if rare:
+        out += _lower_candidates(text, rare, lex)
     if not text.isascii():
         out += _unspaced_candidates(text, lex)
     for k, sign in enumerate(_EMAIL_SIGNS):
@@ -421,11 +478,11 @@ def candidates(text: str, lex: Lexicon) -> list[Candidate]:
         letters = m.group(1)
         fmt = re.sub(r"\d", "9", m.group()[len(letters) :])
         out.append(Candidate(*m.span(), "identity_number", fmt, ("c" + letters, f"l{len(letters)}" + fmt, f"label{letters in ID_PREFIXES}")))
-    if sum(map(low.count, _SPOKEN_SIGNS)) > 5:
+    if signs & _SPOKEN_BIT and sum(map(low.count, _DIGIT_WORDS)) > 5:
         for m in _SPOKEN.finditer(text):
             out.append(Candidate(*m.span(), "phone", "spoken"))
     for k, pattern in enumerate(_ADDRESS):
-        if not (any(map(low.__contains__, _ADDRESS_SIGNS[k])) if k < len(_ADDRESS_SIGNS) else _GERMAN_SIGN.search(low)):
+        if not signs & 4 << k or k == 3 and not _GERMAN_SIGN.search(low):
             continue
         for m in pattern.finditer(text):
             s, e = m.span()
@@ -444,7 +501,7 @@ def _left(text: str, start: int) -> tuple[str, ...]:
     """Up to three words before a place in its line, ^ for the line's beginning, before which stand words of the line above if nothing else does."""
     left = text[max(0, start - 60) : start]
     above, _, line = left.rpartition("\n")
-    prev = _shaped(line.split()[-3:])
+    prev = _shaped(line.rsplit(None, 3)[-3:])
     if len(prev) < 3 and (len(line) < len(left) or start < 60):
         return ("^", *prev) if prev else (*_shaped(above.rpartition("\n")[2].split()[-2:]), "^")
     return tuple(prev)
