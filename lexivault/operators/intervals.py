@@ -46,11 +46,15 @@ def fill_nearest(df: DataFrame, keys: Sequence[str], order: str, value: str) ->
 def count_overlapping(tokens: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, n_tokens, n_overlapping): tokens (keys, ts, te) that overlap some span (keys, s, e).
 
-    Spans are gathered per record, as many as it has, and tested in place: no range join is needed.
+    One sorted pass over both together: a token overlaps iff, of the spans that begin before its end, the
+    furthest end lies beyond its start. At the same place tokens come first, as a span that begins there doesn't count.
     """
-    held = spans.groupBy(*keys).agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
-    inside = F.exists("_spans", lambda x: (x["s"] < F.col("te")) & (F.col("ts") < x["e"]))
-    return tokens.join(held, list(keys), "left").groupBy(*keys).agg(F.count("*").alias("n_tokens"), F.count_if(F.coalesce(inside, F.lit(False))).alias("n_overlapping"))
+    both = tokens.select(*keys, F.col("te").alias("_at"), F.lit(0).alias("_span"), F.col("ts").alias("_ts"), F.lit(None).cast("long").alias("_end")).unionByName(
+        spans.where("s is not null and e is not null and s < e").select(*keys, F.col("s").alias("_at"), F.lit(1).alias("_span"), F.lit(None).cast("int").alias("_ts"), F.col("e").cast("long").alias("_end"))
+    )
+    before = Window.partitionBy(*keys).orderBy("_at", "_span").rowsBetween(Window.unboundedPreceding, -1)
+    reached = both.withColumn("_reach", F.max("_end").over(before)).where("_span = 0")
+    return reached.groupBy(*keys).agg(F.count("*").alias("n_tokens"), F.count_if(F.coalesce(F.col("_reach") > F.col("_ts"), F.lit(False))).alias("n_overlapping"))
 
 
 def first_overlap(tokens: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:

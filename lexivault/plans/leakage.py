@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivault.functions.text import strip
+from lexivault.functions.tokens import token_spans
 from lexivault.operators import attribution, grams, intervals
-from lexivault.runtime import stage
+from lexivault.runtime import spread, stage
 from lexivault.sources.tables import table
 
 TAU = 30
@@ -60,6 +61,11 @@ def verbatim_coverage_tau30(spark: SparkSession, sf: str) -> DataFrame:
     return grams.gram_coverage(*_sides(spark, sf), TAU)
 
 
+def verbatim_coverage_taus(spark: SparkSession, sf: str) -> DataFrame:
+    """Coverage at several gram lengths."""
+    return grams.gram_coverages(*_sides(spark, sf), (10, 20, 50)).select("tau", "id", "covered", "total", "coverage")
+
+
 def memorized_spans_tau30(spark: SparkSession, sf: str) -> DataFrame:
     return grams.gram_texts(*_sides(spark, sf), TAU)
 
@@ -85,11 +91,7 @@ def memorized_token_pct(spark: SparkSession, sf: str) -> DataFrame:
     """Share of words that overlap an occurrence of a span as it stands (not stripped), touching ones merged."""
     r = records(spark, sf)
     merged = intervals.merge_intervals(attribution.span_hits(r, stripped=False), ["id"], touching=True)
-    # Word offsets from the lengths of what stands between: text is words and gaps in turn.
-    w, gaps = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), F.split("text", r"\S+", -1)
-    placed = r.select("id", F.arrays_zip(F.transform(w, F.length).alias("n"), F.transform(gaps, F.length).alias("gap")).alias("z"))
-    walk = F.aggregate("z", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<ts:int,te:int>>").alias("out")), lambda acc, x: F.struct((acc["at"] + x["gap"] + F.coalesce(x["n"], F.lit(0))).alias("at"), F.when(x["n"].isNotNull(), F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("ts"), (acc["at"] + x["gap"] + x["n"]).alias("te")))).otherwise(acc["out"]).alias("out")))
-    tokens = placed.select("id", F.explode(walk["out"]).alias("t")).select("id", "t.ts", "t.te")
+    tokens = spread(r.select("id", "text")).select("id", F.explode(token_spans("text")).alias("t")).select("id", F.col("t.s").alias("ts"), F.col("t.e").alias("te"))
     return intervals.count_overlapping(tokens, merged, ["id"]).select("id", "n_tokens", "n_overlapping", (F.col("n_overlapping") / F.col("n_tokens")).alias("mem_token_pct"))
 
 
@@ -195,28 +197,35 @@ r as (
     select row_idx, lower(PatientUid) as key, strftime(Encounter_Date, '%Y-%m-%d') as note_date, Note as text from notes
     where PatientUid is not null and regexp_replace(Note, '^\\s+|\\s+$', '', 'g') <> ''
 )"""
-_G = (
-    _R
-    + """, rw as (
+def _gram_sql(tau: int) -> str:
+    return (
+        _R
+        + f""", rw as (
     select id, key, regexp_extract_all(text, '\\S+') as w from r
 ), cw as (
     select key, regexp_extract_all(text, '\\S+') as w from c where key in (select key from r)
 ), known as (
-    select distinct key, array_to_string(w[i:i+29], ' ') as gram from (select key, w, unnest(range(1, len(w) - 28)) as i from cw where len(w) >= 30)
+    select distinct key, array_to_string(w[i:i+{tau - 1}], ' ') as gram from (select key, w, unnest(range(1, len(w) - {tau - 2})) as i from cw where len(w) >= {tau})
 ), made as (
-    select id, key, i - 1 as pos, array_to_string(w[i:i+29], ' ') as gram from (select id, key, w, unnest(range(1, len(w) - 28)) as i from rw where len(w) >= 30)
+    select id, key, i - 1 as pos, array_to_string(w[i:i+{tau - 1}], ' ') as gram from (select id, key, w, unnest(range(1, len(w) - {tau - 2})) as i from rw where len(w) >= {tau})
 ), hits as (
     select id, pos, gram from made semi join known using (key, gram)
 )"""
-)
-_COV = (
-    _G
-    + """, cov as (
-    select id, count(distinct p) as covered from (select id, pos + unnest(range(0, 30)) as p from hits) group by id
+    )
+
+
+def _coverage_sql(tau: int) -> str:
+    return (
+        _gram_sql(tau)
+        + f""", cov as (
+    select id, count(distinct p) as covered from (select id, pos + unnest(range(0, {tau})) as p from hits) group by id
 ), coverage as (
     select id, coalesce(covered, 0)::int as covered, len(w)::int as total, case when len(w) > 0 then round(coalesce(covered, 0) / len(w), 4) else 0.0 end as coverage from rw left join cov using (id)
 )"""
-)
+    )
+
+
+_G, _COV = _gram_sql(30), _coverage_sql(30)
 
 
 def _occ(stripped: bool) -> str:
@@ -297,6 +306,7 @@ _RUNS = (
 _SQL = {
     "verbatim_flag_tau30": f"with {_G} select id, id in (select id from hits) as verbatim from r",
     "verbatim_coverage_tau30": f"with {_COV} select id, covered, total, coverage from coverage",
+    "verbatim_coverage_taus": " union all ".join(f"(with {_coverage_sql(tau)} select {tau} as tau, id, covered, total, coverage from coverage)" for tau in (10, 20, 50)),
     "memorized_spans_tau30": f"with {_G} select id, gram as span, min(pos)::int as first_pos from hits group by id, gram",
     "verbatim_coverage_by_prior": f"""with {_COV} select prior_tier, count(*) as n, avg(coverage) as mean_coverage, case when count(*) > 1 then stddev_samp(coverage) / sqrt(count(*)) else 0.0 end as sem_coverage,
         avg((covered > 0)::int::double) as hit_rate, sqrt(avg((covered > 0)::int::double) * (1 - avg((covered > 0)::int::double)) / count(*)) as hit_sem from coverage join r using (id) group by prior_tier""",
