@@ -51,9 +51,14 @@ def extract(c: Column | str, pattern: str, group: int = 1) -> Column:
     return F.when(col.rlike(pattern), F.regexp_extract(col, pattern, group))
 
 
-def has_alnum(c: Column) -> Column:
-    """Whether any character is a letter or digit."""
-    return c.rlike(r"[\p{L}\p{N}]")
+def alnum_count(c: Column) -> Column:
+    """The number of ASCII letters and digits; null for null."""
+    return F.regexp_count(c, F.lit("[A-Za-z0-9]"))
+
+
+def to_int(c: Column) -> Column:
+    """A whole number: of text one that is written as such, of a number what it is without its fraction; null otherwise."""
+    return strip(c.cast("string")).try_cast("int")
 
 
 def title_case(c: Column) -> Column:
@@ -61,6 +66,12 @@ def title_case(c: Column) -> Column:
     return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
 
 
+def pretty(c: Column, names: dict[str, str]) -> Column:
+    """The name listed for a value, else the value in title case."""
+    listed = F.coalesce(*[F.when(c == k, F.lit(v)) for k, v in names.items()]) if names else F.lit(None).cast("string")
+    return F.coalesce(listed, title_case(c))
+
+
 def is_missing(c: Column) -> Column:
     """Null, NaN, or one of the usual spellings of no value."""
     return c.isNull() | F.lower(strip(c.cast("string"))).isin("", "nan", "none", "null", "n/a", "na")
@@ -78,9 +89,9 @@ def seeded_order(seed: int, *cs: str) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """A date in one of several common spellings, month before day where both fit; null otherwise."""
-    formats = ("yyyy-MM-dd", "M/d/yyyy", "d/M/yyyy", "yyyy/M/d", "M-d-yyyy", "d MMM yyyy")
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("date") for f in formats])
+    """A date in one of several common spellings, month before day where both fit, names of months in any case; null otherwise."""
+    formats = ("yyyy-MM-dd", "M/d/yyyy", "d/M/yyyy", "yyyy/M/d", "M-d-yyyy", "d-MMM-yyyy")
+    return F.coalesce(*[F.try_to_timestamp(F.initcap(c) if "MMM" in f else c, F.lit(f)).cast("date") for f in formats])
 
 
 def age_at(c: Column, day: str = "2024-01-01") -> Column:

@@ -71,6 +71,12 @@ def rates(tallies: DataFrame) -> DataFrame:
     )
 
 
+def operating_point(rated: DataFrame, tolerance: float = 5e-3) -> DataFrame:
+    """Adds auroc_point, the area under the lines through (fpr, tpr), and whether it agrees with auroc within the tolerance."""
+    point = (F.col("tpr") + 1 - F.col("fpr")) / 2
+    return rated.withColumn("auroc_point", point).withColumn("consistent", F.abs(F.col("auroc_point") - F.col("auroc")) <= tolerance)
+
+
 def _incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction."""
     if x <= 0 or x >= 1:

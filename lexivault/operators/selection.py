@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivault.functions.text import seeded_order
@@ -81,5 +81,17 @@ def not_done(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def content_key(df: DataFrame, groups: Sequence[str], id_col: str) -> DataFrame:
-    """(groups, content_key): 16 digits of the sha1 of a group's different ids, sorted, one a line."""
-    return df.where(F.col(id_col).isNotNull()).groupBy(*groups).agg(F.substring(F.sha1(F.array_join(F.array_sort(F.collect_set(F.col(id_col).cast("string"))), "\n")), 1, 16).alias("content_key"))
+    """(groups, content_key): 16 digits that stand for a group's different ids, whatever their order.
+
+    Ids are hashed (sha1), and the hashes of each of the 4,096 slices by their first three digits are sorted and hashed
+    again, then the slices in order; so a task holds a 4,096th of a group's hashes, never all ids of a group.
+    """
+    ids = df.where(F.col(id_col).isNotNull()).select(*groups, F.sha1(F.col(id_col).cast("string")).alias("_h")).distinct()
+    joined = lambda c: F.sha1(F.array_join(F.array_sort(F.collect_list(c)), "\n"))
+    slices = ids.groupBy(*groups, F.substring("_h", 1, 3).alias("_slice")).agg(joined("_h").alias("_d"))
+    return slices.groupBy(*groups).agg(F.substring(joined(F.concat("_slice", "_d")), 1, 16).alias("content_key"))
+
+
+def cache_key(*parts: Column | str) -> Column:
+    """16 digits of the sha256 of the parts, joined by colons; null parts are left out."""
+    return F.substring(F.sha2(F.concat_ws(":", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]), 256), 1, 16)

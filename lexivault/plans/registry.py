@@ -7,10 +7,10 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivault.plans import cohort, leakage, matching, metrics, packed, sections, selection
+from lexivault.plans import cohort, leakage, matching, metrics, packed, review, sections, selection
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list[ModuleType] = [packed, leakage, cohort, metrics, selection, sections, matching]
+MODULES: list[ModuleType] = [packed, leakage, cohort, metrics, selection, sections, matching, review]
 
 
 def queries() -> dict[str, Query]:

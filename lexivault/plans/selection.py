@@ -177,7 +177,7 @@ _SQL = {
     "set_operations": f"""with {_G}, a as (select distinct lower(PatientUid) as key from notes where PatientUid is not null), b as (select distinct lower(patient_id) as key from g where patient_id is not null)
         select 'union' as "set", count(*) as n from (select key from a union select key from b) union all select 'notes_only', count(*) from (select key from a except select key from b) union all select 'generations_only', count(*) from (select key from b except select key from a) union all select 'both', count(*) from (select key from a intersect select key from b)""",
     "incremental_rest": f"with {_G} select record_uid from g where record_uid not in (select generation_id from verdicts where generation_id is not null)",
-    "content_keys": f"with {_G} select eval_split, substr(sha1(string_agg(record_uid, chr(10) order by record_uid)), 1, 16) as content_key from g group by eval_split",
+    "content_keys": f"with {_G}, h as (select distinct eval_split, sha1(record_uid) as h from g where record_uid is not null), s as (select eval_split, substr(h, 1, 3) as k, sha1(string_agg(h, chr(10) order by h)) as d from h group by 1, 2) select eval_split, substr(sha1(string_agg(k || d, chr(10) order by k || d)), 1, 16) as content_key from s group by eval_split",
     "eligible_records": f"with {_G} select record_uid, coalesce(nullif(eval_split, ''), 'unknown') as eval_split from g where _record_type is null and error_type is null and generation <> ''",
     "first_non_empty": f"with {_G} select record_uid, case when eval_dx_label = 'positive' then coalesce(nullif(medications_used, ''), nullif(generation, '')) else coalesce(nullif(error, ''), nullif(medications_used, '')) end as value, medications_used is null or lower(regexp_replace(medications_used, '^\\s+|\\s+$', '', 'g')) in ('', 'nan', 'none', 'null', 'n/a', 'na') as no_medications from g",
     "valid_combinations": f"""with {_G} select prior_tier, probe_type, count(*) as n, not max((prior_tier like 'structured%' and probe_type = 'note_continuation') or (prior_tier not like 'structured%' and probe_type = 'patient_note')) as valid from g where prior_tier is not null and probe_type is not null group by 1, 2""",
