@@ -58,7 +58,7 @@ def alnum_count(c: Column) -> Column:
 
 def to_int(c: Column) -> Column:
     """A whole number: of text one that is written as such, of a number what it is without its fraction; null otherwise."""
-    return strip(c.cast("string")).try_cast("int")
+    return c.try_cast("int")
 
 
 def title_case(c: Column) -> Column:

@@ -151,6 +151,18 @@ def group_stats(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) ->
     return df.groupBy(*keys).agg(*aggs)
 
 
+def metric_pivot(df: DataFrame, rows: str, columns: str, metrics: dict[str, Column], most: int = 1000) -> DataFrame:
+    """One row per value of ``rows``, one column value_metric per value of ``columns`` and metric; values in order, null as 'null'.
+
+    The values are read from the data; more than ``most`` are refused, as they become columns.
+    """
+    named = df.withColumn("_c", F.coalesce(F.col(columns).cast("string"), F.lit("null")))
+    values = sorted(r[0] for r in named.select("_c").distinct().limit(most + 1).collect())
+    if len(values) > most:
+        raise ValueError(f"more than {most} values of {columns}")
+    return named.groupBy(rows).pivot("_c", values).agg(*[m.alias(name) for name, m in metrics.items()])
+
+
 def mean_difference(df: DataFrame, arm: str, measures: Sequence[str]) -> DataFrame:
     """(measure, smd): standardised difference of means of two arms (a boolean); null with fewer than two values in an arm, 0 without spread."""
     aggs = []

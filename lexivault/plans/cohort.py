@@ -128,7 +128,7 @@ _SQL = {
     "patients_without_notes": "select distinct lower(patientuid) as key from patients where patientuid is not null and lower(patientuid) not in (select lower(PatientUid) from notes where PatientUid is not null)",
     "in_train_mark": "select distinct lower(patientuid) as key, coalesce(lower(patientuid) in (select lower(patient_id) from generations where eval_split = 'train' and patient_id is not null), false) as in_train from patients",
     "first_row_per_key": "select record_uid, min(row_idx) as row_idx, count(*) as n_rows, count(distinct row_idx) as n_row_idx from notes group by 1",
-    "patient_ages": f"""with {_LATEST}, d as (select key, coalesce(try_strptime(extracted_dob, '%m/%d/%Y'), try_strptime(extracted_dob, '%d/%m/%Y'))::date as dob from x)
+    "patient_ages": f"""with {_LATEST}, d as (select key, coalesce({", ".join(f"try_strptime(extracted_dob, '{x}')" for x in ('%Y-%m-%d', '%m/%d/%Y', '%d/%m/%Y', '%Y/%m/%d', '%m-%d-%Y', '%d-%b-%Y'))})::date as dob from x)
         select key, strftime(dob, '%Y-%m-%d') as dob, case when a > 0 and a < 130 then round(a, 6) end as age from (select *, (date '2024-01-01' - dob) / 365.25 as a from d)""",
     "quality_flags": f"with {_LATEST} select key, "
     + ", ".join(

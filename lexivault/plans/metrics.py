@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivault.functions.text import strip, title_case
-from lexivault.operators import metrics
+from lexivault.operators import metrics, review
+from lexivault.plans import cohort
 from lexivault.sources.tables import table
 
 
@@ -69,16 +70,21 @@ def mean_deltas(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rates_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per prior, one column per diagnosis: records of the train split."""
-    v = judged(spark, sf).where("eval_split = 'train'")
-    names = ["ember_fever", "glass_bone_condition", "hollow_mood_disorder", "marrow_shade_disease", "nocturnal_dread_syndrome", "velar_tremor_disorder"]
-    return v.groupBy("prior").pivot("diagnosis", names).agg(F.count(F.lit(1))).na.fill(0)
+    """One row per prior, columns of each diagnosis: records of the train split, mentions and the share of right mentions."""
+    v = judged(spark, sf).where("diagnosis is not null")
+    train = F.col("eval_split") == "train"
+    said = train & F.col("mention")
+    right = F.count_if(said & F.col("truth")) / F.nullif(F.count_if(said & F.col("truth").isNotNull()), F.lit(0))
+    out = metrics.metric_pivot(v, "prior", "diagnosis", {"n": F.count_if(train), "mentioned": F.count_if(said), "ppv": F.round(right, 9)})
+    return out.na.fill(0, [c for c in out.columns if c.endswith(("_n", "_mentioned"))])
 
 
 def rates_unpivot(spark: SparkSession, sf: str) -> DataFrame:
-    """The pivot read back as (prior, diagnosis, n), without zeros."""
+    """The counts of the pivot read back as (prior, diagnosis, n), without zeros."""
     p = rates_pivot(spark, sf)
-    return p.unpivot("prior", [c for c in p.columns if c != "prior"], "diagnosis", "n").where("n > 0")
+    names = [c for c in p.columns if c.endswith("_n")]
+    long = p.select("prior", *[F.col(f"`{c}`").alias(c[:-2]) for c in names])
+    return long.unpivot("prior", [c[:-2] for c in names], "diagnosis", "n").where("n > 0")
 
 
 def kappa_overall(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,9 +95,10 @@ def kappa_by_diagnosis(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.kappa(judged(spark, sf), ["diagnosis"], "truth", "mention").select("diagnosis", "n", F.round("agreement", 9).alias("agreement"), F.round("kappa", 9).alias("kappa"))
 
 
-def completeness_gate(spark: SparkSession, sf: str) -> DataFrame:
-    """Records and those without a usable verdict, per prior and split."""
-    return judged(spark, sf).groupBy("prior", "eval_split").agg(F.count("*").alias("n"), F.count_if(F.col("mention").isNull()).alias("n_missing"))
+def completeness_gate(spark: SparkSession, sf: str, allow: bool = True) -> DataFrame:
+    """Records and those without a usable verdict, per prior and split; unless ``allow``, an error where any is missing."""
+    counts = judged(spark, sf).groupBy("prior", "eval_split").agg(F.count("*").alias("n"), F.count_if(F.col("mention").isNull()).alias("n_missing"))
+    return review.require_complete(counts, "n_missing", allow)
 
 
 def queue_sizes(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,8 +129,12 @@ def _covariates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def group_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    out = metrics.group_stats(_covariates(spark, sf), ["in_train"], ["sex", "num_notes", "chars"])
-    return out.select("in_train", "n", *[F.round(f"{m}_{s}", 6).alias(f"{m}_{s}") for m in ("sex", "num_notes", "chars") for s in ("mean", "median", "std")], *[f"{m}_missing" for m in ("sex", "num_notes", "chars")])
+    """Of train and other patients: how many, age and notes with those missing, the share of women, and of all those in train."""
+    ages = cohort.patient_ages(spark, sf).select("key", "age")
+    v = _covariates(spark, sf).join(ages, "key", "left")
+    out = metrics.group_stats(v, ["in_train"], ["age", "num_notes", "chars"]).join(v.groupBy("in_train").agg((100 * F.avg("sex")).alias("pct_female"), F.count_if(F.col("sex").isNull()).alias("sex_missing")), "in_train")
+    all_ = v.agg(F.count("*").alias("all_n"))
+    return out.crossJoin(all_).select("in_train", "n", F.round(100 * F.col("n") / F.col("all_n"), 1).alias("pct_of_all"), F.round("pct_female", 1).alias("pct_female"), "sex_missing", *[F.round(f"{m}_{s}", 6).alias(f"{m}_{s}") for m in ("age", "num_notes", "chars") for s in ("mean", "median", "std")], *[f"{m}_missing" for m in ("age", "num_notes", "chars")])
 
 
 def balance(spark: SparkSession, sf: str) -> DataFrame:
@@ -180,7 +191,12 @@ _SQL = {
         select mode, eval_split, diagnosis, {_CELLS} from b group by all""",
     "split_deltas": f"with {_J}, {_RT} select prior, diagnosis, round(a.auroc - b.auroc, 9) as delta_auroc, round(a.ppv - b.ppv, 9) as delta_ppv from (select * from r where eval_split = 'train') a join (select * from r where eval_split = 'non_train') b using (prior, diagnosis)",
     "mean_deltas": f"with {_J}, {_RT} select prior, round(avg(round(a.auroc - b.auroc, 9)), 6) as delta_auroc, round(avg(round(a.ppv - b.ppv, 9)), 6) as delta_ppv from (select * from r where eval_split = 'train') a join (select * from r where eval_split = 'non_train') b using (prior, diagnosis) group by prior",
-    "rates_pivot": f"with {_J} select prior, " + ", ".join(f"count_if(diagnosis = '{d}') as {d}" for d in _DX) + " from j where eval_split = 'train' group by prior",
+    "rates_pivot": f"with {_J}, tr as (select *, coalesce(eval_split = 'train', false) as t from j where diagnosis is not null) select prior, "
+    + ", ".join(
+        f"count_if(t and diagnosis = '{d}') as {d}_n, count_if(t and mention and diagnosis = '{d}') as {d}_mentioned, round(count_if(t and mention and truth and diagnosis = '{d}') / nullif(count_if(t and mention and truth is not null and diagnosis = '{d}'), 0), 9) as {d}_ppv"
+        for d in _DX
+    )
+    + " from tr group by prior",
     "rates_unpivot": f"with {_J} select prior, diagnosis, count(*) as n from j where eval_split = 'train' and diagnosis is not null group by all",
     "kappa_overall": f"with {_J}, " + _KAPPA.format(k="", g="", lk="", on="", lg="", j="cross join ch"),
     "kappa_by_diagnosis": f"with {_J}, " + _KAPPA.format(k="diagnosis,", g="group by diagnosis", lk="l.diagnosis,", on="and l.diagnosis = m.diagnosis", lg="group by l.diagnosis", j="join ch using (diagnosis)"),
@@ -188,9 +204,9 @@ _SQL = {
     "queue_sizes": f"with {_J} select queue, count(*) as n, count_if(mention is null) as n_remaining from j group by all",
     "review_scores": f"""with {_J} select annotator, count_if(truth is not null and mention is not null) as n, count_if(truth is null or mention is null) as n_unscored, round(avg(case when truth is not null and mention then (truth = mention)::int end), 9) as ppv,
         round(avg(case when truth is not null and not mention then (truth = mention)::int end), 9) as npv, round(avg((truth = mention)::int), 9) as accuracy, round(1 - avg((truth = mention)::int), 9) as error_rate from j group by annotator""",
-    "group_statistics": f"with {_COVARIATES} select in_train, count(*) as n, "
-    + ", ".join(f"round(avg({m}), 6) as {m}_mean, round(quantile_cont({m}, 0.5), 6) as {m}_median, round(stddev_samp({m}), 6) as {m}_std, count_if({m} is null) as {m}_missing" for m in ("sex", "num_notes", "chars"))
-    + " from v group by in_train",
+    "group_statistics": f"with {_COVARIATES}, ages as ({cohort._SQL['patient_ages']}), w as (select v.*, age from v left join ages using (key)) select in_train, count(*) as n, round(100 * count(*) / (select count(*) from w), 1) as pct_of_all, round(100 * avg(sex), 1) as pct_female, count_if(sex is null) as sex_missing, "
+    + ", ".join(f"round(avg({m}), 6) as {m}_mean, round(quantile_cont({m}, 0.5), 6) as {m}_median, round(stddev_samp({m}), 6) as {m}_std, count_if({m} is null) as {m}_missing" for m in ("age", "num_notes", "chars"))
+    + " from w group by in_train",
     "balance": f"with {_COVARIATES} "
     + " union all ".join(
         f"select '{m}' as measure, case when count({m}) filter (in_train) < 2 or count({m}) filter (not in_train) < 2 then null when s = 0 then 0.0 else round((avg({m}) filter (in_train) - avg({m}) filter (not in_train)) / s, 3) end as smd from v, (select sqrt((var_samp({m}) filter (in_train) + var_samp({m}) filter (not in_train)) / 2) as s from v) group by s"

@@ -6,6 +6,7 @@ split's edge.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 
@@ -27,7 +28,7 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType, malformed:
 def number_lines(spark: SparkSession, path: str) -> DataFrame:
     """(row_idx, value): every physical line, blank and malformed ones counted, numbered from 0 in the order of files and lines.
 
-    Done once at ingest; later steps carry row_idx as a column. zipWithIndex counts lines per split first,
+    Done once, at ingest only, as lines pass through Python; later steps carry row_idx as a column. zipWithIndex counts lines per split first,
     then numbers them, in two passes without a shuffle.
     """
     lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0]["value"]))
@@ -35,8 +36,13 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_lines(numbered: DataFrame, schema: T.StructType) -> DataFrame:
-    """Numbered lines as columns; lines that don't parse keep their number and are rows of nulls."""
-    return numbered.select("row_idx", F.from_json("value", schema).alias("r")).select("row_idx", "r.*")
+    """Numbered lines as columns; lines that don't parse keep their number, are rows of nulls and stand as they are in _corrupt.
+
+    A blank line has nulls throughout, so all lines can be written back at their places.
+    """
+    kept = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json("value", kept, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return numbered.select("row_idx", F.when(F.trim("value") != "", parsed).alias("r")).select("row_idx", "r.*")
 
 
 def peek(line: str, key: str) -> Column:
@@ -44,9 +50,10 @@ def peek(line: str, key: str) -> Column:
     return F.get_json_object(line, f"$.{key}")
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header; quotes are doubled inside quoted values, which may span lines."""
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
+def read_table(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False) -> DataFrame:
+    """CSV with a header; quotes are doubled inside quoted values. Large files are split between tasks unless
+    ``multiline`` says that quoted values may span lines: then each file is read by one task."""
+    return spark.read.schema(schema).csv(path, header=True, multiLine=multiline, escape='"')
 
 
 def write_table(df: DataFrame, path: str, columns: list[str], mode: str = "overwrite") -> None:
@@ -69,6 +76,46 @@ def partition_filter(df: DataFrame, **values: list[str] | None) -> DataFrame:
     return df
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    fs, where = _file_system(spark, path)
+    out = fs.create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def write_done(spark: SparkSession, path: str, **facts: object) -> None:
+    """Mark a dataset as complete: a small file beside it that says what it was made from."""
+    _put(spark, f"{path.rstrip('/')}.done", json.dumps(facts, sort_keys=True))
+
+
+def is_done(spark: SparkSession, path: str, **facts: object) -> bool:
+    """Whether a dataset is marked as complete and was made from just these facts."""
+    fs, where = _file_system(spark, f"{path.rstrip('/')}.done")
+    if not fs.exists(where):
+        return False
+    return json.loads("\n".join(r[0] for r in spark.read.text(where.toString()).collect()) or "{}") == json.loads(json.dumps(facts))
+
+
+def write_summary(df: DataFrame, path: str, most: int = 10_000) -> None:
+    """A small result as one JSON file, a list of objects; more than ``most`` rows are refused, never cut."""
+    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a summary of more than {most} rows; write a dataset instead")
+    _put(df.sparkSession, path, "[" + ",\n".join(r[0] for r in rows) + "]\n")
+
+
+def create_table(df: DataFrame, name: str) -> None:
+    """A catalog table made anew from a query, in place of one of that name."""
+    if not re.fullmatch(r"\w+(\.\w+)*", name):
+        raise ValueError("a table's name is letters, digits and _, with dots between its parts")
+    df.write.mode("overwrite").format("parquet").saveAsTable(name)
+
+
 def write_snapshot(df: DataFrame, root: str, name: str) -> str:
     """A complete new version of a dataset under root, made current by one rename of a small pointer file; readers see the old or the new one."""
     if not re.fullmatch(r"[\w-]+", name):

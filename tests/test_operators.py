@@ -13,8 +13,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexivault.functions.text import age_at, is_missing, offsets, parse_date, to_boolean
-from lexivault.operators import attribution, cohort, grams, intervals, judge, matching, metrics, sections, selection
+from lexivault.functions.text import age_at, alnum_count, is_missing, offsets, parse_date, pretty, to_boolean, to_int
+from lexivault.operators import attribution, cohort, grams, intervals, judge, matching, metrics, review, sections, selection
 from lexivault.sources import files
 from lexivault.streaming.incremental import score_stream
 
@@ -35,6 +35,12 @@ def test_scalars(spark):
     assert [str(r[0]) for r in df.select(parse_date(F.col("x"))).collect()] == ["1990-02-13", "1990-01-02", "None", "None", "None"]
     assert [r[0] for r in df.select(is_missing(F.col("x"))).collect()] == [False, False, True, True, False]
     assert df.select(to_boolean(F.col("x"))).collect()[4][0] is True
+    dates = spark.createDataFrame([("05-Mar-1990",), ("05-MAR-1990",), ("1990-03-05",), ("3-5-1990",), ("1990/3/5",), ("5 Mar 1990",)], "x string")
+    assert [str(r[0]) for r in dates.select(parse_date(F.col("x"))).collect()] == ["1990-03-05"] * 5 + ["None"]
+    odd = spark.createDataFrame([(" 12 ",), ("3.5",), ("x1",), ("",), (None,)], "x string")
+    assert [r[0] for r in odd.select(to_int(F.col("x"))).collect()] == [12, None, None, None, None]
+    assert odd.select(to_int(F.lit(3.7)), alnum_count(F.lit("aé1 ?"))).first() == (3, 2)
+    assert [r[0] for r in spark.createDataFrame([("a_b",), ("x",)], "x string").select(pretty(F.col("x"), {"x": "Ex"})).collect()] == ["A B", "Ex"]
     assert df.select(age_at(F.lit("01/01/1800"))).first()[0] is None
 
 
@@ -280,6 +286,45 @@ def test_greedy_pairs():
     assert matching.greedy_pairs([("a", 1.0)], []) == []
 
 
+def pool(rng, stratum, group, n, shift=0.0):
+    return [(stratum, group, f"{group}{i}", rng.gauss(shift, 1), None if i % 17 == 0 else rng.gauss(0, 1)) for i in range(n)]
+
+
+def test_matched_arms(spark):
+    """Pairs where both arms are large enough, a random sample where one has fewer than five or no model fits, topped up to n."""
+    rng = random.Random(2)
+    rows_ = [("big", True, f"t{i}", rng.gauss(1, 1), 0.0) for i in range(12)] + [("big", False, f"c{i}", rng.gauss(0, 1), 0.0) for i in range(60)]
+    rows_ += [("small", True, f"t{i}", 1.0, 0.0) for i in range(3)] + [("small", False, f"c{i}", 1.0, 0.0) for i in range(9)]
+    rows_ += [("nulls", True, f"t{i}", None, 0.0) for i in range(8)] + [("nulls", False, f"c{i}", 1.0, 0.0) for i in range(8)] + [("nulls", True, None, 1.0, 0.0)]
+    df = spark.createDataFrame(rows_, "s string, treated boolean, id string, x double, y double")
+    got = matching.matched_arms(df, ["s"], "id", 10, ["x", "y"]).collect()
+    tally = {}
+    for r in got:
+        tally[r["s"], r["treated"], r["how"]] = tally.get((r["s"], r["treated"], r["how"]), 0) + 1
+    assert tally == {("big", True, "matched"): 10, ("big", False, "matched"): 10, ("small", True, "filled"): 3, ("small", False, "filled"): 9, ("nulls", True, "filled"): 8, ("nulls", False, "filled"): 8}
+    assert len({(r["s"], r["id"]) for r in got}) == len(got)
+    pairs = {r["treated_id"]: r["control_id"] for r in matching.match(df, ["s"], "id", 12, ["x", "y"]).collect()}
+    x = {r[2]: r[3] for r in rows_ if r[0] == "big"}
+    assert len(set(pairs.values())) == 12 and sum(abs(x[a] - x[b]) for a, b in pairs.items()) / 12 < 0.6
+    many = matching.matched_arms(df, ["s"], "id", 40, ["x", "y"]).where("s = 'big'").groupBy("treated", "how").count().collect()
+    assert {(r["treated"], r["how"]): r["count"] for r in many} == {(True, "matched"): 12, (False, "matched"): 12, (False, "filled"): 28}
+    assert matching.matched_arms(df.limit(0), ["s"], "id", 3, ["x"]).count() == 0
+
+
+def test_four_groups(spark):
+    """Ids shared by pools end in one group, which is filled again; a stratum with too few positives is left out."""
+    rng = random.Random(4)
+    rows_ = [r for g, n in (("pos_train", 15), ("pos_nontrain", 20), ("neg_train", 30), ("neg_nontrain", 30)) for r in pool(rng, "a", g, n)]
+    rows_ += [("a", "neg_train", f"pos_train{i}", 0.0, 0.0) for i in range(10)] + pool(rng, "b", "pos_train", 3) + pool(rng, "b", "pos_nontrain", 20)
+    df = spark.createDataFrame(rows_, "dx string, `group` string, id string, x double, y double")
+    got = matching.four_groups(df, "dx", "id", 8, ["x", "y"]).collect()
+    sizes = {}
+    for r in got:
+        sizes[r["dx"], r["group"]] = sizes.get((r["dx"], r["group"]), 0) + 1
+    assert sizes == {("a", g): 8 for g in matching.GROUPS}
+    assert len({r["id"] for r in got}) == 32
+
+
 def test_files(spark, tmp_path):
     p = str(tmp_path / "in.jsonl")
     open(p, "w").write('{"a": 1, "b": "x"}\n\nnot json\n{"a": 2}\n')
@@ -291,13 +336,55 @@ def test_files(spark, tmp_path):
         files.read_lines(spark, p, schema).collect()
     numbered = files.number_lines(spark, p)
     assert rows(numbered.select("row_idx")) == [(0,), (1,), (2,), (3,)]
-    assert {r["row_idx"]: r["a"] for r in files.parse_lines(numbered, schema).collect()}[3] == 2
+    parsed = {r["row_idx"]: r for r in files.parse_lines(numbered, schema).collect()}
+    assert parsed[3]["a"] == 2 and parsed[2]["a"] is None and parsed[2]["_corrupt"] == "not json" and parsed[1]["_corrupt"] is None
     df = spark.createDataFrame([(1, 'x "q", y\nz')], schema)
     files.write_table(df, str(tmp_path / "t"), ["b", "a"])
-    back = files.read_table(spark, str(tmp_path / "t"), T.StructType([schema["b"], schema["a"]]))
+    back = files.read_table(spark, str(tmp_path / "t"), T.StructType([schema["b"], schema["a"]]), multiline=True)
     assert tuple(back.first()) == ('x "q", y\nz', 1)
 
 
+def test_markers_summaries_and_tables(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    assert not files.is_done(spark, f"{root}/x", model="a")
+    files.write_done(spark, f"{root}/x", model="a", n=3)
+    assert files.is_done(spark, f"{root}/x", model="a", n=3) and not files.is_done(spark, f"{root}/x", model="b", n=3)
+    df = spark.createDataFrame([(1, None), (2, "é")], "a int, b string")
+    files.write_summary(df, f"{root}/s.json")
+    assert json.load(open(tmp_path / "s.json")) == [{"a": 1, "b": None}, {"a": 2, "b": "é"}]
+    with pytest.raises(ValueError, match="more than 1"):
+        files.write_summary(df, f"{root}/s.json", most=1)
+    with pytest.raises(ValueError, match="name"):
+        files.create_table(df, "x; drop")
+    for _ in range(2):
+        files.create_table(df, "made_here")
+    assert spark.table("made_here").count() == 2
+    spark.sql("drop table made_here")
+
+
+def test_review(spark):
+    assert review.modes(None, None) == ["original"]
+    j = spark.createDataFrame([("a", True, True), ("b", False, None), ("c", True, True), (None, True, False)], "k string, truth boolean, mention boolean")
+    assert review.corrected(j, None, None, "k").select("mode").distinct().count() == 1
+    gold, flips = spark.createDataFrame([("b", True), ("a", False)], "k string, fixed boolean"), spark.createDataFrame([("b",), ("c",)], "k string")
+    got = {r["k"]: (r["truth"], r["mention"]) for r in review.corrected(j, gold, flips, "k").where("mode = 'adjudication'").collect()}
+    assert got == {"a": (False, True), "b": (False, False), "c": (False, False), None: (True, False)}
+    with pytest.raises(ValueError, match="incomplete"):
+        review.require_complete(spark.createDataFrame([("x", 1)], "p string, missing int"), "missing")
+    with pytest.raises(ValueError, match="shared"):
+        review.require_disjoint(j, flips, "k")
+    review.require_disjoint(j, flips.where("k = 'z'"), "k")
+    with pytest.raises(ValueError, match="repeated"):
+        review.require_unique(j.unionByName(j), ["k"])
+    assert [r[0] for r in j.select(review.first_present(j, ["none", "k"])).collect()] == ["a", "b", "c", None]
+    assert j.select(review.first_present(j, ["none"]).alias("x")).first()[0] is None
+    rep = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), (None, 3, "z")], "k string, o int, v string")
+    assert rows(review.first_per_key(rep, "k", ["o"])) == [("a", 1, "x")] and rows(review.first_per_key(rep, "k", ["o"], last=True)) == [("a", 2, None)]
+    assert metrics.metric_pivot(j, "k", "truth", {"n": F.count(F.lit(1))}).columns == ["k", "false", "true"]
+    with pytest.raises(ValueError, match="more than 1"):
+        metrics.metric_pivot(j, "k", "truth", {"n": F.count(F.lit(1))}, most=1)
+
+
 def test_snapshot_and_audit(spark, tmp_path):
     root = f"file://{tmp_path}"
     for n in (1, 2):
