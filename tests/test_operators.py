@@ -4,6 +4,7 @@ import bisect
 import itertools
 import json
 import math
+import os
 import random
 import re
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexivault.functions.text import age_at, alnum_count, is_missing, offsets, parse_date, pretty, to_boolean, to_int
+from lexivault.__main__ import main
+from lexivault.functions.tokens import Offsets, token_count, token_spans
 from lexivault.operators import attribution, cohort, grams, intervals, judge, matching, metrics, review, sections, selection
 from lexivault.sources import files
 from lexivault.streaming.incremental import score_stream
@@ -362,6 +365,49 @@ def test_markers_summaries_and_tables(spark, tmp_path):
     spark.sql("drop table made_here")
 
 
+def test_command_line(spark, tmp_path, capsys):
+    tables = tmp_path / "tables"
+    spark.createDataFrame([(i, f"r{i}") for i in range(20)], "row_idx long, record_uid string").write.parquet(str(tables / "notes.parquet"))
+    out = str(tmp_path / "out")
+    assert main(["list"]) == 0 and "first_rows" in capsys.readouterr().out
+    assert main(["sql", "first_rows"]) == 0 and "select" in capsys.readouterr().out
+    assert main(["sql", "nothing"]) == 2 and main(["run", "first_rows", "--data", str(tables), "--apply"], spark) == 2
+    run = ["run", "first_rows", "--data", str(tables), "--out", out]
+    assert main(run, spark) == 0 and not (tmp_path / "out").exists()
+    assert main([*run, "--apply"], spark) == 0 and spark.read.parquet(out).count() == 10
+    capsys.readouterr()
+    assert main([*run, "--apply"], spark) == 0 and "is done" in capsys.readouterr().out
+    assert main(["run", "first_rows", "--data", str(tables), "--out", out + ".json", "--apply", "--format", "summary"], spark) == 0
+    assert len(json.load(open(out + ".json"))) == 10
+
+
+def test_staged_tables_are_removed(spark):
+    from lexivault.runtime import scratch, scratch_dir, spread, stage
+
+    folder = f"{scratch_dir(spark)}/scratch-{spark.sparkContext.applicationId}".replace("file:", "")
+    with scratch(spark):
+        staged = stage(spark.range(5), "five")
+        assert staged.count() == 5
+        inside = set(os.listdir(folder))
+    assert any(n.startswith("five") for n in inside) and not any(n.startswith("five") for n in os.listdir(folder))
+    tracker, shuffled = spark.sparkContext.statusTracker(), spark.range(100).groupBy("id").count()
+    before = len(tracker.getJobIdsForGroup(None))
+    assert spread(shuffled) is shuffled and len(tracker.getJobIdsForGroup(None)) == before
+
+
+def test_other_tokenizers(spark):
+    """Grams, coverage and cuts over tokens of any function that gives offsets."""
+    letters = Offsets(lambda t: [(i, i + 1) for i, c in enumerate(t) if c != " "])
+    c = spark.createDataFrame([(1, "k", "ab cd"), (2, "k", ""), (3, "k", None)], "id int, key string, text string")
+    s = spark.createDataFrame([("k", "xabcy")], "key string, text string")
+    got = {r["id"]: (r["covered"], r["total"]) for r in grams.gram_coverage(c, s, 2, letters).collect()}
+    assert got == {1: (3, 4), 2: (0, 0), 3: (0, 0)}
+    assert rows(grams.gram_texts(c, s, 2, letters)) == [(1, 0, "a b"), (1, 1, "b c")]
+    assert {(r["tau"], r["id"]): r["covered"] for r in grams.gram_coverages(c, s, [2, 3], letters).collect()}[3, 1] == 3
+    assert rows(grams.repetition_cut(spark.createDataFrame([(1, "abab")], "id int, t string"), "id", "t", 2, letters)) == [(1, 4, 2)]
+    assert c.select(token_spans("text")).collect()[0][0][1]["e"] == 5 and [r[0] for r in c.select(token_count("text", letters)).collect()] == [4, 0, 0]
+
+
 def test_review(spark):
     assert review.modes(None, None) == ["original"]
     j = spark.createDataFrame([("a", True, True), ("b", False, None), ("c", True, True), (None, True, False)], "k string, truth boolean, mention boolean")
