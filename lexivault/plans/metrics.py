@@ -134,7 +134,7 @@ def group_statistics(spark: SparkSession, sf: str) -> DataFrame:
     v = _covariates(spark, sf).join(ages, "key", "left")
     out = metrics.group_stats(v, ["in_train"], ["age", "num_notes", "chars"]).join(v.groupBy("in_train").agg((100 * F.avg("sex")).alias("pct_female"), F.count_if(F.col("sex").isNull()).alias("sex_missing")), "in_train")
     all_ = v.agg(F.count("*").alias("all_n"))
-    return out.crossJoin(all_).select("in_train", "n", F.round(100 * F.col("n") / F.col("all_n"), 1).alias("pct_of_all"), F.round("pct_female", 1).alias("pct_female"), "sex_missing", *[F.round(f"{m}_{s}", 6).alias(f"{m}_{s}") for m in ("age", "num_notes", "chars") for s in ("mean", "median", "std")], *[f"{m}_missing" for m in ("age", "num_notes", "chars")])
+    return out.crossJoin(all_).select("in_train", "n", F.round(100 * F.col("n") / F.col("all_n"), 1).alias("pct_of_all"), F.round("pct_female", 1).alias("pct_female"), "sex_missing", *[F.round(f"{m}_{s}", 3).alias(f"{m}_{s}") for m in ("age", "num_notes", "chars") for s in ("mean", "median", "std")], *[f"{m}_missing" for m in ("age", "num_notes", "chars")])
 
 
 def balance(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,7 +205,7 @@ _SQL = {
     "review_scores": f"""with {_J} select annotator, count_if(truth is not null and mention is not null) as n, count_if(truth is null or mention is null) as n_unscored, round(avg(case when truth is not null and mention then (truth = mention)::int end), 9) as ppv,
         round(avg(case when truth is not null and not mention then (truth = mention)::int end), 9) as npv, round(avg((truth = mention)::int), 9) as accuracy, round(1 - avg((truth = mention)::int), 9) as error_rate from j group by annotator""",
     "group_statistics": f"with {_COVARIATES}, ages as ({cohort._SQL['patient_ages']}), w as (select v.*, age from v left join ages using (key)) select in_train, count(*) as n, round(100 * count(*) / (select count(*) from w), 1) as pct_of_all, round(100 * avg(sex), 1) as pct_female, count_if(sex is null) as sex_missing, "
-    + ", ".join(f"round(avg({m}), 6) as {m}_mean, round(quantile_cont({m}, 0.5), 6) as {m}_median, round(stddev_samp({m}), 6) as {m}_std, count_if({m} is null) as {m}_missing" for m in ("age", "num_notes", "chars"))
+    + ", ".join(f"round(avg({m}), 3) as {m}_mean, round(quantile_cont({m}, 0.5), 3) as {m}_median, round(stddev_samp({m}), 3) as {m}_std, count_if({m} is null) as {m}_missing" for m in ("age", "num_notes", "chars"))
     + " from w group by in_train",
     "balance": f"with {_COVARIATES} "
     + " union all ".join(
