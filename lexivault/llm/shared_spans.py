@@ -43,6 +43,7 @@ ANCHOR_LEN = 100
 MAX_BYTES = 16 << 20  # of different contexts in one tree
 MAX_BROADCAST = 1_000_000  # ids of texts with a hit, above which texts are filtered by the join alone
 BLOCK = 1024  # records of a set that are paired with as many others in one step
+_OFF = 28  # bits of an anchor's place that are its offset; the others are the first of its text's id
 _PIECE = 1 << 20  # code points hashed at once
 _LOW = (1 << 24) - 1  # bits of a sort key that hold the position in a piece
 _BASE = 0x9E3779B97F4A7C15
@@ -119,18 +120,27 @@ def _pieces(texts: list[str], min_len: int) -> Iterator[tuple[list[int], list[in
         yield rows, offs, parts
 
 
+def _place(tid: Column) -> Column:
+    """What anchors know of a text's id: its first 64 - _OFF bits."""
+    return F.shiftright(tid, _OFF)
+
+
 def anchor_table(texts: DataFrame, min_len: int = MIN_LEN, k: int = ANCHOR_LEN) -> DataFrame:
-    """(tid, key, text) -> (h, key, tid, off, sure): the sampled suffixes of every text.
+    """(tid, key, text) -> (h, key, at, sure): the sampled suffixes of every text, ``at`` the first bits of tid and the offset.
 
     ``sure`` are those whose k-gram another record of the same batch holds as well: they need no further search.
-    For each such k-gram a batch adds two rows without a tid, of different records, so that a k-gram which a
-    large part of all texts holds sends a few rows a batch to the search, not all.
+    For each such k-gram a batch adds two rows with a null ``at``, of different records, so that a k-gram which a
+    large part of all texts holds sends a few rows a batch to the search, not all. Texts whose first bits
+    agree get each other's places, which is harmless: contexts there are compared like all others.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = _Anchors(min_len, k)
+        low = (1 << _OFF) - 1
         for batch in batches:
             tid, key = batch["tid"].to_numpy(), batch["key"].to_numpy()
+            if max(map(len, batch["text"]), default=0) > low:
+                raise ValueError(f"a text of more than {low} characters")
             parts_h, parts_row, parts_off = [], [], []
             for rows, offs, parts in _pieces(batch["text"].tolist(), min_len):
                 owner, off, h = find(parts)
@@ -148,20 +158,21 @@ def anchor_table(texts: DataFrame, min_len: int = MIN_LEN, k: int = ANCHOR_LEN)
             ends = np.append(starts[1:], len(h)) - 1
             several = own[starts] != own[ends]
             sure = np.repeat(several, ends - starts + 1)
-            yield pd.DataFrame({"h": h, "key": own, "tid": tid[row], "off": off.astype(np.int32), "sure": sure})
+            yield pd.DataFrame({"h": h, "key": own, "at": (tid[row] & ~low) | off, "sure": sure})
             marks = np.concatenate((starts[several], ends[several]))
             if len(marks):
-                yield pd.DataFrame({"h": h[marks], "key": own[marks], "tid": pd.array([None] * len(marks), "Int64"), "off": np.zeros(len(marks), np.int32), "sure": np.zeros(len(marks), bool)})
+                yield pd.DataFrame({"h": h[marks], "key": own[marks], "at": pd.array([None] * len(marks), "Int64"), "sure": np.zeros(len(marks), bool)})
 
-    return texts.select("tid", "key", "text").mapInPandas(run, "h long, key long, tid long, off int, sure boolean")
+    return texts.select("tid", "key", "text").mapInPandas(run, "h long, key long, at long, sure boolean")
 
 
 def _hits(anchors: DataFrame) -> DataFrame:
-    """(tid, off, h): anchors that several records hold. One exchange of the anchors serves the count and the join."""
-    open_ = anchors.where(~F.col("sure")).select("h", "key", "tid", "off").repartition("h")
+    """(place, hits): of each text's place the anchors (off, h) that several records hold. One exchange of the anchors serves the count and the join."""
+    open_ = anchors.where(~F.col("sure")).select("h", "key", "at").repartition("h")
     several = open_.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("h")
-    found = open_.join(several, "h").where("tid is not null").select("tid", "off", "h")
-    return found.unionByName(anchors.where("sure").select("tid", "off", "h"))
+    found = open_.join(several, "h").where("at is not null").select("at", "h").unionByName(anchors.where("sure").select("at", "h"))
+    off = F.col("at").bitwiseAND((1 << _OFF) - 1).cast("int")
+    return found.groupBy(_place(F.col("at")).alias("place")).agg(F.collect_set(F.struct(off.alias("off"), "h")).alias("hits"))
 
 
 def _contexts(texts: DataFrame, min_len: int, k: int) -> DataFrame:
@@ -175,6 +186,8 @@ def _contexts(texts: DataFrame, min_len: int, k: int) -> DataFrame:
             for record, key, tid, text, hits in zip(batch["record"], batch["key"], batch["tid"], batch["text"], batch["hits"]):
                 for hit in hits:
                     at, h = hit["off"], hit["h"]
+                    if at >= len(text):
+                        continue  # of another text at this place
                     left, right = text[max(0, at - min_len + k) : at], text[at : at + min_len]
                     cid = xxhash.xxh64_intdigest(f"{len(left)}|{left}{right}".encode("utf-8", "surrogatepass"), h & 0xFFFFFFFF) - (1 << 63)
                     members.append((cid, record, tid, at))
@@ -379,12 +392,11 @@ def shared_contexts(texts: DataFrame, min_len: int = MIN_LEN, k: int = ANCHOR_LE
         .select("record", F.xxhash64("record").alias("key"), "text", F.xxhash64("record", "text").alias("tid"))
     )
     anchors = stage(anchor_table(spread(texts), min_len, k), "anchors")
-    hits = stage(_hits(anchors).groupBy("tid").agg(F.collect_set(F.struct("off", "h")).alias("hits")), "hits")
+    hits = stage(_hits(anchors), "hits")
+    texts = texts.withColumn("place", _place(F.col("tid")))
     if hits.count() <= MAX_BROADCAST:  # texts without a hit stay where they are
-        texts = texts.join(F.broadcast(hits.select("tid")), "tid", "left_semi")
-    # A text that stands in several rows of its record counts once.
-    once = texts.join(hits, "tid").dropDuplicates(["tid"])
-    found = stage(_contexts(once, min_len, k), "contexts")
+        texts = texts.join(F.broadcast(hits.select("place")), "place", "left_semi")
+    found = stage(_contexts(texts.join(hits, "place"), min_len, k), "contexts")
     groups, whole = _partitioned(found.where("l is not null"), min_len, k, max_bytes)
     sets = stage(_trees(groups, min_len).unionByName(whole), "sets")
     return found.where("l is null").select("cid", "record", "tid", "off"), sets
