@@ -11,6 +11,7 @@ import re
 import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 from typing import Protocol
 
 import pandas as pd
@@ -117,19 +118,45 @@ def parse_answer(text: str | None, fields: Sequence[str], booleans: bool = False
     return None
 
 
-def judge_records(df: DataFrame, id_col: str, text_col: str, client: Callable[[], JudgeClient], system: str, models: Sequence[str], fields: Sequence[str], at_once: int = 5, retries: int = 6, base: float = 2.0) -> DataFrame:
+class Spacing:
+    """Lets callers of several threads through one after the other, at least ``seconds`` apart."""
+
+    def __init__(self, seconds: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.seconds, self.clock, self.sleep = seconds, clock, sleep
+        self.lock, self.next = Lock(), 0.0
+
+    def wait(self) -> None:
+        if self.seconds <= 0:
+            return
+        with self.lock:
+            now = self.clock()
+            at = max(now, self.next)
+            self.next = at + self.seconds
+        if at > now:
+            self.sleep(at - now)
+
+
+def judge_records(
+    df: DataFrame, id_col: str, text_col: str, client: Callable[[], JudgeClient], system: str, models: Sequence[str], fields: Sequence[str], at_once: int = 5, retries: int = 6, base: float = 2.0, spacing: float = 0.0
+) -> DataFrame:
     """(id_col, answer JSON, judge_model, judge_truncated, judge_error) of each row with a text.
 
-    Texts are cut to MAX_CHARS and flagged. ``client`` makes one client a partition.
+    Texts are cut to MAX_CHARS and flagged. ``client`` makes one client a partition, which sends at most at_once requests
+    at a time and starts them at least ``spacing`` seconds apart.
     """
     src = df.where(F.col(text_col) != "").select(F.col(id_col).cast("string").alias("id"), F.substring(text_col, 1, MAX_CHARS).alias("text"), (F.length(text_col) > MAX_CHARS).alias("cut"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = client()
+        own, gate = client(), Spacing(spacing)
+
+        def one(text: str) -> tuple[str | None, str | None, str | None]:
+            gate.wait()
+            return ask(own, text, system, models, retries, base)
+
         with ThreadPoolExecutor(at_once) as pool:
             for batch in batches:
                 rows = []
-                for id_, cut, (answer, model, error) in zip(batch["id"], batch["cut"], pool.map(lambda t: ask(own, t, system, models, retries, base), batch["text"])):
+                for id_, cut, (answer, model, error) in zip(batch["id"], batch["cut"], pool.map(one, batch["text"])):
                     parsed = parse_answer(answer, fields) if error is None else None
                     rows.append((id_, json.dumps(parsed) if parsed is not None else None, model, bool(cut), error or (None if parsed is not None else "unreadable answer")))
                 yield pd.DataFrame(rows, columns=[id_col, "answer", "judge_model", "judge_truncated", "judge_error"])

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from lexivault.functions.text import age_at, alnum_count, is_missing, offsets, parse_date, pretty, to_boolean, to_int
 from lexivault.__main__ import main
 from lexivault.functions.tokens import Offsets, token_count, token_spans
-from lexivault.operators import attribution, cohort, grams, intervals, judge, matching, metrics, review, sections, selection
+from lexivault.operators import annotation, attribution, cohort, grams, intervals, judge, matching, metrics, review, sections, selection
 from lexivault.sources import files
 from lexivault.streaming.incremental import score_stream
 
@@ -284,6 +284,26 @@ def test_judge_records(spark):
     assert json.loads(got["2"]["answer"]) == {"ok": False} and got["5"]["judge_truncated"]
 
 
+def test_spacing():
+    now, slept = [0.0], []
+    gate = judge.Spacing(2.0, lambda: now[0], slept.append)
+    for t in (0.0, 0.5, 10.0):
+        now[0] = t
+        gate.wait()
+    assert slept == [1.5]
+    judge.Spacing(0.0, sleep=slept.append).wait()
+    assert slept == [1.5]
+
+
+def test_column_helpers(spark):
+    df = spark.createDataFrame([("positive", True, ["a"], [], "Take Alphine now", ["alphine", "", "beta", None]), ("other", True, [], [], None, None), (None, None, None, None, "", [])], "l string, m boolean, dx array<string>, sx array<string>, t string, r array<string>")
+    assert [r[0] for r in df.select(judge.known_label(F.col("l"), ["positive", "negative"])).collect()] == ["positive", None, None]
+    assert [r[0] for r in df.select(judge.evidence_types(F.col("m"), {"diagnosis": F.col("dx"), "symptoms": F.col("sx")})).collect()] == [["diagnosis"], ["other"], []]
+    assert [r[0] for r in df.select(annotation.verify_removals(F.col("r"), F.col("t"))).collect()] == [["alphine"], [], []]
+    lines = spark.createDataFrame([('{"a": {"b": 1}, "c": "x"}',), ("junk",)], "v string")
+    assert [r[0] for r in lines.select(files.peek("v", "c")).collect()] == ["x", None]
+
+
 def test_greedy_pairs():
     assert matching.greedy_pairs([("a", 1.0), ("b", 1.1)], [("x", 1.05), ("y", 5.0), ("w", 1.05)]) == [("a", "w"), ("b", "x")]
     assert matching.greedy_pairs([("a", 1.0)], []) == []
