@@ -2,29 +2,33 @@
 
 Method: bounded-lookahead streaming transducer. A merge list is read from a file of ranks; from it a
 sufficient lookahead is computed, and a word of any length is encoded in windows of which only tokens
-that end at least that far before the window's end are emitted, which keeps memory constant. A text is
+that end at least that far before the window's end are emitted, which keeps the encoder's memory constant. A text is
 read in windows too, and a word is passed on once no later character can change it. Decoding is an
-incremental state machine from bytes to text.
+incremental state machine from bytes to text. What grows with a text is the text itself, as Spark hands over whole
+values, and the window around a run of one kind of character (70,000 equal letters, say), which holds that run.
 
-The vocabulary's place is a parameter; nothing is trained. Null and empty texts have no ids.
+The vocabulary's place is a parameter, the same on all machines; nothing is trained. Null and empty texts have no ids.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivault.runtime import spread
+from lexivault.sources.files import is_done, write_done
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed values of the public vocabulary: how a text is divided into words.
@@ -206,6 +210,12 @@ def transducer(path: str) -> Transducer:
     return Transducer(read_ranks(path))
 
 
+def _require(path: str) -> None:
+    """Fail before a job starts if the vocabulary isn't at its place, which must be the same on all machines."""
+    if not Path(path).is_file():
+        raise FileNotFoundError(f"no vocabulary at {path}")
+
+
 def _encoded(column: pa.ChunkedArray | pa.Array, t: Transducer) -> Iterator[tuple[int, pa.ListArray]]:
     """(rows, their ids) in runs of at most about _BATCH_CHARS characters."""
     values: list[np.ndarray] = []
@@ -237,6 +247,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str = VOCABULARY) ->
 
     One pass without a shuffle; rows may repeat and the id may be null.
     """
+    _require(path)
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,6 +263,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str = VOCABULARY) ->
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, path: str = VOCABULARY) -> DataFrame:
     """(id_col, n_tokens INT): the length of every row's text in tokens; 0 for null and empty texts."""
+    _require(path)
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,6 +277,7 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, path: str = VOCABULA
 
 def decode(df: DataFrame, id_col: str, ids_col: str, path: str = VOCABULARY) -> DataFrame:
     """(id_col, text): the inverse of encode; null ids give a null text."""
+    _require(path)
     src = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,3 +287,21 @@ def decode(df: DataFrame, id_col: str, ids_col: str, path: str = VOCABULARY) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     return src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, text string").withColumnRenamed("id", id_col)
+
+
+def _fingerprint(path: str) -> str:
+    _require(path)
+    return hashlib.sha256(Path(path).read_bytes()).hexdigest()
+
+
+def write_ids(encoded: DataFrame, out: str, path: str = VOCABULARY) -> None:
+    """Keep an encoded corpus as a columnar dataset, marked as complete and as made with this vocabulary."""
+    encoded.write.mode("overwrite").option("compression", "zstd").parquet(out)
+    write_done(encoded.sparkSession, out, vocabulary=_fingerprint(path))
+
+
+def read_ids(spark: SparkSession, out: str, path: str = VOCABULARY) -> DataFrame:
+    """A kept corpus; an error if it is incomplete or was made with another vocabulary."""
+    if not is_done(spark, out, vocabulary=_fingerprint(path)):
+        raise ValueError(f"{out} is incomplete or encoded with another vocabulary than {path}")
+    return spark.read.parquet(out)

@@ -211,6 +211,20 @@ def test_encode_table(spark, coder):
     assert {r["id"]: r["n_tokens"] for r in tokenizer.token_counts(df, "id", "text").collect()}[3] == 0
 
 
+@needs_vocabulary
+def test_kept_ids(spark, coder, tmp_path):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "id int, text string")
+    out = str(tmp_path / "ids")
+    tokenizer.write_ids(tokenizer.encode(df, "id", "text"), out)
+    assert {r["id"]: r["ids"] for r in tokenizer.read_ids(spark, out).collect()} == {1: ids_of(coder, "a b"), 2: []}
+    other = tmp_path / "other"
+    other.write_text("x")
+    with pytest.raises(ValueError, match="vocabulary"):
+        tokenizer.read_ids(spark, out, str(other))
+    with pytest.raises(FileNotFoundError):
+        tokenizer.encode(df, "id", "text", str(tmp_path / "none"))
+
+
 def test_decode_of_broken_bytes():
     t = tokenizer.Transducer({bytes([i]): i for i in range(256)})
     for raw in (b"\xff", b"\xc3", b"\xe2\x82", b"a\xc3b", b"\xf0\x9f\x98\x80", b"\xc0\x80"):
