@@ -167,10 +167,14 @@ def anchor_table(texts: DataFrame, min_len: int = MIN_LEN, k: int = ANCHOR_LEN)
 
 
 def _hits(anchors: DataFrame) -> DataFrame:
-    """(place, hits): of each text's place the anchors (off, h) that several records hold. One exchange of the anchors serves the count and the join."""
-    open_ = anchors.where(~F.col("sure")).select("h", "key", "at").repartition("h")
-    several = open_.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("h")
-    found = open_.join(several, "h").where("at is not null").select("at", "h").unionByName(anchors.where("sure").select("at", "h"))
+    """(place, hits): of each text's place the anchors (off, h) that several records hold.
+
+    One exchange of the anchors serves the count and the join, as both need all its rows and columns.
+    """
+    open_ = anchors.where("not sure and h is not null and key is not null").select("h", "key", "at").repartition("h")
+    several = open_.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("at").alias("n")).where("a < b and n > 0").select("h", "a")
+    # a > key is never true; with it the condition on the place stays above the join, so that both read the same exchange.
+    found = open_.join(several, "h").where("(at is null) = (a > key)").select("at", "h").unionByName(anchors.where("sure").select("at", "h"))
     off = F.col("at").bitwiseAND((1 << _OFF) - 1).cast("int")
     return found.groupBy(_place(F.col("at")).alias("place")).agg(F.collect_set(F.struct(off.alias("off"), "h")).alias("hits"))
 
