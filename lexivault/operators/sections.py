@@ -183,9 +183,12 @@ def collapse_section(c: Column) -> Column:
 
 
 def composition(classified: DataFrame, recurrence: DataFrame) -> DataFrame:
-    """(section, revealing and templated tokens, each of regions of one key and of several): takes classified segments and (region, k_corpus)."""
+    """(section, revealing and templated tokens, each of regions of one key and of several): takes classified segments and (region, k_corpus).
+
+    Regions that stand in no note of the corpus don't count.
+    """
     one, several = F.col("k_corpus") == 1, F.col("k_corpus") > 1
-    joined = classified.join(recurrence.select("region", "k_corpus"), "region").withColumn("section", collapse_section(F.col("section")))
+    joined = classified.join(recurrence.where("k_corpus > 0").select("region", "k_corpus"), "region").withColumn("section", collapse_section(F.col("section")))
     return joined.groupBy("section").agg(
         F.sum(F.when(one, F.col("n_revealing")).otherwise(0)).alias("revealing_one"),
         F.sum(F.when(several, F.col("n_revealing")).otherwise(0)).alias("revealing_several"),

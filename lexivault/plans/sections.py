@@ -153,6 +153,84 @@ def reference_table(spark: SparkSession, sf: str) -> DataFrame:
     return annotation.reference_text(table(spark, sf, "sensitive_diagnosis").where("Diagnosis is not null").groupBy(F.col("Diagnosis").alias("name")).agg(F.count("*").alias("n")))
 
 
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _values(pairs: dict[str, str]) -> str:
+    return ", ".join(f"('{_quoted(k)}', '{_quoted(v)}')" for k, v in pairs.items())
+
+
+def _placed(source: str, keep: str, pattern: str, shift: str) -> str:
+    """keep, i, s, e, g: matches of a pattern in t with their offsets, from what stands between them; shift is what the match takes along before it."""
+    return f"""select {keep}, i, e - length(m) + {shift} as s, e, g from (
+        select {keep}, i, m[i] as m, g[i] as g, sum(length(gaps[i]) + length(m[i])) over (partition by {keep} order by i) as e from (
+            select {keep}, m, g, gaps, unnest(range(1, len(m) + 1)) as i from (select {keep}, regexp_extract_all(t, '{_quoted(pattern)}') as m, regexp_extract_all(t, '{_quoted(pattern)}', 1) as g, regexp_split_to_array(t, '{_quoted(pattern)}') as gaps from {source})))"""
+
+
+_TEMPLATE = sections.NoteTemplate()
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_OWN = r"(?is)((?:^|\n)\s*(?:" + sections._alternatives(sections.HEADERS) + r")\s*:)"
+_SPANS = " union all ".join(
+    f"select *, {order} as ord, '{name}' as rule from ({_placed('segments', 'piece, segment', pattern, shift)})"
+    for order, (name, pattern, shift) in enumerate(
+        [("HEADER_PREFIX", _OWN, "(case when e > length(m) then 1 else 0 end)")]
+        + [
+            (name, "(?is)(" + _portable(q)[5:].replace(r"(?:\s*$|\s*\n)", "") + ")" + (r"(?:\s*$|\s*\n)" if name == "BY_NAME_LINE" else ""), "0" if name == "SEE_REFERENCE" else "(case when e > length(m) then 1 else 0 end)")
+            for name, q in sections.RULES.items()
+        ]
+    )
+)
+_CLASSIFIED = (
+    leakage._PIECES
+    + f""", tr as (
+    select * from pieces where eval_split = 'train'
+), parent(header, p) as (values {_values({**_TEMPLATE.grouped, **_TEMPLATE.leaves, **_TEMPLATE.parents})}
+), leaf(header, p) as (values {_values(_TEMPLATE.leaves)}
+), shared(header, p) as (values {_values(dict.fromkeys(_TEMPLATE.shared, ''))}
+), won as (
+    select row_idx, text as t from c where row_idx in (select row_idx from tr)
+), nh0 as ({_placed("won", "row_idx", _HEADER, "0")}
+), nh as (
+    select row_idx, e as ends, case when l.p is not null then l.p || '/' || h when s.p is not null and above is not null then above || '/' || h else h end as name from (
+        select row_idx, e, lower(g) as h, last_value(parent.p ignore nulls) over (partition by row_idx order by i rows between unbounded preceding and 1 preceding) as above from nh0 left join parent on parent.header = lower(g)
+    ) left join leaf l on l.header = h left join shared s on s.header = h
+), tt as (
+    select piece, text as t from tr
+), rh as ({_placed("tt", "piece", _HEADER, "(case when regexp_matches(m, '^' || '" + r"\s" + "') then 1 else 0 end)")}
+), cuts as (
+    select piece, s, coalesce(lead(s) over (partition by piece order by s), length(text)) as stop, e as reach from rh join tr using (piece)
+    union all select piece, 0, coalesce((select min(s) from rh where rh.piece = tr.piece), length(text)), 0 from tr where text <> '' and coalesce((select min(s) from rh where rh.piece = tr.piece), 1) > 0
+), seg0 as (
+    select piece, row_number() over (partition by piece order by s)::int - 1 as segment, s as seg_start, stop as seg_end, s = 0 as is_leading, row_idx, coalesce(position, 0) + reach as at0, substr(text, s::bigint + 1, (stop - s)::bigint) as t from cuts join tr using (piece)
+), segments as (
+    select piece, segment, case when at0 > 0 then name end as section, seg_start, seg_end, is_leading, t from seg0 asof left join nh on nh.row_idx = seg0.row_idx and seg0.at0 >= nh.ends
+), spans as (
+    {_SPANS}
+), tokens as (
+    select piece, segment, k, tok, te - length(tok) as ts, te from (
+        select piece, segment, k, tok, sum(length(tok)) over (partition by piece, segment order by k) as te from (
+            select piece, segment, w[k] as tok, k from (select piece, segment, w, unnest(range(1, len(w) + 1)) as k from (select piece, segment, regexp_extract_all(t, '(?s)[\\p{{L}}\\p{{N}}_]+|{_SPACE}|.') as w from segments))))
+), hit as (
+    select t.piece, t.segment, t.k, any_value(t.tok) as tok, arg_min(x.rule, (x.s, x.last, x.ord)) as rule
+    from tokens t left join (select piece, segment, s, case when rule = 'BY_NAME_LINE' then s + length(g) - (case when g like chr(10) || '%' and s > 0 then 1 else 0 end) else e end as last, ord, rule from spans) x
+        on x.piece = t.piece and x.segment = t.segment and x.s < t.te and x.last > t.ts
+    group by t.piece, t.segment, t.k
+), known as (
+    select *, regexp_matches(tok, '[\\p{{L}}\\p{{N}}]') as worth, case when rule is not null then true when regexp_matches(tok, '[\\p{{L}}\\p{{N}}]') then false end as st from hit
+), stated as (
+    select *, not bool_or(worth) over (partition by piece, segment) or coalesce(last_value(st ignore nulls) over (partition by piece, segment order by k rows between unbounded preceding and current row), first_value(st ignore nulls) over (partition by piece, segment order by k rows between current row and unbounded following)) as templated from known
+), classified as (
+    select piece, segment, any_value(section) as section, any_value(section) in ({", ".join(f"'{b}'" for b in _TEMPLATE.blanket)}) as blanket, count(k) as n_tokens, count_if(templated) as n_made from segments left join stated using (piece, segment) group by piece, segment
+), counted as (
+    select *, case when blanket then n_tokens else n_made end as n_templated, case when blanket then 0 else n_tokens - n_made end as n_revealing,
+        case when section is null then '(no_header)' when section like 'pe/%' then 'pe' when section like 'ros/%' or section in ('constitutional', 'e/n/t') then 'ros' else section end as collapsed from classified
+), revealing as (
+    select k_within from tr where k_corpus = 1 and k_within > 0 and piece in (select piece from counted where n_revealing > 0)
+)"""
+)
+_COMPOSITION = "select collapsed as section, sum(case when k_corpus = 1 then n_revealing else 0 end)::bigint as revealing_one, sum(case when k_corpus > 1 then n_revealing else 0 end)::bigint as revealing_several, sum(case when k_corpus = 1 then n_templated else 0 end)::bigint as templated_one, sum(case when k_corpus > 1 then n_templated else 0 end)::bigint as templated_several from counted join tr using (piece) where k_corpus > 0 group by collapsed"
+
 _COHORT = cohort._SQL["cohort_extract"].rsplit("select key, practiceid", 1)[0].strip() + " , co as (select * from final where key not in (select key from final group by key having count(*) > 1))"
 _SQL = {
     "boilerplate_notes": " union all ".join(
@@ -167,7 +245,20 @@ _SQL = {
     "truncated_texts": "select row_idx, least(length(Note), 20000)::int as kept_chars, length(Note) > 20000 as judge_truncated, md5(array_to_string(list_slice(w, greatest(len(w) - 199, 1), len(w)), ' ')) as tail_md5 from (select row_idx, Note, regexp_extract_all(Note, '\\S+') as w from notes where Note is not null)",
     "reference_table": "select string_agg('- ' || name || ' (' || n || ')', chr(10) order by name) as text from (select Diagnosis as name, count(*) as n from sensitive_diagnosis where Diagnosis is not null group by 1)",
 }
-_ROWS_ONLY = {n: globals()[n] for n in ("section_segments", "section_tokens", "section_composition", "top_sections", "rule_totals", "segment_rules", "segment_funnel", "recurrence_summary", "recurrence_histogram", "prompt_records")}
+_SQL |= {
+    "section_segments": f"with recursive {_CLASSIFIED} select piece as region, segment, section, seg_start::int as seg_start, seg_end::int as seg_end, is_leading, t as text from segments",
+    "section_composition": f"with recursive {_CLASSIFIED} {_COMPOSITION}",
+    "top_sections": f"with recursive {_CLASSIFIED} select section, revealing_one + revealing_several + templated_one + templated_several as n_tokens from ({_COMPOSITION}) order by n_tokens desc, section limit 10",
+    "rule_totals": f"with recursive {_CLASSIFIED} select rule, count(*) as n_tokens from stated where templated and rule is not null group by rule order by n_tokens desc, rule limit 30",
+    "segment_rules": f"""with recursive {_CLASSIFIED}, named as (select piece, segment, string_agg(distinct rule, '|' order by rule) as rules from stated where templated and rule is not null group by 1, 2)
+        select case when coalesce(blanket, false) then 'BLANKET_SECTION' else rules end as rules, count(*) as n_segments, sum(n_tokens)::bigint as n_tokens from counted left join named using (piece, segment) group by 1""",
+    "segment_funnel": f"""with recursive {_CLASSIFIED} select count(*) as n_parts, count_if(k_corpus = 0) as n_parts_not_in_corpus, count_if(k_corpus = 1) as n_parts_one_patient, count_if(k_corpus > 1) as n_parts_several_patients, (select count(*) from counted) as n_segments,
+        (select count(*) from counted join tr using (piece) where k_corpus > 0 and n_tokens > 0) as n_segments_used, (select count(*) from counted join tr using (piece) where k_corpus > 0 and n_tokens > 0 and blanket) as n_blanket_segments,
+        (select coalesce(sum(n_tokens), 0)::bigint from counted join tr using (piece) where k_corpus > 0) as n_tokens, (select coalesce(sum(n_templated), 0)::bigint from counted join tr using (piece) where k_corpus > 0) as n_templated from tr""",
+    "recurrence_summary": f"with recursive {_CLASSIFIED} select count(*) as n_parts, count_if(k_within > 1) / count(*) as share_several_notes from revealing",
+    "recurrence_histogram": f"with recursive {_CLASSIFIED} select b::int as bin, coalesce(n, 0) as n from (select unnest(range(1, 11)) as b) left join (select least(k_within, 10) as b, count(*) as n from revealing group by 1) using (b)",
+}
+_ROWS_ONLY = {n: globals()[n] for n in ("section_tokens", "prompt_records")}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
