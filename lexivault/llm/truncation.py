@@ -250,7 +250,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, source_col: str, max_trai
     """(id_col, source, cut_score DOUBLE, is_cut BOOLEAN, at_limit BOOLEAN) of every row; the score of null and blank texts is 0."""
     rows = _with_limits(docs, id_col, text_col, source_col)
     tail = rows.select(F.xxhash64("text").alias("h"), F.substring("text", -TRAIN_CHARS, TRAIN_CHARS).alias("text"), (F.length(F.trim("text")) > 30).alias("long"), "at_chars", "at_bytes")
-    sample = hash_sample(tail, "h", max_train, F.col("long")).toPandas()
+    sample = hash_sample(tail, "h", max_train, F.col("long"), docs.count()).toPandas()
     model = docs.sparkSession.sparkContext.broadcast(fit(sample)) if len(sample) else None
     tails = rows.select("id", "source", F.substring("text", -TAIL, TAIL).alias("tail"), "at_chars", "at_bytes")
 
