@@ -121,15 +121,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def hash_sample(df: DataFrame, text_col: str, n: int, usable: Column | None = None) -> DataFrame:
+def hash_sample(df: DataFrame, text_col: str, n: int, usable: Column | None = None, total: int | None = None) -> DataFrame:
     """About n rows of different texts, at most n, chosen by the texts' hashes and so the same on every run.
 
     Only rows below a hash threshold leave the scan, and repeated texts are collapsed before the shuffle,
     so what reaches the driver is bounded by n, not by rows or tasks. The threshold is set from the number
     of all rows, which needs no column; ``usable`` says which of them may be taken (fewer than n come out
-    where less than half of the rows are usable).
+    where less than half of the rows are usable). A caller that knows that number gives ``total``.
     """
-    total = df.count()
+    total = df.count() if total is None else total
     kept = F.col(text_col).isNotNull() if usable is None else F.col(text_col).isNotNull() & usable
     hashed = df.where(kept).withColumn("_hash", F.xxhash64(text_col))
     if total > 2 * n:
