@@ -43,7 +43,7 @@ ANCHOR_LEN = 100
 MAX_BYTES = 16 << 20  # of different contexts in one tree
 MAX_BROADCAST = 1_000_000  # ids of texts with a hit, above which texts are filtered by the join alone
 BLOCK = 1024  # records of a set that are paired with as many others in one step
-_ROW_BYTES, _PARTITION_BYTES = 40, 64 << 20  # of an anchor in a shuffle, and how many of them one task should read
+_ROW_BYTES, _PARTITION_BYTES = 40, 128 << 20  # of an anchor in a shuffle, and how many of them one task should read at most
 _OFF = 28  # bits of an anchor's place that are its offset; the others are the first of its text's id
 _PIECE = 1 << 20  # code points hashed at once
 _LOW = (1 << 24) - 1  # bits of a sort key that hold the position in a piece
@@ -173,7 +173,7 @@ def _hits(anchors: DataFrame) -> DataFrame:
     One exchange of the anchors serves the count and the join, as both need all its rows and columns.
     """
     open_ = anchors.where("not sure and h is not null and key is not null").select("h", "key", "at")
-    parts = max(anchors.sparkSession.sparkContext.defaultParallelism, -(-anchors.count() * _ROW_BYTES // _PARTITION_BYTES))
+    parts = max(int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-anchors.count() * _ROW_BYTES // _PARTITION_BYTES))
     open_ = open_.repartition(parts, "h")
     several = open_.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("at").alias("n")).where("a < b and n > 0").select("h", "a")
     # a > key is never true; with it the condition on the place stays above the join, so that both read the same exchange.
