@@ -10,6 +10,7 @@ ways give the same rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -41,27 +42,38 @@ def needle_of(text: Column | str) -> Column:
     return F.xxhash64(text)
 
 
-def _automaton(needles: list[tuple[int, str]]) -> ahocorasick.Automaton:
-    out = ahocorasick.Automaton()
-    for needle, text in needles:
-        out.add_word(text, (needle, len(text)))
-    out.make_automaton()
-    return out
+_built: dict[str, ahocorasick.Automaton] = {}  # the last one that this worker process built
+
+
+def _automaton(name: str, needles: list[tuple[int, str]]) -> ahocorasick.Automaton:
+    """Built once in a worker process, whatever the number of its tasks."""
+    if name not in _built:
+        out = ahocorasick.Automaton()
+        for needle, text in needles:
+            out.add_word(text, (needle, len(text)))
+        out.make_automaton()
+        _built.clear()
+        _built[name] = out
+    return _built[name]
 
 
-def _by_automaton(needles: DataFrame, notes: DataFrame) -> DataFrame:
+def _by_automaton(needles: DataFrame, notes: DataFrame, first: bool) -> DataFrame:
     """(needle, row_idx, positions): all notes against needles (needle, text) that fit one automaton."""
     listed = [tuple(r) for r in needles.select("needle", "text").collect()]
     shared = notes.sparkSession.sparkContext.broadcast(listed)
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        search = _automaton(shared.value) if shared.value else None
+        search = _automaton(name, shared.value) if shared.value else None
         for batch in batches:
             rows = []
             for row, text in zip(batch["row_idx"], batch["text"]):
                 found: dict[int, list[int]] = {}
                 for end, (needle, n) in search.iter(text) if search else ():
-                    found.setdefault(needle, []).append(end + 1 - n)
+                    if (held := found.get(needle)) is None:
+                        found[needle] = [end + 1 - n]
+                    elif not first:
+                        held.append(end + 1 - n)
                 rows += [(needle, row, at) for needle, at in found.items()]
             yield pd.DataFrame(rows, columns=["needle", "row_idx", "positions"])
 
@@ -87,8 +99,8 @@ def _by_grams(needles: DataFrame, notes: DataFrame, k: int) -> DataFrame:
     return found.select("needle", "row_idx", offsets(F.col("text"), F.col("wanted")).alias("positions")).where(F.size("positions") > 0)
 
 
-def occurrences(needles: DataFrame, notes: DataFrame, k: int = ANCHOR, max_needles: int = MAX_NEEDLES) -> DataFrame:
-    """(needle, row_idx, positions): every note that holds a needle, with all its offsets, overlapping ones too.
+def occurrences(needles: DataFrame, notes: DataFrame, k: int = ANCHOR, max_needles: int = MAX_NEEDLES, first: bool = False) -> DataFrame:
+    """(needle, row_idx, positions): every note that holds a needle, with all its offsets, overlapping ones too; ``first`` asks for no more than the least.
 
     needles: (text), notes: (row_idx, text). Equal needles are one; empty and null texts have no occurrences.
     """
@@ -96,13 +108,13 @@ def occurrences(needles: DataFrame, notes: DataFrame, k: int = ANCHOR, max_needl
     notes = spread(notes.where("text is not null").select("row_idx", "text"))
     size = F.coalesce(F.sum(F.length("text")), F.lit(0))
     if once.agg(size).first()[0] <= max_needles:
-        return _by_automaton(once, notes)
+        return _by_automaton(once, notes, first)
     worth = F.size(words("text")) >= k + 2
     out = _by_grams(once.where(worth), notes, k)
     short = once.where(~worth)
     blocks = -(-short.agg(size).first()[0] // max_needles)
     for b in range(blocks):
-        out = out.unionByName(_by_automaton(short.where(F.pmod("needle", F.lit(blocks)) == b), notes))
+        out = out.unionByName(_by_automaton(short.where(F.pmod("needle", F.lit(blocks)) == b), notes, first))
     return out
 
 
@@ -122,7 +134,7 @@ def holders(needles: DataFrame, notes: DataFrame, k: int = ANCHOR, max_needles:
 
     needles: (text), notes: (row_idx, key, note_date, text). Reduced to one row a needle and key, in each task first.
     """
-    found = occurrences(needles, notes, k, max_needles).select("needle", "row_idx", F.array_min("positions").alias("position"))
+    found = occurrences(needles, notes, k, max_needles, first=True).select("needle", "row_idx", F.array_min("positions").alias("position"))
     dated = found.join(notes.select("row_idx", F.col("key").alias("note_key"), "note_date"), "row_idx")
     best = F.max(F.struct(F.col("note_date").isNotNull().alias("dated"), "note_date", "row_idx", "position")).alias("b")
     return dated.groupBy("needle", "note_key").agg(F.count("*").alias("n_notes"), best).select("needle", "note_key", "n_notes", "b.row_idx", "b.position")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivault.functions.text import seeded_order
+from lexivault.runtime import stage
 
 
 def sample_per_stratum(df: DataFrame, strata: Sequence[str], key: str, k: int, seed: int) -> DataFrame:
@@ -49,12 +50,23 @@ def fill_budget(df: DataFrame, key: str, size: str, target: int, seed: int, alre
     return running_total(ordered, "_o", size, "tokens_before").where(F.col("tokens_before") + already < target).drop("_o")
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Adds the place of each row in an order over all rows, from 1, without one task that holds them all.
+
+    The sorted rows are written once with their place in their partition; the sizes of the partitions before are added.
+    """
+    low = (1 << 33) - 1  # what monotonically_increasing_id leaves for the place in a partition
+    placed = stage(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn("_part", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per partition
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(low) + 1).drop("_at", "_part", "_before")
+
+
 def first_per_class(df: DataFrame, cls: str, order: Sequence[str], n: int, prefix: str = "item") -> DataFrame:
     """The first n rows of each class, interleaved by rank and class, with ids prefix_0001, ... in that order."""
     w = Window.partitionBy(cls).orderBy(*order)
     kept = df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n)
-    # n rows a class: the order over all of them is small.
-    return kept.withColumn("item_id", F.format_string(f"{prefix}_%04d", F.row_number().over(Window.orderBy("_rank", cls)))).drop("_rank")
+    return numbered(kept, ["_rank", cls], "_place").withColumn("item_id", F.format_string(f"{prefix}_%04d", "_place")).drop("_rank", "_place")
 
 
 def by_priority(groups: Sequence[tuple[str, DataFrame]], key: str) -> DataFrame:

@@ -295,6 +295,12 @@ def test_spacing():
     assert slept == [1.5]
 
 
+def test_numbered(spark):
+    df = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("x")).repartition(7)
+    assert [r["n"] for r in selection.numbered(df, ["x"], "n").orderBy("x").collect()] == list(range(1, 1001))
+    assert selection.numbered(df.limit(0), ["x"], "n").count() == 0
+
+
 def test_column_helpers(spark):
     df = spark.createDataFrame([("positive", True, ["a"], [], "Take Alphine now", ["alphine", "", "beta", None]), ("other", True, [], [], None, None), (None, None, None, None, "", [])], "l string, m boolean, dx array<string>, sx array<string>, t string, r array<string>")
     assert [r[0] for r in df.select(judge.known_label(F.col("l"), ["positive", "negative"])).collect()] == ["positive", None, None]
