@@ -139,6 +139,7 @@ class Lexicon:
         self.plain = (self.ordinary | RELATIONS | CALENDAR | BRANDS | _ABBREVIATIONS) - self.given - self.family  # words that alone make no name
         self.kinds: dict[str, tuple[str, bool, int]] = {}  # classes of tokens met so far
         self.never: set[str] = set()  # those of them that alone make no name
+        self.runs: dict = {}  # spans of runs of tokens met so far
         self.masks: dict[str, int] = {}  # what tokens between white space may be part of
         self.dull: set[str] = set()  # those that are part of nothing
         self.known: dict[str, str] = {w: ("g" if w in self.given else "") + ("f" if w in self.family else "") for w in self.given | self.family}
@@ -338,27 +339,42 @@ def _copies(words: list[str]) -> list[int]:
     return out
 
 
+def _name_spans(words: tuple[str, ...], kinds: str, names: tuple[bool, ...], commas: str, lex: Lexicon) -> list[tuple[int, int, str, tuple[str], tuple[str, ...]]]:
+    """(first, last, form, flags, words) of the spans of a run of at most MAX_TOKENS tokens of which at least one may alone be a name."""
+    out = []
+    gaz = [lex.of(w) for w in words]
+    copies = _copies(list(words))
+    for i in range(len(words)):
+        form = ""
+        good = False
+        for j in range(i, min(i + MAX_TOKENS, len(words))):
+            if copies[i] != copies[j] and min(copies[i], copies[j]) >= 0:
+                break  # a name doesn't reach from one copy of a looping text into the next
+            form += kinds[j]
+            good = good or names[j]
+            if good:
+                own = words[i : j + 1]
+                case = "U" if len(own[-1]) > 2 and own[-1].isupper() or own[0].isupper() and len(own[0]) > 2 else "t"
+                out.append((i, j, form + case, ("z" + " ".join(gaz[i : j + 1]),), own))
+            if j < len(commas) and commas[j] == ",":
+                form += ","
+    return out
+
+
 def _name_candidates(text: str, lex: Lexicon) -> Iterator[Candidate]:
-    """Spans of at most MAX_TOKENS tokens of a run of which at least one is no ordinary word."""
+    """Spans of at most MAX_TOKENS tokens of a run of which at least one is no ordinary word. What a run gives is remembered."""
+    known = lex.runs
+    if len(known) > _CACHE:
+        known.clear()
     for run in _spaced_runs(text, lex):
-        words = [text[a:b] for a, b, _, _ in run]
-        commas = ["," if "," in text[run[i][1] : run[i + 1][0]] else "" for i in range(len(run) - 1)]
-        gaz = [lex.of(w) for w in words]
-        copies = _copies(words)
-        for i in range(len(run)):
-            form = ""
-            good = False
-            for j in range(i, min(i + MAX_TOKENS, len(run))):
-                if copies[i] != copies[j] and min(copies[i], copies[j]) >= 0:
-                    break  # a name doesn't reach from one copy of a looping text into the next
-                form += run[j][2]
-                good = good or run[j][3]
-                if good:
-                    own = tuple(words[i : j + 1])
-                    case = "U" if len(own[-1]) > 2 and own[-1].isupper() or own[0].isupper() and len(own[0]) > 2 else "t"
-                    yield Candidate(run[i][0], run[j][1], "person_name", form + case, ("z" + " ".join(gaz[i : j + 1]),), own)
-                if j < len(commas):
-                    form += commas[j]
+        commas = "".join(["," if "," in text[a[1] : b[0]] else " " for a, b in zip(run, run[1:])])
+        key = (tuple([text[a:b] for a, b, _, _ in run]), "".join([k for _, _, k, _ in run]), tuple([n for _, _, _, n in run]), commas)
+        if (spans := known.get(key)) is None:
+            spans = _name_spans(*key, lex)
+            if len(run) <= 8:  # longer runs hardly come again
+                known[key] = spans
+        for i, j, form, flags, own in spans:
+            yield Candidate(run[i][0], run[j][1], "person_name", form, flags, own)
 
 
 def _unspaced_candidates(text: str, lex: Lexicon) -> Iterator[Candidate]:
