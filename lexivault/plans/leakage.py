@@ -95,6 +95,15 @@ def memorized_token_pct(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.count_overlapping(tokens, merged, ["id"]).select("id", "n_tokens", "n_overlapping", (F.col("n_overlapping") / F.col("n_tokens")).alias("mem_token_pct"))
 
 
+def first_span_of_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """For each record how many of its words lie in an occurrence of a span, by the length class of the first such occurrence."""
+    r = records(spark, sf)
+    tokens = spread(r.select("id", "text")).select("id", F.explode(token_spans("text")).alias("t")).select("id", F.col("t.s").alias("ts"), F.col("t.e").alias("te"))
+    size = F.col("e") - F.col("s")
+    spans = attribution.span_hits(r).select("id", "s", "e", size.alias("ord"), F.when(size < 100, "short").when(size < 300, "middle").otherwise("long").alias("rule"))
+    return intervals.first_overlap(tokens, spans, ["id"]).where("rule is not null").groupBy("id", "rule").agg(F.count("*").alias("n_words"))
+
+
 def pieces(spark: SparkSession, sf: str) -> DataFrame:
     """The memorized regions of every record cut into parts that notes of its patient explain, each with its note and recurrence."""
     r = regions(spark, sf)
@@ -316,6 +325,11 @@ _SQL = {
             select id, i, length(w[i]) as n, length(gaps[i]) as gap from (select id, w, gaps, unnest(range(1, len(w) + 1)) as i from (select id, regexp_extract_all(text, '\\S+') as w, regexp_split_to_array(text, '\\S+') as gaps from r))))
     ), hit as (select distinct t.id, ts from tok t join merged m on t.id = m.id and m.s < t.te and t.ts < m.e)
     select id, n_tokens, coalesce(n, 0) as n_overlapping, coalesce(n, 0) / n_tokens as mem_token_pct from (select id, count(*) as n_tokens from tok group by id) left join (select id, count(*) as n from hit group by id) using (id)""",
+    "first_span_of_tokens": f"""with {_R}, {_occ(True)}, tok as (
+        select id, te - n as ts, te from (select id, n, sum(gap + n) over (partition by id order by i) as te from (
+            select id, i, length(w[i]) as n, length(gaps[i]) as gap from (select id, w, gaps, unnest(range(1, len(w) + 1)) as i from (select id, regexp_extract_all(text, '\\S+') as w, regexp_split_to_array(text, '\\S+') as gaps from r))))
+    ), one as (select t.id, t.ts, arg_min(o.e - o.s, (o.s, o.e)) as size from tok t join occ o on o.id = t.id and o.s < t.te and t.ts < o.e group by t.id, t.ts)
+    select id, case when size < 100 then 'short' when size < 300 then 'middle' else 'long' end as rule, count(*) as n_words from one group by all""",
     "corpus_occurrences": f"""with {_REG} select region, row_idx, (i - 1)::int as position from (
         select region, n.row_idx, g.text as t, n.text, unnest(range(1, length(n.text) - length(g.text) + 2)) as i from regions g join c n on contains(n.text, g.text) where g.text <> '') where substr(text, i, length(t)) = t""",
     "region_split": f"with recursive {_PIECES} select region, gen_start, gen_end, attributed, split_origin from pieces",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivault.functions.text import blank_to_null
-from lexivault.operators import annotation, prompts, sections
+from lexivault.operators import annotation, intervals, prompts, sections
 from lexivault.plans import cohort, leakage
 from lexivault.sources.tables import table
 
@@ -115,6 +115,21 @@ def header_notes(spark: SparkSession, sf: str) -> DataFrame:
 _HEADER = r"(?i)(?:^|\s)(" + sections._alternatives(sections.HEADERS) + r")\s*:"
 
 
+def nearest_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes without a section with that of the patient's note before, else of the first one after."""
+    n = table(spark, sf, "notes").where("PatientUid is not null").select("row_idx", F.lower("PatientUid").alias("key"), F.col("Section_Name").alias("section"))
+    filled = intervals.fill_nearest(n, ["key"], "row_idx", "section")
+    return filled.join(n.where("section is null").select("row_idx"), "row_idx", "left_semi").select("row_idx", "section")
+
+
+def verified_removals(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each record's medications those whose name stands in its text in any case."""
+    r = table(spark, sf, "generations").dropDuplicates(["record_uid"])
+    names = F.transform(F.split("medications_used", r";\s*"), lambda x: F.regexp_extract(x, r"^(\w+)", 1))
+    kept = annotation.verify_removals(names, F.col("generation"))
+    return r.select("record_uid", F.size(kept).alias("n_kept"), F.array_join(kept, "|").alias("names"))
+
+
 def encounter_prefixes(spark: SparkSession, sf: str) -> DataFrame:
     c = cohort.cohort_rows(spark, sf)
     return c.select("key", *prompts.encounter_boundary("note_start"))
@@ -237,6 +252,12 @@ _SQL = {
         f"select '{name}' as rule, coalesce(sum(len(regexp_extract_all(Note, '{_portable(p).replace(chr(39), chr(39) * 2)}'))), 0)::bigint as n_matches from notes where Note is not null" for name, p in sections.RULES.items()
     ),
     "header_notes": f"""select header, count(*) as n_notes from (select distinct row_idx, lower(regexp_replace(unnest(regexp_extract_all(Note, '{_HEADER}', 1)), '\\s+', ' ', 'g')) as header from notes where Note is not null) group by header""",
+    "nearest_sections": """select row_idx, coalesce(before, after) as section from (
+        select row_idx, Section_Name as s, last_value(Section_Name ignore nulls) over (partition by lower(PatientUid) order by row_idx rows between unbounded preceding and current row) as before,
+            first_value(Section_Name ignore nulls) over (partition by lower(PatientUid) order by row_idx rows between current row and unbounded following) as after from notes where PatientUid is not null) where s is null""",
+    "verified_removals": """with g as (select *, row_number() over (partition by record_uid) as one from generations), k as (
+        select record_uid, case when generation is null or medications_used is null then []::varchar[] else list_filter(list_transform(regexp_split_to_array(medications_used, ';\\s*'), lambda x: regexp_extract(x, '^(\\w+)', 1)), lambda s: s <> '' and contains(lower(generation), lower(s))) end as k from g where one = 1)
+        select record_uid, len(k)::int as n_kept, array_to_string(k, '|') as names from k""",
     "encounter_prefixes": f"{_COHORT} select key, prefix, marker from (select key, regexp_replace(substr(note_start, 1, (length(regexp_extract(note_start, '(?is)^(.*?)(?:electronically|subjective)', 1)))::bigint), '\\s+$', '') as prefix, nullif(regexp_extract(note_start, '(?i)[ \\t\\n]*(?:electronically|subjective):?'), '') as marker from co) where marker is not null",
     "verified_spans": """with g as (select *, row_number() over (partition by record_uid) as one from generations), k as (select record_uid, list_filter([x.text for x in memorized_spans], lambda s: s is not null and s <> '' and contains(generation, s)) as k from g where one = 1)
         select record_uid, coalesce(len(k), 0)::int as n_verified, coalesce(len(k), 0) > 0 as present, coalesce(array_to_string(k, '|'), '') as spans from k""",
@@ -258,7 +279,37 @@ _SQL |= {
     "recurrence_summary": f"with recursive {_CLASSIFIED} select count(*) as n_parts, count_if(k_within > 1) / count(*) as share_several_notes from revealing",
     "recurrence_histogram": f"with recursive {_CLASSIFIED} select b::int as bin, coalesce(n, 0) as n from (select unnest(range(1, 11)) as b) left join (select least(k_within, 10) as b, count(*) as n from revealing group by 1) using (b)",
 }
-_ROWS_ONLY = {n: globals()[n] for n in ("section_tokens", "prompt_records")}
+
+
+def _after(note: str, part: str) -> str:
+    """What follows the first occurrence of a part, or of the part without trailing space."""
+    one = lambda p: f"case when {p} <> '' and contains({note}, {p}) then substr({note}, instr({note}, {p}) + length({p})) end"
+    return f"coalesce({one(part)}, {one(_rtrim(part))})"
+
+
+def _rtrim(text: str) -> str:
+    return f"regexp_replace({text}, '\\s+$', '')"
+
+
+_LINES = ", ".join(f"case when {c} is not null and {c}::varchar <> '' then '{n}: ' || {c} end" for n, c in (("gender", "patient_gender"), ("marital status", "marital_status"), ("number of children", "children"), ("occupation", "occupation")))
+_SQL["prompt_records"] = f"""{_COHORT}, a as (
+    select *, nullif(concat_ws(chr(10), {_LINES}), '') as base, nullif(regexp_extract({_after("last_note", "note_start")}, '{prompts.HPI_MARK}'), '') as start_mark, nullif(regexp_extract({_after("last_note", "note_hpi")}, '{prompts.AFTER_HPI_MARK}'), '') as hpi_mark,
+        case when regexp_matches(note_start, '{prompts.ENCOUNTER}') then nullif({_rtrim("regexp_extract(note_start, '(?is)^(.*?)(?:electronically|subjective)', 1)")}, '') end as prefix, nullif(regexp_extract(note_start, '{prompts.ENCOUNTER_MARK}'), '') as marker from co
+), b as (
+    select *, case when extracted_name <> '' then 'name: ' || extracted_name || chr(10) || base end as named from a
+), o as (
+    select key, last_note, 'public' as prior_tier, 'patient_note' as probe_type, base as p, chr(10) || 'patient note:' as m from b
+    union all select key, last_note, 'public_named', 'patient_note', named, chr(10) || 'patient note:' from b
+    union all select key, last_note, 'public_named_meds', 'patient_note', case when medications <> '' then named || chr(10) || 'medications: ' || medications end, chr(10) || 'patient note:' from b
+    union all select key, last_note, 'encounter_info', 'note_continuation', prefix, marker from b
+    union all select key, last_note, 'encounter_info_cc', 'note_continuation', note_start, start_mark from b
+    union all select key, last_note, 'encounter_info_cc_hpi', 'note_continuation', note_start || start_mark || note_hpi, hpi_mark from b
+), rest as (
+    select *, {_after("last_note", "p")} as rest from o where p is not null and m is not null
+)
+select key, prior_tier, probe_type, md5(p || m) as prompt_md5, length(p || m)::int as prompt_chars,
+    case when probe_type = 'patient_note' then {prompts.DEFAULT_WORDS} else coalesce(greatest(len(regexp_extract_all(case when m <> '' and contains(substr(rest, 1, {prompts.HORIZON}), m) then substr(rest, instr(rest, m) + length(m)) else rest end, '\\S+')), 1), {prompts.DEFAULT_WORDS}) end::int as remaining_words from rest"""
+_ROWS_ONLY = {"section_tokens": section_tokens}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
