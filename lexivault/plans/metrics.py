@@ -54,7 +54,7 @@ def adjudicated_cells(spark: SparkSession, sf: str) -> DataFrame:
 def exact_intervals(spark: SparkSession, sf: str) -> DataFrame:
     """The share of right positives of each cell with its exact interval."""
     cells = confusion_cells(spark, sf).select(*KEYS, "tp", (F.col("tp") + F.col("fp")).alias("n"))
-    return metrics.with_exact_interval(cells, "tp", "n", "ppv")
+    return metrics.with_exact_interval(cells, "tp", "n", "ppv").select(*KEYS, "tp", "n", F.round("ppv_lo", 6).alias("ppv_lo"), F.round("ppv_hi", 6).alias("ppv_hi"))
 
 
 def split_deltas(spark: SparkSession, sf: str) -> DataFrame:
@@ -215,11 +215,22 @@ _SQL = {
     "group_counts": "select eval_split, eval_dx_label, count(*) as n, array_to_string([upper(w[1]) || lower(w[2:]) for w in string_split(replace(eval_split, '_', ' '), ' ')], ' ') as split_name from (select record_uid, any_value(eval_split) as eval_split, any_value(eval_dx_label) as eval_dx_label from generations group by 1) group by eval_split, eval_dx_label",
     "token_length_stats": "select count(*) as n_notes, floor(sum(least(n, 400)) / count(*))::bigint as mean_length, max(n)::int as longest, count_if(n > 400) as n_truncated from (select len(regexp_extract_all(Note, '\\S+')) as n from notes where Note is not null)",
 }
-_ROWS_ONLY = {"exact_intervals": exact_intervals}
+_TERM = "exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln((lo + hi) / 2) + (n - j) * ln(1 - (lo + hi) / 2))"
+_SQL["exact_intervals"] = f"""with recursive {_J}, cells as (
+    select eval_split, prior, diagnosis, count_if(truth and mention)::bigint as tp, (count_if(truth and mention) + count_if(not truth and mention))::bigint as n from j group by all
+), b as (
+    select distinct tp::bigint as k, n::bigint as n, 0.0::double as lo, 1.0::double as hi, 0 as i, side from cells cross join (select unnest(['lo', 'hi']) as side) where n > 0
+    union all
+    select k, n, case when low then lo else (lo + hi) / 2 end, case when low then (lo + hi) / 2 else hi end, i + 1, side from (
+        select *, case side when 'lo' then list_sum(list_transform(range(k, n + 1), lambda j: {_TERM})) > 0.025 else list_sum(list_transform(range(0, k + 1), lambda j: {_TERM})) < 0.025 end as low from b where i < 50)
+), e as (
+    select k, n, max(case when side = 'lo' then (lo + hi) / 2 end) as lo, max(case when side = 'hi' then (lo + hi) / 2 end) as hi from b where i = 50 group by k, n
+)
+select eval_split, prior, diagnosis, tp, c.n, case when tp = 0 and c.n > 0 then 0.0 else round(lo, 6) end as ppv_lo, case when tp = c.n and c.n > 0 then 1.0 else round(hi, 6) end as ppv_hi from cells c left join e on e.k = tp and e.n = c.n"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()[name] for name in _SQL} | _ROWS_ONLY
+    return {name: globals()[name] for name in _SQL}
 
 
 def oracle_sql() -> dict[str, str]:
