@@ -36,8 +36,10 @@ def section_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def section_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Every classified segment: its tokens, templated and revealing text, and the rules behind it."""
     made, _ = _classified(spark, sf)
-    return made.withColumn("rule_counts", F.to_json("rule_counts")).withColumn("rule_matched", F.to_json("rule_matched"))
+    counts = F.array_join(F.array_sort(F.transform(F.map_entries("rule_counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), "|")
+    return made.select("region", "segment", "section", "n_tokens", "n_templated", "n_revealing", "templated_text", "revealing_text", "blanket_section", counts.alias("rule_counts"), sections.rule_summary(F.col("blanket_section"), F.col("rule_counts")).alias("rules"))
 
 
 def section_composition(spark: SparkSession, sf: str) -> DataFrame:
@@ -309,11 +311,17 @@ _SQL["prompt_records"] = f"""{_COHORT}, a as (
 )
 select key, prior_tier, probe_type, md5(p || m) as prompt_md5, length(p || m)::int as prompt_chars,
     case when probe_type = 'patient_note' then {prompts.DEFAULT_WORDS} else coalesce(greatest(len(regexp_extract_all(case when m <> '' and contains(substr(rest, 1, {prompts.HORIZON}), m) then substr(rest, instr(rest, m) + length(m)) else rest end, '\\S+')), 1), {prompts.DEFAULT_WORDS}) end::int as remaining_words from rest"""
-_ROWS_ONLY = {"section_tokens": section_tokens}
+_SQL["section_tokens"] = f"""with recursive {_CLASSIFIED}, named as (
+    select piece, segment, string_agg(rule || '=' || n, '|' order by rule || '=' || n) as rule_counts, string_agg(rule, '|' order by rule) as rules from (select piece, segment, rule, count(*) as n from stated where templated and rule is not null group by all) group by 1, 2
+), texts as (
+    select piece, segment, coalesce(string_agg(tok, '' order by k) filter (templated), '') as made, coalesce(string_agg(tok, '' order by k) filter (not templated), '') as own from stated group by 1, 2
+)
+select piece as region, segment, section, n_tokens::int as n_tokens, n_templated::int as n_templated, n_revealing::int as n_revealing, case when blanket then made || own else made end as templated_text, case when blanket then '' else own end as revealing_text,
+    coalesce(blanket, false) as blanket_section, coalesce(rule_counts, '') as rule_counts, case when blanket then 'BLANKET_SECTION' else rules end as rules from counted left join texts using (piece, segment) left join named using (piece, segment)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()[name] for name in _SQL} | _ROWS_ONLY
+    return {name: globals()[name] for name in _SQL}
 
 
 def oracle_sql() -> dict[str, str]:
