@@ -40,7 +40,7 @@ MAX_LATTICES = 40_000  # labelled lattices to train on
 MAX_NAMES = 200_000  # entries of the name list; more are refused
 MAX_ORDINARY = 5_000_000  # ordinary words; more are refused
 MAX_TOKENS = 5
-_CACHE = 400_000  # entries of a cache of what was met before; it is emptied when full
+_CACHE = 100_000  # entries of a cache of what was met before, some 50 MB; it is emptied when full
 TYPES = ("person_name", "phone", "email", "identity_number", "street_address")
 
 # Words around names and numbers, in several languages.
@@ -202,7 +202,7 @@ def ordinary_words(texts: DataFrame, least: int = 3, share: float = 1e-6, openin
         opening: Counter[str] = Counter()
         labelled: Counter[str] = Counter()
         for batch in batches:
-            for text in batch["text"]:
+            for text in batch["text"].tolist():
                 tokens.update(set(text.split()))
                 own: set[str] = set()
                 opening.update(set(_OPENING.findall("\n" + text)))
@@ -919,7 +919,7 @@ def find(texts: DataFrame, field_: Field) -> DataFrame:
         model = shared.value
         for batch in batches:
             rows = []
-            for record, text in zip(batch["record"], batch["text"]):
+            for record, text in zip(batch["record"].tolist(), batch["text"].tolist()):
                 rows += {(record, kind, text[s:e]) for s, e, kind in model.decode(text)}
             yield pd.DataFrame(rows, columns=["record", "pii_type", "pii_text"])
 
@@ -936,7 +936,7 @@ def redact(df: DataFrame, id_col: str, text_col: str, field_: Field) -> DataFram
         model = shared.value
         for batch in batches:
             out, counts = [], []
-            for text in batch["text"]:
+            for text in batch["text"].tolist():
                 spans = model.decode(text)
                 parts, at = [], 0
                 for s, e, kind in spans:
