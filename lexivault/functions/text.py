@@ -94,6 +94,12 @@ def parse_date(c: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(F.initcap(c) if "MMM" in f else c, F.lit(f)).cast("date") for f in formats])
 
 
+def iso_timestamp(c: Column) -> Column:
+    """A timestamp as text, with a T between date and time and microseconds only where it has some; null for null."""
+    whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.date_format(c, "SSSSSS") == "000000", whole).otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
 def age_at(c: Column, day: str = "2024-01-01") -> Column:
     """Years from a spelled date of birth to a day, null outside (0, 130)."""
     age = F.datediff(F.lit(day).cast("date"), parse_date(c)) / 365.25

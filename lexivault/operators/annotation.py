@@ -32,6 +32,13 @@ def last_words(text: Column, n: int) -> Column:
     return F.array_join(F.slice(w, F.greatest(F.size(w) - n + 1, F.lit(1)), n), " ")
 
 
-def reference_text(rows: DataFrame) -> DataFrame:
-    """One row (text): a line '- name (n)' per row, by name. Meant for dimension tables, whose text is one prompt."""
-    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "n"))), lambda x: F.concat(F.lit("- "), x["name"], F.lit(" ("), x["n"].cast("string"), F.lit(")"))), "\n").alias("text"))
+def reference_text(rows: DataFrame, name: str, lists: dict[str, str], most: int = 10_000) -> DataFrame:
+    """One row (text): for each name in order a line with it, and one for each of its lists (title -> column of arrays), values joined by '; '.
+
+    Meant for dimension tables, whose text is one prompt: more than ``most`` rows are refused, never cut.
+    """
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows of a reference table")
+    parts = [F.concat(F.lit(f"\n  {title}: "), F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), "; ")) for title, c in lists.items()]
+    line = F.concat(F.lit("- "), F.col(name), *parts)
+    return rows.where(F.col(name).isNotNull()).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(name).alias("name"), line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))

@@ -92,8 +92,14 @@ def patient_ages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quality_flags(spark: SparkSession, sf: str) -> DataFrame:
-    fields = ["extracted_name", "extracted_dob", "marital_status", "occupation", "children", "note_start", "note_hpi", "medications"]
-    return _extracted(spark, sf).select("key", *[(~is_missing(F.col(f))).alias(f"qc_{f}_ok") for f in fields])
+    """Which fields of each patient hold something: those of its notes, gender, race and the number of its notes."""
+    fields = ["extracted_name", "extracted_dob", "marital_status", "occupation", "children", "note_start", "note_hpi", "medications", "patient_gender", "raceeth", "num_notes"]
+    key = lambda c: F.lower(c).alias("key")
+    gender = table(spark, sf, "patients").groupBy(key("patientuid")).agg(F.min("gender").alias("patient_gender"))
+    race = table(spark, sf, "race_ethnicity").groupBy(key("patientuid")).agg(F.min("raceeth").alias("raceeth"))
+    count = table(spark, sf, "notes").where("PatientUid is not null").groupBy(key("PatientUid")).agg(F.count("*").alias("num_notes"))
+    all_ = _extracted(spark, sf).join(gender, "key", "left").join(race, "key", "left").join(count, "key", "left")
+    return all_.select("key", *[(~is_missing(F.col(f))).alias(f"qc_{f}_ok") for f in fields])
 
 
 _FILTER = """lower(trim(Section_Name, ' ')) = 'doctor note' and Encounter_Date >= timestamp '2019-01-01' and Note is not null and trim(Note, ' ') <> '' and length(Note) < 32000"""
@@ -130,11 +136,11 @@ _SQL = {
     "first_row_per_key": "select record_uid, min(row_idx) as row_idx, count(*) as n_rows, count(distinct row_idx) as n_row_idx from notes group by 1",
     "patient_ages": f"""with {_LATEST}, d as (select key, coalesce({", ".join(f"try_strptime(extracted_dob, '{x}')" for x in ('%Y-%m-%d', '%m/%d/%Y', '%d/%m/%Y', '%Y/%m/%d', '%m-%d-%Y', '%d-%b-%Y'))})::date as dob from x)
         select key, strftime(dob, '%Y-%m-%d') as dob, case when a > 0 and a < 130 then round(a, 6) end as age from (select *, (date '2024-01-01' - dob) / 365.25 as a from d)""",
-    "quality_flags": f"with {_LATEST} select key, "
+    "quality_flags": f"with {_LATEST}, xx as (select * from x left join (select lower(patientuid) as key, min(gender) as patient_gender from patients group by 1) using (key) left join (select lower(patientuid) as key, min(raceeth) as raceeth from race_ethnicity group by 1) using (key) left join (select lower(PatientUid) as key, count(*)::varchar as num_notes from notes where PatientUid is not null group by 1) using (key)) select key, "
     + ", ".join(
-        f"coalesce(lower(regexp_replace({f}, '^\\s+|\\s+$', '', 'g')) not in ('', 'nan', 'none', 'null', 'n/a', 'na'), false) as qc_{f}_ok" for f in ("extracted_name", "extracted_dob", "marital_status", "occupation", "children", "note_start", "note_hpi", "medications")
+        f"coalesce(lower(regexp_replace({f}, '^\\s+|\\s+$', '', 'g')) not in ('', 'nan', 'none', 'null', 'n/a', 'na'), false) as qc_{f}_ok" for f in ("extracted_name", "extracted_dob", "marital_status", "occupation", "children", "note_start", "note_hpi", "medications", "patient_gender", "raceeth", "num_notes")
     )
-    + " from x",
+    + " from xx",
 }
 
 

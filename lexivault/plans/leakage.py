@@ -116,6 +116,13 @@ def corpus_occurrences(spark: SparkSession, sf: str) -> DataFrame:
     return attribution.corpus_occurrences(regions(spark, sf).select("region", "text"), corpus(spark, sf).select("row_idx", "text"))
 
 
+def own_occurrences(spark: SparkSession, sf: str) -> DataFrame:
+    """Every place where a region stands in the notes of its own patient."""
+    r, c = regions(spark, sf), corpus(spark, sf)
+    found = attribution.corpus_occurrences(r.select("region", "text"), c.select("row_idx", "text"))
+    return found.join(c.select("row_idx", "key"), "row_idx").join(r.select("region", "key"), ["region", "key"], "left_semi").select("region", "row_idx", "position")
+
+
 def region_split(spark: SparkSession, sf: str) -> DataFrame:
     """Every part of every region."""
     return pieces(spark, sf).select("region", "gen_start", "gen_end", "attributed", "split_origin")
@@ -332,6 +339,8 @@ _SQL = {
     select id, case when size < 100 then 'short' when size < 300 then 'middle' else 'long' end as rule, count(*) as n_words from one group by all""",
     "corpus_occurrences": f"""with {_REG} select region, row_idx, (i - 1)::int as position from (
         select region, n.row_idx, g.text as t, n.text, unnest(range(1, length(n.text) - length(g.text) + 2)) as i from regions g join c n on contains(n.text, g.text) where g.text <> '') where substr(text, i, length(t)) = t""",
+    "own_occurrences": f"""with {_REG} select region, row_idx, (i - 1)::int as position from (
+        select region, n.row_idx, g.text as t, n.text, unnest(range(1, length(n.text) - length(g.text) + 2)) as i from regions g join c n on g.key = n.key and contains(n.text, g.text) where g.text <> '') where substr(text, i, length(t)) = t""",
     "region_split": f"with recursive {_PIECES} select region, gen_start, gen_end, attributed, split_origin from pieces",
     "attribution_winner": f"with recursive {_PIECES} select piece, row_idx, position::int as position from pieces where attributed",
     "region_recurrence": f"with recursive {_PIECES} select piece, k_corpus, k_within from pieces",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivault.functions.text import alnum_count, is_missing, strip, to_boolean, to_int
+from lexivault.functions.text import alnum_count, is_missing, iso_timestamp, strip, to_boolean, to_int
 from lexivault.operators import judge, metrics, review, selection
 from lexivault.plans.metrics import _CELLS, _J, judged, label
 from lexivault.plans.selection import _G, _generations
@@ -144,6 +144,11 @@ def operating_points(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.operating_point(r).select("eval_split", "diagnosis", *[F.round(c, 9).alias(c) for c in ("tpr", "fpr", "auroc_point")], "consistent")
 
 
+def verdict_times(spark: SparkSession, sf: str) -> DataFrame:
+    """When each verdict was given, as text."""
+    return table(spark, sf, "verdicts").dropDuplicates(["verdict_id"]).select("verdict_id", iso_timestamp(F.col("timestamp")).alias("at"))
+
+
 def evidence_kinds(spark: SparkSession, sf: str) -> DataFrame:
     """What a positive verdict rests on: the kinds of evidence it names, 'other' where it names none, nothing for other verdicts."""
     v = table(spark, sf, "verdicts").dropDuplicates(["verdict_id"])
@@ -207,6 +212,7 @@ _SQL = {
     "patient_keys": " union all ".join(f"select '{t}' as source, count(*) as n, count(distinct lower(nullif({c}, ''))) as n_patients, count_if(nullif({c}, '') is null) as n_without from {t}" for t, c in (("notes", "PatientUid"), ("generations", "patient_id"), ("patients", "patientuid"))),
     "operating_points": f"""with {_J}, t as (select eval_split, diagnosis, {_CELLS} from j group by all), r as (select *, case when tp + fn > 0 then tp / (tp + fn) end as tpr, case when fp + tn > 0 then fp / (fp + tn) end as fpr, case when tp + fn > 0 and fp + tn > 0 then (tp * tn + 0.5 * (tp * fp + fn * tn)) / ((tp + fn)::double * (fp + tn)) end as auroc from t)
         select eval_split, diagnosis, round(tpr, 9) as tpr, round(fpr, 9) as fpr, round((tpr + 1 - fpr) / 2, 9) as auroc_point, abs((tpr + 1 - fpr) / 2 - auroc) <= 0.005 as consistent from r""",
+    "verdict_times": "select verdict_id, any_value(case when microsecond(timestamp) % 1000000 = 0 then strftime(timestamp, '%Y-%m-%dT%H:%M:%S') else strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') end) as at from verdicts group by verdict_id",
     "evidence_kinds": f"""with {_VERDICTS}, e as (select verdict_id, truth, list_filter(['diagnosis', 'symptoms', 'medications'], lambda k: list_contains(string_split(coalesce(evidence, ''), '|'), k)) as k from vb), f as (
         select verdict_id, case when truth is null or not truth then []::varchar[] when len(k) = 0 then ['other'] else list_transform(k, lambda x: rtrim(x, 's')) end as k from e)
         select verdict_id, array_to_string(list_transform(k, lambda x: case x when 'diagnosi' then 'diagnosis' else x end), '+') as kinds, len(k)::int as n_kinds from f""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexivault.functions.text import blank_to_null
 from lexivault.operators import annotation, intervals, prompts, sections
-from lexivault.plans import cohort, leakage
+from lexivault.plans import cohort, leakage, packed
 from lexivault.sources.tables import table
 
 
@@ -166,8 +166,12 @@ def truncated_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reference_table(spark: SparkSession, sf: str) -> DataFrame:
-    """The diagnosis table as text, a line per diagnosis."""
-    return annotation.reference_text(table(spark, sf, "sensitive_diagnosis").where("Diagnosis is not null").groupBy(F.col("Diagnosis").alias("name")).agg(F.count("*").alias("n")))
+    """The diagnosis table as text: each diagnosis with the values of its packed cells in all its definitions."""
+    d = table(spark, sf, "sensitive_diagnosis").select("dx_id", F.trim("Diagnosis").alias("name")).where("dx_id is not null and name <> ''").dropDuplicates(["dx_id"])
+    values = packed.p3_found(spark, sf).join(d, "dx_id")
+    each = lambda field, c: F.array_sort(F.collect_set(F.when(F.col("field_name") == field, F.lower("item")))).alias(c)
+    lists = values.groupBy("name").agg(each("ICD10 code", "codes"), each("Medications", "medications"), each("Symptoms", "symptoms"))
+    return annotation.reference_text(d.select("name").distinct().join(lists, "name", "left"), "name", {"codes": "codes", "medications": "medications", "symptoms": "symptoms"})
 
 
 def _quoted(pattern: str) -> str:
@@ -266,7 +270,9 @@ _SQL = {
     "scrubbed_medications": """with g as (select *, row_number() over (partition by record_uid) as one from generations), f as (select record_uid, medications_used as m, nullif(regexp_extract(medications_used, '^(\\w+)', 1), '') as d from g where one = 1)
         select record_uid, case when m is null or d is null then m else array_to_string(list_filter([trim(x) for x in string_split(m, ';')], lambda x: x <> '' and not contains(lower(x), lower(d))), '; ') end as medications from f""",
     "truncated_texts": "select row_idx, least(length(Note), 20000)::int as kept_chars, length(Note) > 20000 as judge_truncated, md5(array_to_string(list_slice(w, greatest(len(w) - 199, 1), len(w)), ' ')) as tail_md5 from (select row_idx, Note, regexp_extract_all(Note, '\\S+') as w from notes where Note is not null)",
-    "reference_table": "select string_agg('- ' || name || ' (' || n || ')', chr(10) order by name) as text from (select Diagnosis as name, count(*) as n from sensitive_diagnosis where Diagnosis is not null group by 1)",
+    "reference_table": f"""with d as (select dx_id, trim(any_value(Diagnosis), ' ') as name from sensitive_diagnosis where dx_id is not null group by dx_id), v as (select name, field_name, lower(item) as item from ({packed.P3_SQL}) join d using (dx_id) where name <> ''),
+        l as (select name, {", ".join(f"coalesce(string_agg(distinct item, '; ' order by item) filter (field_name = '{f}'), '') as {c}" for f, c in (("ICD10 code", "codes"), ("Medications", "medications"), ("Symptoms", "symptoms")))} from v group by name)
+        select string_agg('- ' || name || chr(10) || '  codes: ' || coalesce(codes, '') || chr(10) || '  medications: ' || coalesce(medications, '') || chr(10) || '  symptoms: ' || coalesce(symptoms, ''), chr(10) order by name) as text from (select distinct name from d where name <> '') left join l using (name)""",
 }
 _SQL |= {
     "section_segments": f"with recursive {_CLASSIFIED} select piece as region, segment, section, seg_start::int as seg_start, seg_end::int as seg_end, is_leading, t as text from segments",

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexivault.functions.text import age_at, alnum_count, is_missing, offsets, parse_date, pretty, to_boolean, to_int
+from lexivault.functions.text import age_at, alnum_count, is_missing, iso_timestamp, offsets, parse_date, pretty, to_boolean, to_int
 from lexivault.__main__ import main
 from lexivault.functions.tokens import Offsets, token_count, token_spans
 from lexivault.operators import annotation, attribution, cohort, grams, intervals, judge, matching, metrics, review, sections, selection
@@ -306,6 +306,13 @@ def test_column_helpers(spark):
     assert [r[0] for r in df.select(judge.known_label(F.col("l"), ["positive", "negative"])).collect()] == ["positive", None, None]
     assert [r[0] for r in df.select(judge.evidence_types(F.col("m"), {"diagnosis": F.col("dx"), "symptoms": F.col("sx")})).collect()] == [["diagnosis"], ["other"], []]
     assert [r[0] for r in df.select(annotation.verify_removals(F.col("r"), F.col("t"))).collect()] == [["alphine"], [], []]
+    ref = spark.createDataFrame([("b", ["y", "z"]), ("a", None), (None, ["q"])], "n string, v array<string>")
+    assert annotation.reference_text(ref, "n", {"values": "v"}).first()["text"] == "- a\n  values: \n- b\n  values: y; z"
+    with pytest.raises(ValueError, match="more than 2"):
+        annotation.reference_text(ref, "n", {"values": "v"}, most=2)
+    assert annotation.reference_text(ref.limit(0), "n", {"values": "v"}).first()["text"] == ""
+    times = spark.sql("select timestamp_ntz '2024-01-02 03:04:05' as t union all select timestamp_ntz '2024-01-02 03:04:05.25' union all select null")
+    assert sorted(r[0] or "" for r in times.select(iso_timestamp(F.col("t"))).collect()) == ["", "2024-01-02T03:04:05", "2024-01-02T03:04:05.250000"]
     lines = spark.createDataFrame([('{"a": {"b": 1}, "c": "x"}',), ("junk",)], "v string")
     assert [r[0] for r in lines.select(files.peek("v", "c")).collect()] == ["x", None]
 
