@@ -1,9 +1,10 @@
 """Where regions of generated text stand in the corpus.
 
 Regions are a stated query set that is searched for in every note. Their different texts, the needles, go to
-each task as one automaton (Aho-Corasick), which finds all occurrences of all of them, of any length, in one
-pass over a note, so no note is shuffled. The automaton is built only from needles of measured size, at most
-``MAX_NEEDLES`` characters. Beyond that, needles of some words are joined with the corpus by their rarest word
+each task as one automaton (Aho-Corasick) of their first ``SEED`` characters; where one stands, the whole needles are
+looked up. That finds all occurrences of all of them, of any length, in one pass over a note, so no note is shuffled.
+The automaton is built only from seeds of measured size, at most ``MAX_NEEDLES`` characters, and needles of at most
+``WHOLE`` times that. Beyond that, needles of some words are joined with the corpus by their rarest word
 gram and verified, and those too short for one are searched for block after block of that size. All
 ways give the same rows.
 """
@@ -11,7 +12,8 @@ ways give the same rows.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import pandas as pd
@@ -23,6 +25,15 @@ from lexivault.runtime import spread, stage
 
 ANCHOR = 3
 MAX_NEEDLES = 4_000_000  # characters of an automaton, some 60 bytes each in a task's memory
+SEED = 32  # characters of a needle that the automaton holds
+WHOLE = 16  # characters of needles, as strings, for one of the automaton
+STEP = 16  # prefixes of a multiple of this are searched for first, then those between
+LEAST = 6  # shorter prefixes stand nearly everywhere and are looked up one by one
+FEW = 4096  # pairs of a text and a note that are compared one by one
+MAX_SMALL = 256  # needles under LEAST that are looked up one by one
+MAX_PREFIXES = 4096  # characters of a text whose prefixes are words of an automaton; longer texts are searched for one by one
+MAX_PARTS, MAX_NOTES = 400_000, 4_000_000  # characters of parts and of notes that meet in one row
+SEPARATOR = "\ud800"  # in no valid text
 MIN_PIECE = 30
 MAX_DEPTH = 4
 
@@ -46,38 +57,51 @@ _built: dict[str, ahocorasick.Automaton] = {}  # the last one that this worker p
 
 
 def _automaton(name: str, needles: list[tuple[int, str]]) -> ahocorasick.Automaton:
-    """Built once in a worker process, whatever the number of its tasks."""
+    """Seeds with the needles that begin with them, by length; built once in a worker process, whatever the number of its tasks."""
     if name not in _built:
-        out = ahocorasick.Automaton()
+        groups: dict[str, dict[int, dict[str, int]]] = {}
         for needle, text in needles:
-            out.add_word(text, (needle, len(text)))
+            groups.setdefault(text[:SEED], {}).setdefault(len(text), {})[text] = needle
+        out = ahocorasick.Automaton()
+        for seed, lengths in groups.items():
+            out.add_word(seed, (len(seed), list(lengths.items())))
         out.make_automaton()
         _built.clear()
         _built[name] = out
     return _built[name]
 
 
-def _by_automaton(needles: DataFrame, notes: DataFrame, first: bool) -> DataFrame:
-    """(needle, row_idx, positions): all notes against needles (needle, text) that fit one automaton."""
+def _by_automaton(needles: DataFrame, notes: DataFrame, first: bool, keep: Sequence[str] = ()) -> DataFrame:
+    """(needle, row_idx, keep, positions): all notes against needles (needle, text) that fit one automaton."""
     listed = [tuple(r) for r in needles.select("needle", "text").collect()]
     shared = notes.sparkSession.sparkContext.broadcast(listed)
     name = uuid.uuid4().hex
+    carried = ["row_idx", *keep]
+    # What stands at nearly every place is looked up once a note where one place is enough.
+    small = [x for x in listed if len(x[1]) < LEAST]
+    small = small if first and len(small) <= MAX_SMALL else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        search = _automaton(name, shared.value) if shared.value else None
+        wanted = [x for x in shared.value if len(x[1]) >= LEAST] if small else shared.value
+        search = _automaton(name, wanted) if wanted else None
         for batch in batches:
             rows = []
-            for row, text in zip(batch["row_idx"], batch["text"]):
-                found: dict[int, list[int]] = {}
-                for end, (needle, n) in search.iter(text) if search else ():
-                    if (held := found.get(needle)) is None:
-                        found[needle] = [end + 1 - n]
-                    elif not first:
-                        held.append(end + 1 - n)
-                rows += [(needle, row, at) for needle, at in found.items()]
-            yield pd.DataFrame(rows, columns=["needle", "row_idx", "positions"])
-
-    return notes.select("row_idx", "text").mapInPandas(run, f"needle long, row_idx {dict(notes.dtypes)['row_idx']}, positions array<int>")
+            for text, *row in zip(batch["text"], *(batch[c] for c in carried)):
+                found: dict[int, list[int]] = {needle: [at] for needle, short in small if (at := text.find(short)) >= 0}
+                for end, (n, lengths) in search.iter(text) if search else ():
+                    at = end + 1 - n
+                    for size, texts in lengths:
+                        if (needle := texts.get(text[at : at + size])) is None:
+                            continue
+                        if (held := found.get(needle)) is None:
+                            found[needle] = [at]
+                        elif not first:
+                            held.append(at)
+                rows += [(needle, *row, at) for needle, at in found.items()]
+            yield pd.DataFrame(rows, columns=["needle", *carried, "positions"])
+
+    kinds = dict(notes.dtypes)
+    return notes.select("text", *carried).mapInPandas(run, f"needle long, {', '.join(f'{c} {kinds[c]}' for c in carried)}, positions array<int>")
 
 
 def _grams(df: DataFrame, keep: list[str], k: int, inner: bool) -> DataFrame:
@@ -99,22 +123,24 @@ def _by_grams(needles: DataFrame, notes: DataFrame, k: int) -> DataFrame:
     return found.select("needle", "row_idx", offsets(F.col("text"), F.col("wanted")).alias("positions")).where(F.size("positions") > 0)
 
 
-def occurrences(needles: DataFrame, notes: DataFrame, k: int = ANCHOR, max_needles: int = MAX_NEEDLES, first: bool = False) -> DataFrame:
-    """(needle, row_idx, positions): every note that holds a needle, with all its offsets, overlapping ones too; ``first`` asks for no more than the least.
+def occurrences(needles: DataFrame, notes: DataFrame, k: int = ANCHOR, max_needles: int = MAX_NEEDLES, first: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """(needle, row_idx, keep, positions): every note that holds a needle, with all its offsets, overlapping ones too; ``first`` asks for no more than the least.
 
-    needles: (text), notes: (row_idx, text). Equal needles are one; empty and null texts have no occurrences.
+    needles: (text), notes: (row_idx, text, keep). Equal needles are one; empty and null texts have no occurrences.
     """
     once = stage(needles.where("text <> ''").select(needle_of("text").alias("needle"), "text").dropDuplicates(["needle"]), "needles")
-    notes = spread(notes.where("text is not null").select("row_idx", "text"))
-    size = F.coalesce(F.sum(F.length("text")), F.lit(0))
-    if once.agg(size).first()[0] <= max_needles:
-        return _by_automaton(once, notes, first)
+    notes = spread(notes.where("text is not null").select("row_idx", "text", *keep))
+    n = F.length("text")
+    seeds, size = once.agg(F.coalesce(F.sum(F.least(n, F.lit(SEED))), F.lit(0)), F.coalesce(F.sum(n), F.lit(0))).first()
+    if seeds <= max_needles and size <= WHOLE * max_needles:
+        return _by_automaton(once, notes, first, keep)
     worth = F.size(words("text")) >= k + 2
     out = _by_grams(once.where(worth), notes, k)
+    out = out.join(notes.select("row_idx", *keep), "row_idx").select("needle", "row_idx", *keep, "positions") if keep else out
     short = once.where(~worth)
-    blocks = -(-short.agg(size).first()[0] // max_needles)
+    blocks = -(-short.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0] // max_needles)
     for b in range(blocks):
-        out = out.unionByName(_by_automaton(short.where(F.pmod("needle", F.lit(blocks)) == b), notes, first))
+        out = out.unionByName(_by_automaton(short.where(F.pmod("needle", F.lit(blocks)) == b), notes, first, keep))
     return out
 
 
@@ -134,8 +160,8 @@ def holders(needles: DataFrame, notes: DataFrame, k: int = ANCHOR, max_needles:
 
     needles: (text), notes: (row_idx, key, note_date, text). Reduced to one row a needle and key, in each task first.
     """
-    found = occurrences(needles, notes, k, max_needles, first=True).select("needle", "row_idx", F.array_min("positions").alias("position"))
-    dated = found.join(notes.select("row_idx", F.col("key").alias("note_key"), "note_date"), "row_idx")
+    found = occurrences(needles, notes, k, max_needles, first=True, keep=("key", "note_date"))
+    dated = found.select("needle", "row_idx", F.col("key").alias("note_key"), "note_date", F.array_min("positions").alias("position"))
     best = F.max(F.struct(F.col("note_date").isNotNull().alias("dated"), "note_date", "row_idx", "position")).alias("b")
     return dated.groupBy("needle", "note_key").agg(F.count("*").alias("n_notes"), best).select("needle", "note_key", "n_notes", "b.row_idx", "b.position")
 
@@ -164,37 +190,65 @@ def _longest(piece: str, text: str, from_start: bool) -> int:
     return low
 
 
-def _reach(parts: DataFrame, notes: DataFrame, per_row: int = 256) -> DataFrame:
+def _longest_seen(texts: list[str], lengths: list[range], joined: str) -> list[int]:
+    """For each text the longest prefix of the lengths asked for that stands in joined, 0 for none: one pass over joined for all of them."""
+    words = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    paths = []
+    for text, asked in zip(texts, lengths):
+        path = []
+        for n in asked:
+            if (word := words.get(text[:n], 0)) == 0:
+                words.add_word(text[:n], word := len(words) + 1)
+            path.append(word)
+        paths.append(path)
+    if not len(words):
+        return [0] * len(texts)
+    words.make_automaton()
+    seen = {word for _, word in words.iter(joined)}
+    # Where a longer prefix stands, a shorter one does too.
+    return [asked[n - 1] if (n := bisect_left(path, True, key=lambda word: word not in seen)) else 0 for path, asked in zip(paths, lengths)]
+
+
+def _reaches(texts: list[str], notes: list[str], from_start: bool) -> list[int]:
+    """Length of the longest prefix (or suffix) of each text that one of the notes contains; many notes are read twice, whatever the number of texts."""
+    if len(texts) * len(notes) <= FEW:
+        return [max(_longest(t, n, from_start) for n in notes) for t in texts]
+    joined = SEPARATOR.join(notes)
+    if not from_start:
+        texts, joined = [t[::-1] for t in texts], joined[::-1]
+    short = [t if len(t) <= MAX_PREFIXES else "" for t in texts]
+    coarse = _longest_seen(short, [range(STEP, len(t) + 1, STEP) for t in short], joined)
+    fine = _longest_seen(short, [range(max(n + 1, LEAST), min(n + STEP, len(t) + 1)) for n, t in zip(coarse, short)], joined)
+    return [_longest(t, joined, True) if t != s else max(c, f) or _longest(t[: LEAST - 1], joined, True) for t, s, c, f in zip(texts, short, coarse, fine)]
+
+
+def _reach(parts: DataFrame, notes: DataFrame, most: int = MAX_PARTS, most_notes: int = MAX_NOTES) -> DataFrame:
     """(part, holds, head, tail): whether a note of the part's key contains it, and its longest prefix and suffix in any one.
 
-    Parts of a key travel in rows of at most per_row; each such row meets each note of the key once, and
-    only the best lengths per part and batch leave a task. A hot key's notes may be split over tasks.
+    Notes of a key travel together, in rows of about most_notes characters, each with the key's parts, in rows of about most
+    characters. A row's notes are read once for all its parts, so that the work grows with both, not with their product.
     """
-    chunk = F.pmod(F.xxhash64("part"), F.greatest((F.col("n") / per_row).cast("long"), F.lit(0)) + 1)
-    counted = parts.join(parts.groupBy("key").agg(F.count("*").alias("n")), "key")
-    packed = counted.groupBy("key", chunk.alias("chunk")).agg(F.collect_list(F.struct("part", "text")).alias("parts"))
-    pairs = notes.where("note is not null").select("key", "note").join(packed.select("key", "parts"), "key").select("note", "parts")
+    of = lambda df, c, n: df.groupBy("key").agg((F.sum(F.length(c)) / n).cast("long").alias("more")).where("more > 0")
+    notes = notes.where("note is not null")
+    # Keys of more than one row are few: at most all characters by those of a row.
+    slices = F.broadcast(stage(of(notes, "note", most_notes).withColumnRenamed("more", "more_notes"), "hot-notes"))
+    chunks = F.broadcast(stage(of(parts, "text", most), "hot-parts"))
+    n = F.coalesce("more_notes", F.lit(0)) + 1
+    held = notes.join(slices, "key", "left").groupBy("key", F.pmod(F.xxhash64("note"), n).alias("slice")).agg(F.collect_set("note").alias("notes"))
+    chunk = F.pmod(F.xxhash64("part"), F.coalesce("more", F.lit(0)) + 1).alias("chunk")
+    packed = parts.join(chunks, "key", "left").groupBy("key", chunk).agg(F.collect_list(F.struct("part", "text")).alias("parts"))
+    packed = packed.join(slices, "key", "left").select("key", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("slice"), "parts")
+    pairs = held.join(packed, ["key", "slice"]).select("notes", "parts")
     kind = dict(parts.dtypes)["part"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            best: dict[object, tuple[bool, int, int]] = {}
-            for note, wanted in zip(batch["note"], batch["parts"]):
-                for x in wanted:
-                    part, text = x["part"], x["text"]
-                    holds, head, tail = best.get(part, (False, 0, 0))
-                    if holds:
-                        continue
-                    if text in note:
-                        best[part] = (True, len(text), len(text))
-                        continue
-                    # Only a longer reach than that known so far is worth the search.
-                    if head == 0 or text[: head + 1] in note:
-                        head = max(head, _longest(text, note, True))
-                    if tail == 0 or text[len(text) - tail - 1 :] in note:
-                        tail = max(tail, _longest(text, note, False))
-                    best[part] = (False, head, tail)
-            yield pd.DataFrame([(p, *b) for p, b in best.items()], columns=["part", "holds", "head", "tail"])
+            rows = []
+            for own, wanted in zip(batch["notes"], batch["parts"]):
+                own, texts = list(own), [x["text"] for x in wanted]
+                for x, head, tail in zip(wanted, _reaches(texts, own, True), _reaches(texts, own, False)):
+                    rows.append((x["part"], head == len(x["text"]), head, tail))
+            yield pd.DataFrame(rows, columns=["part", "holds", "head", "tail"])
 
     found = pairs.mapInPandas(run, f"part {kind}, holds boolean, head int, tail int")
     return found.groupBy("part").agg(F.max("holds").alias("holds"), F.max("head").alias("head"), F.max("tail").alias("tail"))
@@ -257,7 +311,14 @@ def pieces(regions: DataFrame, notes: DataFrame, min_piece: int = MIN_PIECE, max
     regions: (region, key, gen_start, text), notes: (row_idx, key, note_date, text). Returns (region, piece, key,
     gen_start, gen_end, text, split_origin, attributed, k_corpus, k_within, row_idx, position), written once.
     """
-    parts = split_regions(regions, notes.select("key", F.col("text").alias("note")), min_piece, max_depth)
+    # Most regions are whole in some note of their patient: the pass that counts holders of all regions tells which, only the rest is split.
+    held = stage(holders(regions, notes), "holders")
+    named = regions.where("text <> ''").withColumn("needle", needle_of("text"))
+    own = held.select("needle", F.col("note_key").alias("key"))
+    start = F.col("gen_start").cast("long")
+    kept = named.join(own, ["needle", "key"], "left_semi").select("region", start.alias("gen_start"), (start + F.length("text")).alias("gen_end"), F.lit(True).alias("attributed"), F.lit("original").alias("split_origin"))
+    rest = stage(named.join(own, ["needle", "key"], "left_anti").select(*regions.columns), "not-whole")
+    parts = kept.unionByName(split_regions(rest, notes.select("key", F.col("text").alias("note")), min_piece, max_depth))
     whole = regions.select("region", "key", F.col("gen_start").alias("at"), F.col("text").alias("whole"))
     cut = stage(
         parts.join(whole, "region").select(
@@ -265,7 +326,9 @@ def pieces(regions: DataFrame, notes: DataFrame, min_piece: int = MIN_PIECE, max
         ),
         "pieces",
     )
-    out = located(cut, holders(cut, notes))
+    new = stage(cut.where("split_origin <> 'original'").select(needle_of("text").alias("needle"), "text").join(named.select("needle").distinct(), "needle", "left_anti"), "new-texts")
+    found = held if new.isEmpty() else held.unionByName(holders(new, notes))
+    out = located(cut, found)
     return stage(out.withColumn("attributed", F.col("row_idx").isNotNull()), "located")
 
 

@@ -169,6 +169,32 @@ def test_pieces(spark):
     ]
 
 
+@pytest.mark.parametrize("few", [0, 4096])
+def test_reaches(monkeypatch, few):
+    """Prefixes and suffixes by one pass over notes equal those of pairs, texts beyond MAX_PREFIXES too."""
+    monkeypatch.setattr(attribution, "FEW", few)
+    monkeypatch.setattr(attribution, "MAX_PREFIXES", 60)
+    rng = random.Random(7)
+    for letters in ("ab", "abcdefg \U0001f600"):
+        text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+        notes = [text(rng.randrange(120)) for _ in range(20)]
+        texts = ["".join(rng.choice(notes)[s : s + rng.randrange(50)] for _ in range(3) for s in [rng.randrange(60)]) + text(1) for _ in range(30)]
+        for start in (True, False):
+            assert attribution._reaches(texts, notes, start) == [max(attribution._longest(t, n, start) for n in notes) for t in texts]
+
+
+def test_whole_regions_meet_no_notes(spark, monkeypatch):
+    """Only regions that no note of their patient holds are split; the others' notes are read once, for their holders."""
+    met, split = [], attribution.split_regions
+    monkeypatch.setattr(attribution, "split_regions", lambda regions, *x: met.extend(r[0] for r in regions.select("region").collect()) or split(regions, *x))
+    text = "abcdefghij klmnopqrst uvwxyz 0123"
+    regions = spark.createDataFrame([("a", "k", 0, text), ("b", "k", 0, text + "#" * 9), ("c", "j", 0, text)], "region string, key string, gen_start long, text string")
+    notes = spark.createDataFrame([(1, "k", None, f"x {text} y")], "row_idx int, key string, note_date string, text string")
+    got = attribution.pieces(regions, notes).select("piece", "attributed", "k_corpus")
+    assert sorted(met) == ["b", "c"]
+    assert rows(got) == [("a+0", True, 1), ("b+0", True, 1), ("b+33", False, 0), ("c+0", False, 1)]
+
+
 def test_single_rows(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), (None, 3)], "k string, v int")
     assert rows(cohort.single_rows(df, "k")) == [("b", 1)]
