@@ -13,9 +13,16 @@ from lexivault.plans import cohort, leakage, packed
 from lexivault.sources.tables import table
 
 
+MAX_BROADCAST = 1_000_000  # ids of notes
+
+
 def _segments(cut: DataFrame, notes: DataFrame) -> DataFrame:
     """Segments of the parts of regions with their text; of parts without a note all in no section."""
-    won = cut.join(notes.select("row_idx", F.col("text").alias("note")), "row_idx", "left")
+    wanted = cut.where("row_idx is not null").select("row_idx").distinct()
+    # Only the texts of these notes are shuffled.
+    wanted = F.broadcast(wanted) if cut.count() <= MAX_BROADCAST else wanted
+    texts = notes.select("row_idx", F.col("text").alias("note")).join(wanted, "row_idx", "left_semi")
+    won = cut.join(texts, "row_idx", "left")
     seg = sections.segment_regions(won.select(F.col("piece").alias("region"), "text", "note", F.col("position").alias("pos")))
     return seg.join(cut.select(F.col("piece").alias("region"), F.col("text").alias("whole")), "region").select("region", "segment", "section", "seg_start", "seg_end", "is_leading", F.substring("whole", F.col("seg_start") + 1, F.col("seg_end") - F.col("seg_start")).alias("text"))
 

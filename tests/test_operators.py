@@ -245,6 +245,17 @@ def test_classified_segments(spark):
     assert [r[0] for r in rules.select(sections.rule_summary(F.col("b"), F.col("r"))).collect()] == ["BLANKET_SECTION", "A|B", None]
 
 
+def test_only_wanted_notes_are_shuffled(spark):
+    """Segments meet the notes that parts are attributed to; the others' texts stay where they are read."""
+    from lexivault.plans.sections import _segments
+
+    cut = spark.createDataFrame([("a", "cc: x", 1, 5), ("b", "zz", None, None)], "piece string, text string, row_idx int, position int")
+    notes = spark.createDataFrame([(1, "hpi: cc: x"), (2, "other")], "row_idx int, text string")
+    got = _segments(cut, notes)
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(got) == [("a", 0, "cc", 0, 5, True, "cc: x"), ("b", 0, None, 0, 2, True, "zz")]
+
+
 def test_sections():
     t = sections.NoteTemplate()
     note = "hpi: cough\nros: \nconstitutional: Negative for fever, chills.\ncardiovascular: none\nphysical exam: cardiovascular: fine bp: 120\nfoo: x"
