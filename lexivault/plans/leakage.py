@@ -35,7 +35,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Notes that have a patient and text, with their stable row number."""
     n = table(spark, sf, "notes")
-    return n.where(F.col("PatientUid").isNotNull() & (strip("Note") != "")).select("row_idx", F.lower("PatientUid").alias("key"), F.date_format("Encounter_Date", "yyyy-MM-dd").alias("note_date"), F.col("Note").alias("text"))
+    return n.where(F.col("PatientUid").isNotNull() & F.col("Note").rlike(r"(?U)\S")).select("row_idx", F.lower("PatientUid").alias("key"), F.date_format("Encounter_Date", "yyyy-MM-dd").alias("note_date"), F.col("Note").alias("text"))
 
 
 def regions(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,6 +8,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -183,6 +184,42 @@ def test_reaches(monkeypatch, few):
             assert attribution._reaches(texts, notes, start) == [max(attribution._longest(t, n, start) for n in notes) for t in texts]
 
 
+@pytest.mark.parametrize("most", [150, 4_000_000])
+def test_split_regions_in_one_pass_or_rounds(spark, monkeypatch, most):
+    """Keys whose notes fit one row are split there, whole, and take no rounds; others give the same parts by rounds."""
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    notes = [("k", text(60)) for _ in range(6)] + [("j", text(50)), ("j", None)]
+    regions = [(i, k, i, "".join(rng.choice([n for q, n in notes if q == k and n])[s : s + 12] + text(rng.randrange(4)) for s in (3, 20, 31))) for i in range(20) for k in [rng.choice("jk")]]
+    regions += [(100, None, 5, "abcd"), (101, "none", 0, "dcba"), (102, "j", 0, "")]
+    rounds, reach = [], attribution._reach
+    monkeypatch.setattr(attribution, "_reach", lambda *x: rounds.append(1) or reach(*x))
+    df = spark.createDataFrame(regions, "region int, key string, gen_start int, text string")
+    got = rows(attribution.split_regions(df, spark.createDataFrame(notes, "key string, note string"), 5, 4, most))
+    assert got == sorted((i, *p) for i, k, at, t in regions if t for p in brute_split(at, t, [n for q, n in notes if q == k and n]))
+    assert bool(rounds) == (most == 150)
+
+
+@pytest.mark.parametrize("first", [False, True])
+def test_search_of_batches(monkeypatch, first):
+    """Windows of every width, blocks of few places and few pairs, characters of several bytes; no automaton for needles of some bytes."""
+    monkeypatch.setattr(attribution, "MAX_PLACES", 40)
+    monkeypatch.setattr(attribution, "MAX_PAIRS", 7)
+    rng = random.Random(3)
+    for letters in ("ab", "abcdefgh \u00e9\U0001f600"):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 3, 20, 300]))) for _ in range(30)]
+        cut = [t[s : s + rng.randrange(1, 90)] for _ in range(60) for t in [rng.choice(texts)] if t for s in [rng.randrange(len(t))]]
+        needles = list(enumerate(sorted({x for t in cut for x in (t, t[:-1] + "b", t[:6])})))
+        raw = [t.encode() for t in texts]
+        search = attribution._Search(needles, first)
+        found = list(zip(*(x.tolist() for x in search.run(b"".join(raw), np.cumsum([0] + [len(t) for t in raw])))))
+        want = [(k, i, p) for k, t in enumerate(texts) for i, x in needles for p in range(len(t)) if t.startswith(x, p)]
+        least = lambda hits: sorted({(k, i): p for k, i, p in sorted(hits, reverse=True)}.items())
+        assert least(found) == least(want) if first else found == sorted(want)
+        assert {w.width for w in search.windows} == {attribution.NARROW, attribution.WINDOW}
+    assert attribution._Search([(1, "of eight"), (2, "of more than a window's bytes")], first).automaton is None
+
+
 def test_whole_regions_meet_no_notes(spark, monkeypatch):
     """Only regions that no note of their patient holds are split; the others' notes are read once, for their holders."""
     met, split = [], attribution.split_regions
